@@ -1 +1,315 @@
-QUERIES: dict = {}
+"""Every operator as a query over the given tables: (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from datetime import datetime, timedelta
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.ranking import eligible
+from ..operators import authors as au
+from ..operators import export, network, refresh, resolution, serving
+from ..operators import publications as pu
+from ..operators import temporal as te
+from ..sources import adapters, documents
+from ..streaming import upsert
+
+AS_OF, HORIZON, SEED = 2025, 2025, 7
+NOW = "2025-01-15 00:00:00"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder; a local one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scholarlake-", dir="/tmp")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+class Frames:
+    """The chain of views over one set of tables; each is built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return adapters.table(self.spark, self.dir, name)
+
+    @cached_property
+    def raw_authors(self):
+        return adapters.raw_authors(self.spark, self.dir)
+
+    @cached_property
+    def raw_pubs(self):
+        return adapters.raw_publications(self.spark, self.dir)
+
+    @cached_property
+    def authors(self):
+        return documents.decode_authors(self.raw_authors)
+
+    @cached_property
+    def pubs(self):
+        return documents.decode_publications(self.raw_pubs)
+
+    @cached_property
+    def listed(self):
+        return documents.author_publications(self.raw_authors)
+
+    @cached_property
+    def edges(self):
+        return documents.coauthor_network(adapters.raw_network_authors(self.spark, self.dir))
+
+    @cached_property
+    def current(self):
+        return pu.publication_current(self.pubs, AS_OF)
+
+    @cached_property
+    def timeline(self):
+        return pu.citation_timeline(self.pubs, HORIZON)
+
+    @cached_property
+    def timeline_pct(self):
+        return pu.timeline_percentiles(self.timeline)
+
+    @cached_property
+    def author_rows(self):
+        return au.author_rows(self.authors, self.listed, self.current, AS_OF)
+
+    @cached_property
+    def stats(self):
+        return au.author_current(self.author_rows)
+
+    @cached_property
+    def cohort(self):
+        """What the score needs of AUT-4: one percentile of eight."""
+        from ..functions.ranking import percent_rank_by
+
+        rows = self.author_rows.select("scholar_id", au.COHORT, au.COUNTS[1])
+        return percent_rank_by(rows, [au.COHORT], {f"{au.COUNTS[1]}_percentile": au.COUNTS[1]})
+
+    @cached_property
+    def ranked(self):
+        return au.ranked_publications(self.current, self.cohort)
+
+    @cached_property
+    def inputs(self):
+        return au.pip_inputs(self.ranked, au.productivity_curve(self.cohort))
+
+    @cached_property
+    def auc(self):
+        return au.pip_auc(self.inputs)
+
+    @cached_property
+    def scores(self):
+        return au.auc_percentile(self.auc, self.cohort)
+
+    @cached_property
+    def state(self):
+        return te.publication_state(self.listed, self.timeline)
+
+    @cached_property
+    def first_year(self):
+        return au.first_cited_year(self.listed, self.current)
+
+    @cached_property
+    def metrics(self):
+        return te.temporal_metrics(self.state, self.first_year)
+
+    @cached_property
+    def temporal(self):
+        return te.author_temporal(self.metrics)
+
+    @cached_property
+    def registered(self):
+        return self.table("supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("scholar_id"))
+
+    @cached_property
+    def counted(self):
+        return network.unregistered_coauthors(self.edges, self.registered)
+
+    @cached_property
+    def names(self):
+        pubs, authors = adapters.resolution_inputs(self.spark, self.dir)
+        return resolution.split_authors(pubs), authors
+
+    @cached_property
+    def resolved(self):
+        return resolution.resolve_exact(*self.names)
+
+    @cached_property
+    def served(self):
+        return serving.author_publications_served(self.pubs, self.inputs)
+
+    @cached_property
+    def with_scores(self):
+        return serving.authors_with_scores(self.stats, self.scores)
+
+    @cached_property
+    def by_year(self):
+        return serving.publication_by_year(self.timeline_pct, AS_OF)
+
+    @cached_property
+    def modified(self):
+        return serving.last_modified(self.authors, self.pubs)
+
+    @cached_property
+    def log(self):
+        return adapters.changelog(self.spark, self.dir)
+
+    @cached_property
+    def stale(self):
+        docs = self.authors.withColumn("document_id", F.col("scholar_id"))
+        return refresh.stale_documents(docs, F.to_timestamp(F.lit(NOW)), 90, 500, "scholar_id")
+
+    @cached_property
+    def pending(self):
+        return self.authors.filter(F.crc32("scholar_id") % 3 == 0).select(refresh.task_key(F.col("scholar_id")).alias("task_key"))
+
+
+def _snapshot(f: Frames) -> DataFrame:
+    return documents.latest_snapshot(f.log, "document_id", "timestamp", "event_id").select("document_id", "timestamp", "data")
+
+
+def _upsert(f: Frames) -> DataFrame:
+    early = documents.latest_snapshot(f.log.filter("event_id % 2 = 0").drop("event_id"), "document_id", "timestamp", "data")
+    updates = documents.latest_snapshot(f.log.filter("event_id % 2 = 1").drop("event_id"), "document_id", "timestamp", "data")
+    return documents.upsert_documents(early, updates).select("document_id", "timestamp", "data")
+
+
+def _stream(f: Frames) -> DataFrame:
+    path = f"{f.dir}/events.parquet"
+    schema = f.table("events").schema
+    # a stream reads folders; the table may be one file
+    at, name = (path, "*") if f.spark.read.parquet(path).inputFiles()[0].rstrip("/").count("/") > path.replace("file://", "file:").count("/") + 2 else (f.dir, "events.parquet")
+    events = f.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(at)
+    updates = events.select(F.col("user_id").cast("string").alias("document_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("data"), "event_id")
+    out = scratch(f.spark)
+    upsert.run_to_parquet(upsert.upsert_stream(updates, "document_id", "timestamp", "event_id"), f"{out}/table", f"{out}/checkpoint")
+    return f.spark.read.parquet(f"{out}/table").select("document_id", "timestamp", "data")
+
+
+def _csv_all(f: Frames) -> DataFrame:
+    path = scratch(f.spark)
+    rows = f.with_scores.select("scholar_id", "citedby", "total_publications", "pip_auc_score")
+    export.export_csv(rows, path)
+    return f.spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+def _csv_author(f: Frames) -> DataFrame:
+    path = scratch(f.spark)
+    rows = f.inputs.select("scholar_id", "author_pub_id", "num_citations", "publication_rank").filter("scholar_id like 'C1%'")
+    export.export_csv(rows.withColumn("shard", F.substring("scholar_id", 1, 3)), path, by="shard")
+    return f.spark.read.schema(rows.schema).option("header", True).csv(path).select(*rows.columns)
+
+
+def _view(f: Frames) -> DataFrame:
+    return export.materialize_view(f.metrics, scratch(f.spark), timedelta(days=1), datetime(2025, 1, 15))
+
+
+def _worklist(f: Frames) -> DataFrame:
+    asked = f.authors.filter(F.crc32("scholar_id") % 5 == 0).select("scholar_id")
+    new = f.counted.select(F.col("coauthor_scholar_id").alias("scholar_id")).distinct()
+    sizes = documents.slim_author(f.raw_authors).select("scholar_id", F.size("publications").cast("bigint").alias("n_publications"))
+    known = f.authors.select("scholar_id", "name").join(sizes, "scholar_id")
+    return refresh.refresh_worklist(asked, new, known)
+
+
+def _profiles(f: Frames) -> DataFrame:
+    p = serving.author_profiles(f.authors, f.modified, f.served.drop("author"), f.stats)
+    return p.select("scholar_id", "name", "last_modified", F.coalesce(F.size("publications"), F.lit(0)).cast("bigint").alias("n_publications"), F.get("publications", F.lit(0))["author_pub_id"].alias("best"), F.col("stats.citedby").alias("citedby"))
+
+
+def _liveness(f: Frames) -> DataFrame:
+    live = f.authors.select("scholar_id", F.when(F.crc32("scholar_id") % 2 == 0, "Success").otherwise("Error").alias("status"), F.when(F.crc32("scholar_id") % 3 == 0, F.col("name")).alias("name"))
+    return refresh.without_dead(f.authors.select("scholar_id", "name"), f.stale, live)
+
+
+def _big(f: Frames) -> DataFrame:
+    rows = f.table("orders").select("o_orderkey", ((F.col("o_orderkey") % 5 - 2).cast("bigint") * F.lit((1 << 61) + 7)).alias("value"))
+    return documents.protect_big_integers(rows, ["value"])
+
+
+PIP = ["scholar_id", "author_pub_id", "num_citations", "num_citations_percentile", "publication_rank", "num_papers_percentile"]
+STATE = ["scholar_id", "author_pub_id", "state_year"]
+
+FRAMES = {
+    "src_1_authors": lambda f: f.authors,
+    "src_2_publications": lambda f: f.pubs.drop("cites_per_year"),
+    "src_3_author_publications": lambda f: f.listed,
+    "src_4_coauthor_network": lambda f: f.edges,
+    "src_5_citations_by_year": lambda f: documents.citations_by_year(f.pubs),
+    "src_6_prefix_scan": lambda f: documents.prefix_scan(f.pubs.select("author_pub_id", "num_citations"), "author_pub_id", "C1:"),
+    "src_7_lookup": lambda f: documents.lookup(f.raw_authors, f.stale.select(F.col("scholar_id").alias("document_id"))).select("document_id", "timestamp"),
+    "src_8_latest_snapshot": _snapshot,
+    "snk_1_upsert": _upsert,
+    "snk_2_upsert_stream": _stream,
+    "snk_3_export_all_csv": _csv_all,
+    "snk_4_export_author_csv": _csv_author,
+    "snk_5_materialize": _view,
+    "prj_1_slim_author": lambda f: documents.slim_author(f.raw_authors).select("scholar_id", F.explode("publications").alias("p")).select("scholar_id", F.col("p.author_pub_id").alias("author_pub_id"), F.col("p.num_citations").alias("num_citations"), F.col("p.filled").alias("filled"), F.col("p.bib.pub_year").alias("pub_year")),
+    "prj_2_big_integers": _big,
+    "prj_3_similar_authors": lambda f: resolution.similar_authors(f.names[1].select("name"), f.names[1].withColumns({"affiliation": F.lit(None).cast("string"), "email_domain": F.lit(None).cast("string"), "citedby": F.length("scholar_id").cast("bigint")})),
+    "prj_4_eligible": lambda f: f.pubs.filter(eligible(AS_OF)).select("author_pub_id", "pub_year", "num_citations"),
+    "prj_5_timeline_slice": lambda f: f.timeline.filter((F.col("citation_year") >= F.col("pub_year")) & (F.col("citation_year") <= 2010)),
+    "pub_1_publication_current": lambda f: f.current,
+    "pub_2_citation_timeline": lambda f: f.timeline,
+    "pub_3_timeline_percentiles": lambda f: f.timeline_pct,
+    "aut_1_publication_counts": lambda f: au.publication_counts(f.listed, f.current, AS_OF),
+    "aut_2_first_cited_year": lambda f: au.first_cited_year(f.listed, f.current, AS_OF),
+    "aut_3_author_rows": lambda f: f.author_rows,
+    "aut_4_author_current": lambda f: f.stats,
+    "aut_5_productivity_curve": lambda f: au.productivity_curve(f.cohort),
+    "aut_6_publication_rank": lambda f: f.ranked,
+    "aut_7_pip_inputs": lambda f: f.inputs,
+    "aut_8_pip_auc": lambda f: f.auc,
+    "aut_9_auc_percentile": lambda f: f.scores,
+    "tmp_1_publication_state": lambda f: f.state,
+    "tmp_2_first_cited_year": lambda f: f.first_year,
+    "tmp_3_h_index": lambda f: te.h_index(f.state, "cumulative_citations_at_state_year", "h_index"),
+    "tmp_4_recent_citations": lambda f: te.recent_citations(f.state).select(*STATE, "citations_last_5_years"),
+    "tmp_5_h_index_5y": lambda f: te.h_index(te.recent_citations(f.state), "citations_last_5_years", "h_index_5y"),
+    "tmp_6_yearly_totals": lambda f: te.yearly_totals(te.recent_citations(f.state)),
+    "tmp_7_recent_totals": lambda f: te.recent_totals(f.state),
+    "tmp_8_temporal_metrics": lambda f: f.metrics,
+    "tmp_9_author_temporal": lambda f: f.temporal,
+    "net_1_edges": lambda f: f.edges,
+    "net_2_unregistered": lambda f: f.counted,
+    "net_3_top_unregistered": lambda f: network.top_unregistered(f.counted, 3),
+    "net_4_sample": lambda f: network.sample_ids(f.counted, "coauthor_scholar_id", 20, SEED),
+    "res_1_split_authors": lambda f: f.names[0],
+    "res_2_exact": lambda f: f.resolved,
+    "res_3_by_coauthor": lambda f: resolution.resolve_by_coauthor(f.resolved, f.names[1], f.edges),
+    "res_4_arrays": lambda f: resolution.resolution_arrays(f.resolved).select("author_pub_id", F.size("author_resolutions").cast("bigint").alias("n"), F.array_join(F.transform("author_resolutions", lambda x: F.concat_ws("/", x["name"], F.coalesce(x["scholar_id"], F.lit("-")), x["method"])), ";").alias("resolutions")),
+    "res_5_totals": lambda f: resolution.resolution_totals(f.resolved),
+    "srv_1_author_publications": lambda f: f.served,
+    "srv_2_author_with_score": lambda f: serving.authors_with_scores(f.stats, f.scores, "C7"),
+    "srv_3_all_authors": lambda f: f.with_scores,
+    "srv_4_publication_by_year": lambda f: f.by_year,
+    "srv_5_author_by_year": lambda f: serving.author_by_year(f.temporal, "C7"),
+    "srv_6_last_modified": lambda f: f.modified,
+    "srv_7_stale_keys": lambda f: serving.stale_keys(f.modified, f.authors.filter(F.crc32("scholar_id") % 2 == 0).select(F.col("scholar_id").alias("key"), F.col("timestamp"))),
+    "srv_8_author_profiles": _profiles,
+    "ref_1_stale_documents": lambda f: f.stale,
+    "ref_2_authors_to_refresh": lambda f: refresh.authors_to_refresh(f.authors.withColumn("document_id", F.col("scholar_id")), F.to_timestamp(F.lit(NOW)), 20, seed=SEED),
+    "ref_3_worklist": _worklist,
+    "ref_4_new_tasks": lambda f: refresh.new_tasks(f.authors, "scholar_id", f.pending),
+    "ref_5_publication_tasks": lambda f: refresh.publication_tasks(f.listed, f.stale, f.pending),
+    "ref_6_without_dead": _liveness,
+    "cht_1_scatter": lambda f: serving.scatter_frame(f.served, AS_OF, "num_papers_percentile"),
+    "cht_2_timeline": lambda f: serving.timeline_frame(f.by_year),
+    "cht_3_metrics": lambda f: serving.metric_frame(f.temporal),
+    "cht_4_display": lambda f: serving.display_values(f.stats, AS_OF),
+}
+
+#: Joins have no function of their own: each runs inside its host.
+JOINS = {
+    "jn_1_series_citations": "pub_2_citation_timeline", "jn_2_listed_current_left": "aut_1_publication_counts", "jn_3_listed_current": "aut_2_first_cited_year",
+    "jn_4_author_attributes": "aut_3_author_rows", "jn_5_current_stats": "aut_6_publication_rank", "jn_6_nearest_points": "aut_7_pip_inputs",
+    "jn_7_listed_timeline": "tmp_1_publication_state", "jn_8_temporal_left": "tmp_8_temporal_metrics", "jn_9_range_sum": "tmp_7_recent_totals",
+    "jn_10_not_in": "net_2_unregistered", "jn_11_scores": "srv_3_all_authors",
+}
+
+QUERIES = {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, build in FRAMES.items()}
+QUERIES |= {name: QUERIES[host] for name, host in JOINS.items()}
