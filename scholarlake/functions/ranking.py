@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percent_rank_by(df: DataFrame, keys: list[str], metrics: dict[str, str], mode: str = "histogram") -> DataFrame:
+def percent_rank_by(df: DataFrame, keys: list[str], metrics: dict[str, str], mode: str = "histogram", population: DataFrame | None = None) -> DataFrame:
     """Add ``out``: (rows of the group strictly below) / (rows - 1), 0 alone, for each out -> value of ``metrics``.
 
     Null values rank lowest, null keys form a group. The histogram counts distinct
     values with partial aggregation and joins their ranks back; only the distinct
-    values of a group meet in one task.
+    values of a group meet in one task. ``population`` is what is counted, where it is
+    simpler than ``df`` itself (df without columns that joins have added).
     """
     if mode == "window":
         ranks = {out: F.percent_rank().over(Window.partitionBy(*keys).orderBy(F.col(v).asc_nulls_first())) for out, v in metrics.items()}
         return df.withColumns(ranks)
     if mode != "histogram":
         raise ValueError(f"unknown mode {mode}")
+    population = df if population is None else population  # never the result of a former step: plans would double with each metric
     for out, value in metrics.items():
         group = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
-        counts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = population.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         below = F.coalesce(F.sum("_n").over(group.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         total = F.sum("_n").over(group)
         ranks = counts.select(*[f"_k{i}" for i in range(len(keys))], "_v", F.when(total > 1, below / (total - 1)).otherwise(0.0).alias(out))

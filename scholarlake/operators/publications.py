@@ -31,4 +31,4 @@ def citation_timeline(pubs: DataFrame, horizon_year: int) -> DataFrame:
 def timeline_percentiles(timeline: DataFrame, mode: str = "histogram") -> DataFrame:
     kinds = ("yearly_citations", "cumulative_citations")
     rows = percent_rank_by(timeline, ["pub_year", "citation_year"], {f"perc_pub_year_{k}": k for k in kinds}, mode)
-    return percent_rank_by(rows, ["age"], {f"perc_age_{k}": k for k in kinds}, mode)
+    return percent_rank_by(rows, ["age"], {f"perc_age_{k}": k for k in kinds}, mode, timeline)

@@ -34,6 +34,12 @@ class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def store(self, df: DataFrame) -> DataFrame:
+        """A view that several others read, written once: plans stay linear and restart at files."""
+        path = scratch(self.spark)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def table(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.dir, name)
 
@@ -51,11 +57,11 @@ class Frames:
 
     @cached_property
     def pubs(self):
-        return documents.decode_publications(self.raw_pubs)
+        return self.store(documents.decode_publications(self.raw_pubs))
 
     @cached_property
     def listed(self):
-        return documents.author_publications(self.raw_authors)
+        return self.store(documents.author_publications(self.raw_authors))
 
     @cached_property
     def edges(self):
@@ -63,11 +69,11 @@ class Frames:
 
     @cached_property
     def current(self):
-        return pu.publication_current(self.pubs, AS_OF)
+        return self.store(pu.publication_current(self.pubs, AS_OF))
 
     @cached_property
     def timeline(self):
-        return pu.citation_timeline(self.pubs, HORIZON)
+        return self.store(pu.citation_timeline(self.pubs, HORIZON))
 
     @cached_property
     def timeline_pct(self):
@@ -75,7 +81,7 @@ class Frames:
 
     @cached_property
     def author_rows(self):
-        return au.author_rows(self.authors, self.listed, self.current, AS_OF)
+        return self.store(au.author_rows(self.authors, self.listed, self.current, AS_OF))
 
     @cached_property
     def stats(self):
@@ -95,7 +101,7 @@ class Frames:
 
     @cached_property
     def inputs(self):
-        return au.pip_inputs(self.ranked, au.productivity_curve(self.cohort))
+        return self.store(au.pip_inputs(self.ranked, au.productivity_curve(self.cohort)))
 
     @cached_property
     def auc(self):
@@ -103,11 +109,11 @@ class Frames:
 
     @cached_property
     def scores(self):
-        return au.auc_percentile(self.auc, self.cohort)
+        return self.store(au.auc_percentile(self.auc, self.cohort))
 
     @cached_property
     def state(self):
-        return te.publication_state(self.listed, self.timeline)
+        return self.store(te.publication_state(self.listed, self.timeline))
 
     @cached_property
     def first_year(self):
@@ -115,7 +121,7 @@ class Frames:
 
     @cached_property
     def metrics(self):
-        return te.temporal_metrics(self.state, self.first_year)
+        return self.store(te.temporal_metrics(self.state, self.first_year))
 
     @cached_property
     def temporal(self):
