@@ -98,6 +98,7 @@ class Model:
             root = np.where(table[0] >= 0, table[0], 0)
             # no way on: a phrase ends and the letter starts the next one
             step = np.where(table >= 0, (table + base) * 2, (root[None] + base) * 2 + 1)
+            step[0] |= 1  # at the root no phrase is open, so any letter starts one
             tables.append(step.astype(np.int32))
             self.roots.append(base)
             base += n
@@ -120,7 +121,7 @@ class Model:
             active = np.searchsorted(-lengths, -np.arange(lanes[0][2]), side="left")  # lanes still running at each step
             owner = np.array([k for k, *_ in lanes])
             for g, root in enumerate(self.roots):
-                state, ended = np.full(len(lanes), root, np.int32), np.ones(len(lanes), np.int64)
+                state, ended = np.full(len(lanes), root, np.int32), np.zeros(len(lanes), np.int64)
                 for i in range(len(grid)):
                     m = active[i]
                     step = self.table[state[:m] * self.width + grid[i, :m]]
