@@ -34,6 +34,8 @@ from .common import materialize, read_table
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 5, 0.9999
 #: A chunk pair holds at most about so many documents and n-grams on either side.
 CHUNK_DOCS, CHUNK_GRAMS = 512, 400_000
+#: Ids of candidates are broadcast up to this many (8 bytes each).
+BROADCAST_IDS = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,14 +105,16 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
 def candidate_buckets(reps: DataFrame) -> DataFrame:
     """(bucket, doc_id, grams, chunks): members of each distinct bucket of two or more."""
     banded = reps.select("doc_id", "grams", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    banded = materialize(banded.join(shared, "band"), "shared-bands")  # all further work is on documents that meet another
     # order-free fingerprints of a bucket's members: summed on the map side, no member list
-    prints = banded.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all_grams"), F.min("doc_id").alias("least"),
+    prints = banded.groupBy("band", "n").agg(
+        F.sum("grams").alias("all_grams"), F.min("doc_id").alias("least"),
         F.expr("bit_xor(xxhash64(doc_id))").alias("p1"), F.expr("bit_xor(xxhash64(doc_id, 7L))").alias("p2"),
-    ).filter("n > 1")
+    )
     distinct = prints.groupBy("n", "least", "p1", "p2").agg(F.min("band").alias("band"), F.first("all_grams").alias("all_grams"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("all_grams") / CHUNK_GRAMS)).cast("int")
-    return banded.join(distinct.select("band", "n", "all_grams", chunks.alias("chunks")), "band").withColumnRenamed("band", "bucket")
+    return banded.drop("n").join(distinct.select("band", "n", "all_grams", chunks.alias("chunks")), "band").withColumnRenamed("band", "bucket")
 
 
 def links_within(sets: list[np.ndarray], other: np.ndarray, owner: np.ndarray, buckets: list[np.ndarray], bucket: int, threshold: float, both: bool):
@@ -258,7 +262,9 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     members = materialize(members.join(own, "doc_id").join(copies, "doc_id"), "members")
     total = members.agg(F.sum(F.col("grams") * F.col("chunks"))).first()[0] or 0
     ids = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if members.count() <= BROADCAST_IDS:  # so the texts of the corpus need no shuffle; beyond the bound they take one
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     found = materialize(verified(members, texts, width, threshold, max(8, total // 1_000_000)), "links")
     roots = components(found.filter("to_id is not null").select(F.col("doc_id").alias("a"), F.col("to_id").alias("b")))
     links = found.filter("to_id is null").groupBy("doc_id").agg(F.sum("links").alias("links"))
