@@ -54,17 +54,18 @@ class WordCache(dict):
         new = [c for c in dict.fromkeys(chunks) if c not in self]
         found, plain = {}, []
         for chunk in new:
-            bare = chunk[1:] if chunk[0] in " \n" else chunk
+            bare = chunk[1:] if chunk[:1] in MARKS else chunk
             if bare and not bare[0].isspace() and not bare[-1].isspace():
                 plain.append(chunk)
             else:
                 found[chunk] = None
         if plain:
-            joined = "\n".join(c[1:] if c[0] == "\n" else c for c in plain)
+            whole = [c[1:] if c[0] in MARKS else " " + c for c in plain]
+            joined = "\n".join(whole)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
             edges = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else ids[:0]
             if len(edges) != len(plain) - 1:  # a chunk holds another kind of line feed
-                parts = [np.array(self.tokenizer.encode(c.lstrip("\n"), add_special_tokens=False).ids, self.dtype) for c in plain]
+                parts = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype) for c in whole]
             else:
                 ends = [0, *(edges + 1).tolist(), len(ids) + 1]
                 parts = [ids[a : b - 1] for a, b in zip(ends, ends[1:], strict=False)]
@@ -76,11 +77,14 @@ class WordCache(dict):
         return found
 
 
+#: First characters of chunks that no space precedes: at a line feed, and at the start of a text.
+MARKS = ("\n", "\0")
+
+
 def chunks_of(text: str) -> list[str]:
-    """Chunks that start at a single space or at a line feed, and hold no other."""
-    parts = text.replace("\n", " \n").split(" ")
-    out = [p if p[:1] == "\n" else " " + p for p in parts]
-    out[0] = parts[0] or " "
+    """Chunks after single spaces (not written), at line feeds and at the start (both marked)."""
+    out = text.replace("\n", " \n").split(" ")
+    out[0] = out[0] if out[0][:1] == "\n" else "\0" + out[0]
     return out
 
 
@@ -104,13 +108,15 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
             out.append(b"")
             continue
         try:
+            if "\0" in text:
+                raise TypeError
             chunks = chunks_of(text)
             try:
                 out.append(b"".join(map(cache.__getitem__, chunks)))
             except KeyError:
                 found = cache.learn(chunks)
                 out.append(b"".join([found[c] if c in found else cache[c] for c in chunks]))
-        except TypeError:  # white space at a chunk's edge
+        except TypeError:  # white space at a chunk's edge, or a mark in the text
             out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes())
     return out
 

@@ -114,7 +114,7 @@ def test_packing(docs, empty, rows):
 def test_chunked_encoding_is_exact():
     path = packing.default_tokenizer()
     tokenizer, _, dtype = packing.tokenizer_at(path)
-    texts = ["", " ", "  a", "a  b", "a \n b\n\nc ", "x   y", "tab\tx \t y", "<|endoftext|> a", "a b c", "é\n", "\n\n", "it's we'll\n's", "\r\n a\r", "　 x"]
+    texts = ["", " ", "  a", "a  b", "a \n b\n\nc ", "x   y", "tab\tx \t y", "<|endoftext|> a", "a b c", "é\n", "\n\n", "it's we'll\n's", "\r\n a\r", "　 x", "\n", "\nA b", "a\0b c", " \n x", "A\n"]
     for t, got in zip(texts, packing.encode_texts(texts, path), strict=True):
         assert np.frombuffer(got, dtype).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
