@@ -103,6 +103,8 @@ def vector() -> list[Column]:
     return [F.round(x * SCALE).cast("long") for x in logs]
 
 
+#: Tables with a row per group are broadcast up to this many groups (some 300 bytes each); beyond it they are shuffled.
+BROADCAST_GROUPS = 50_000
 DIMS = len(FLOOR)
 X = [f"x{i}" for i in range(DIMS)]
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
@@ -140,10 +142,13 @@ def distance() -> Column:
     return F.least(F.round(total * 64), F.lit(1 << 20)).cast("long")
 
 
-def estimates(vectors: DataFrame, core: float = 0.75, steps: int = 3) -> DataFrame:
-    """(key, m*, p*_*): the minimum-covariance-determinant estimate of each group of ``vectors`` (key, x*)."""
+def estimates(vectors: DataFrame, core: float = 0.75, steps: int = 3, per_group=lambda table: table) -> DataFrame:
+    """(key, m*, p*_*): the minimum-covariance-determinant estimate of each group of ``vectors`` (key, x*).
+
+    ``per_group`` marks the tables with a row per group before they are joined.
+    """
     middle = vectors.groupBy("key").agg(*[F.expr(f"percentile(x{i}, 0.5)").alias(f"q{i}") for i in range(DIMS)])
-    spread = vectors.join(middle, "key").groupBy("key").agg(
+    spread = vectors.join(per_group(middle), "key").groupBy("key").agg(
         *[F.first(f"q{i}").alias(f"q{i}") for i in range(DIMS)],
         *[F.expr(f"percentile(abs(x{i} - q{i}), 0.5)").alias(f"d{i}") for i in range(DIMS)],
     )
@@ -153,9 +158,9 @@ def estimates(vectors: DataFrame, core: float = 0.75, steps: int = 3) -> DataFra
     )
     now = materialize(now, "mcd")
     for step in range(steps):
-        at = vectors.join(now, "key").select("key", *X, distance().alias("d"))
+        at = vectors.join(per_group(now), "key").select("key", *X, distance().alias("d"))
         cut = at.groupBy("key").agg(F.expr(f"percentile(d, {core})").alias("cut"))
-        moments = at.join(cut, "key").filter(F.col("d") <= F.col("cut")).groupBy("key").agg(
+        moments = at.join(per_group(cut), "key").filter(F.col("d") <= F.col("cut")).groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS],
         )
@@ -174,7 +179,10 @@ def judge(
     stats = materialize(stats.select("*", *[v.alias(x) for v, x in zip(vector(), X, strict=True)]), "stats")
     vectors = stats.filter(~F.col("base_failed")).select(F.explode("_keys").alias("key"), *X)
     large = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_group) | (F.col("key") == "0"))
-    fits = estimates(vectors.join(large.select("key"), "key", "left_semi"), core, steps)
+    large = materialize(large, "groups")
+    # with few groups no row of a hot group is shuffled to meet its estimate
+    per_group = F.broadcast if large.count() <= BROADCAST_GROUPS else (lambda table: table)
+    fits = estimates(vectors.join(per_group(large.select("key")), "key", "left_semi"), core, steps, per_group)
     # every (lang, source) is mapped to the first of its keys that has an estimate: one row per group
     groups = stats.select("_keys").distinct()
     mapped = groups.select("_keys", F.posexplode("_keys").alias("at", "key")).join(fits, "key")
