@@ -30,7 +30,8 @@ def top_unregistered(counted: DataFrame, count: int, oversample: int = 100) -> D
 
 
 def seeded_order(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))
+    """A digest that other engines compute alike, so that a sample can be repeated there."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def sample_ids(df: DataFrame, key: str, count: int, seed: int = 0, random: bool = False) -> DataFrame:

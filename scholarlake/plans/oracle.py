@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .registry import JOINS
+from .registry import JOINS, SEED
 
 METRICS = ["hindex", "hindex5y", "citedby", "citedby5y", "i10index", "i10index5y"]
 COUNTS = ["total_publications", "total_publications_with_citations"]
@@ -19,6 +19,18 @@ def ts(key: str) -> str:
     return f"(TIMESTAMP '2025-01-01' - to_days(CAST({key} % 200 AS INTEGER)))"
 
 
+def one_in(key: str, n: int) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT % {n} = 0)"
+
+
+def task_key(key: str) -> str:
+    return f"replace(replace({key}, ':', '__'), '/', '___')"
+
+
+def sample(ids: str, key: str, count: int) -> str:
+    return f"SELECT {key} FROM (SELECT DISTINCT {key} FROM {ids} WHERE {key} IS NOT NULL) ORDER BY md5('{SEED}:' || {key}), {key} LIMIT {count}"
+
+
 _metrics = ", ".join(f"CASE WHEN c_custkey % 89 <> 0 THEN (c_custkey * {i + 3}) % {17 + 10 * i} END AS {m}" for i, m in enumerate(METRICS))
 
 CTE = {
@@ -65,6 +77,8 @@ CTE = {
     "modified": "SELECT a.scholar_id, greatest(a.timestamp, p.t) AS last_modified FROM authors a LEFT JOIN (SELECT scholar_id, max(timestamp) AS t FROM pubs GROUP BY scholar_id) p USING (scholar_id)",
     "snapshot": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stale": "SELECT scholar_id, timestamp FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 500",
+    "pending": f"SELECT {task_key('scholar_id')} AS task_key FROM authors WHERE {one_in('scholar_id', 3)}",
+    "sizes": "SELECT scholar_id, count(*)::BIGINT AS n_publications FROM pubs GROUP BY scholar_id",
 }
 
 
@@ -130,6 +144,7 @@ SQL = {
     "net_1_edges": everything("edges"),
     "net_2_unregistered": everything("counted"),
     "net_3_top_unregistered": sql("SELECT coauthor_scholar_id, coauthor_name, sum(coauthor_count)::BIGINT AS total_count FROM counted GROUP BY ALL ORDER BY total_count DESC, coauthor_scholar_id, coauthor_name LIMIT 300"),
+    "net_4_sample": sql(sample("counted", "coauthor_scholar_id", 20)),
     "res_1_split_authors": everything("names"),
     "res_2_exact": everything("resolved"),
     "res_3_by_coauthor": sql("SELECT r.author_pub_id, r.position, r.name, coalesce(r.scholar_id, s.c) AS scholar_id, CASE WHEN r.scholar_id IS NULL AND s.c IS NOT NULL THEN 'coauthor' ELSE r.method END AS method FROM resolved r LEFT JOIN single s ON r.author_pub_id = s.author_pub_id AND r.position = s.position"),
@@ -141,7 +156,13 @@ SQL = {
     "srv_4_publication_by_year": everything("by_year"),
     "srv_5_author_by_year": sql("SELECT * FROM temporal WHERE scholar_id = 'C7'"),
     "srv_6_last_modified": everything("modified"),
+    "srv_7_stale_keys": sql(f"SELECT m.scholar_id, m.last_modified FROM modified m LEFT JOIN (SELECT scholar_id, timestamp AS cached FROM authors WHERE {one_in('scholar_id', 2)}) c ON m.scholar_id = c.scholar_id WHERE cached IS NULL OR last_modified > cached"),
     "ref_1_stale_documents": everything("stale"),
+    "ref_2_authors_to_refresh": sql(sample("(SELECT scholar_id FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 2000)", "scholar_id", 20)),
+    "ref_3_worklist": sql(f"SELECT i.scholar_id, CASE WHEN a.scholar_id IS NULL THEN 'unknown' WHEN n_publications IS NULL AND name IS NULL THEN 'empty' ELSE 'known' END AS status, name, coalesce(n_publications, 0)::BIGINT AS n_publications FROM (SELECT scholar_id FROM authors WHERE {one_in('scholar_id', 5)} UNION SELECT coauthor_scholar_id FROM counted) i LEFT JOIN authors a ON i.scholar_id = a.scholar_id LEFT JOIN sizes s ON a.scholar_id = s.scholar_id"),
+    "ref_4_new_tasks": sql(f"SELECT DISTINCT {task_key('scholar_id')} AS task_key FROM authors EXCEPT SELECT task_key FROM pending"),
+    "ref_5_publication_tasks": sql(f"SELECT {task_key('author_pub_id')} AS task_key FROM listed WHERE scholar_id IN (SELECT scholar_id FROM stale) EXCEPT SELECT task_key FROM pending"),
+    "ref_6_without_dead": sql(f"SELECT scholar_id, name FROM authors WHERE NOT (scholar_id IN (SELECT scholar_id FROM stale) AND {one_in('scholar_id', 2)} AND (NOT {one_in('scholar_id', 3)} OR name = ''))"),
     "cht_1_scatter": sql("SELECT scholar_id, author_pub_id, (2025 - pub_year + 1)::BIGINT AS age, num_papers_percentile * 100 AS x, num_citations_percentile * 100 AS y FROM served WHERE pub_year IS NOT NULL"),
     "cht_2_timeline": sql("SELECT author_pub_id, make_date(citation_year, 1, 1) AS year, yearly_citations, perc_yearly_citations, perc_cumulative_citations FROM by_year"),
     "cht_3_metrics": sql(" UNION ALL ".join(f"SELECT scholar_id, state_year, '{m}' AS metric, {m} AS value, {m}_percentile * 100 AS percentile FROM temporal" for m in ("h_index", "total_citations", "i10_index", "h_index_5y"))),
