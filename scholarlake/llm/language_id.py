@@ -150,10 +150,13 @@ def fit(labelled: DataFrame, sample_chars: int = 40_000, sample_docs: int = 400,
     from pyspark.sql import Window
 
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    # the first in hash order lie below this share of all hashes, so a hot language is cut before it is ranked
+    near = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * sample_docs + 100
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # ids first: the texts of the chosen few alone are read for the model
-    chosen = usable.select("doc_id", "lang").join(common, "lang").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_docs)
+    first = usable.select("doc_id", "lang").join(F.broadcast(common), "lang").filter(near)
+    chosen = first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_docs)
     ids = [(r["doc_id"]) for r in chosen.select("doc_id").collect()]
     rows = usable.filter(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, 4 * sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id").collect() if ids else []
     texts: dict[str, str] = {}
