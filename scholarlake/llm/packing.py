@@ -10,7 +10,8 @@ and partitions carry deficits through that formula alone. The stream is then cut
 every ``seq_len`` tokens, so that only the last sequence needs padding.
 
 Tokens are served in (block, doc_id) order of a hash-blocked prefix sum, which
-splits a queue with a third of all rows. Queues are the ``max_queues - 1`` largest
+splits a queue with a third of all rows; a queue has a block per ``block_tokens``
+tokens, ``blocks`` at least, so that what one task sorts does not grow. Queues are the ``max_queues - 1`` largest
 sources and one queue for all others together, so that the state stays bounded
 however many sources there are; nothing is dropped.
 
@@ -162,7 +163,7 @@ PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, d
 
 def pack(
     docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, window_sequences: int = 64,
-    max_queues: int = 64, blocks: int = 64, with_ids: bool = False,
+    max_queues: int = 64, blocks: int = 64, block_tokens: int = 1 << 25, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece of a document: where it lies in which sequence; its ids too, if asked."""
     tokens = materialize(tokenize(docs, tokenizer_path, end_id), "tokens")
@@ -176,25 +177,24 @@ def pack(
     queue = F.lit(len(largest))
     for i, (source, _) in enumerate(largest):
         queue = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(i)).otherwise(queue)
+    queue_blocks = F.array(*[F.lit(max(blocks, -(-t // block_tokens))) for t in totals or [0]])
     # the ids travel once: the sort that numbers a queue's tokens carries them
-    cells = tokens.withColumn("queue", queue).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    cells = tokens.withColumn("queue", queue).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.get(queue_blocks, F.col("queue"))))
     starts = (
         cells.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n"))
         .withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
-    # queues x blocks rows at most: a list of fixed bound, whatever the corpus
-    bases = {(r["queue"], r["block"]): r["base"] for r in starts.select("queue", "block", "base").collect()}
     order = Window.partitionBy("queue", "block").orderBy("doc_id", "n_tokens", F.crc32("ids"), "source").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("within", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    placed = cells.withColumn("within", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(starts.select("queue", "block", "base"), ["queue", "block"])
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = tokenizer_at(tokenizer_path)[2]
         for batch in batches:
             rows = []
-            for doc_id, source, n, ids, s, block, within in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids", "queue", "block", "within")), strict=True):
+            for doc_id, source, n, ids, s, q in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids", "queue", "q")), strict=True):
                 wide = np.frombuffer(ids, dtype).astype("<u4")
-                for start, length, sequence, offset in pieces_of(bases[s, block] + within, n, s, totals, windows, seq_len):
+                for start, length, sequence, offset in pieces_of(q, n, s, totals, windows, seq_len):
                     part = wide[start : start + length]
                     rows.append((doc_id, source, start, length, zlib.crc32(part.tobytes()), n, sequence, offset) + ((part.astype("i4").tolist(),) if with_ids else ()))
             kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6] + [pa.list_(pa.int32())] * with_ids
@@ -202,7 +202,7 @@ def pack(
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return placed.select("doc_id", "source", "n_tokens", "ids", "queue", "block", "within").mapInArrow(run, schema)
+    return placed.select("doc_id", "source", "n_tokens", "ids", "queue", (F.col("base") + F.col("within")).alias("q")).mapInArrow(run, schema)
 
 
 def default_tokenizer() -> str:
