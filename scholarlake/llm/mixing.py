@@ -27,6 +27,8 @@ from .common import ASCII_SPACE_RE, blocked_prefix_sum, materialize, read_table
 
 #: Rates are rounded to this many parts, so that running sums are exact integers.
 PARTS = 1 << 20
+#: About so many rows of a (source, size) cell are ranked in one task.
+CELL_ROWS = 250_000
 
 
 def n_words(text: Column) -> Column:
@@ -133,9 +135,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     targets = source_targets(cells, weights, share, float(cap))
     state = solve_tilts(cells, targets, float(cap), steps)
     copies = copies_by_cell(cells, state, cap)
+    # a hot cell is ranked in as many blocks as keep each near CELL_ROWS rows
+    hottest = cells.agg(F.max("n")).first()[0] or 0
+    blocks = max(32, -(-hottest // CELL_ROWS))
     # hashed order: which documents of a cell get the extra copy does not depend on their ids' order
     numbered = blocked_prefix_sum(
-        sized.withColumn("_order", F.xxhash64("doc_id")), ["source", "size"], ["_order", "doc_id"], F.lit(1), "rank", 32
+        sized.withColumn("_order", F.xxhash64("doc_id")), ["source", "size"], ["_order", "doc_id"], F.lit(1), "rank", blocks
     ).drop("_order")
     c = copies.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all_copies"))
     joined = numbered.join(c, numbered["source"].eqNullSafe(c["_s"]) & (numbered["size"] == c["_z"]), "left")
