@@ -84,12 +84,13 @@ def test_large_group_is_compared_in_chunks(spark, monkeypatch):
     assert {r.n_links for r in out} == {69} and {r.class_id for r in out} == {0}
 
 
-def test_packing(docs, empty, rows):
+@pytest.mark.parametrize("options", [{}, {"blocks": 2, "block_tokens": 500}], ids=["few blocks", "blocks by tokens"])
+def test_packing(docs, empty, rows, options):
     path = packing.default_tokenizer()
     tokenizer = packing.tokenizer_at(path)[0]
     want = Counter()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t, *_ in rows}
-    out = sorted(packing.pack(docs, path, seq_len=256, window_sequences=4, with_ids=True).collect(), key=lambda r: (r.sequence_id, r.offset))
+    out = sorted(packing.pack(docs, path, seq_len=256, window_sequences=4, with_ids=True, **options).collect(), key=lambda r: (r.sequence_id, r.offset))
     at = Counter()
     for r in out:
         assert r.offset == at[r.sequence_id] and r.ids == ids[r.doc_id][r.start : r.start + r.length] and r.doc_tokens == len(ids[r.doc_id])
@@ -223,6 +224,14 @@ def test_language(spark):
             assert model.phrases([model.encode(text)])[0, g] == n
 
 
+def test_language_sample_is_the_first_by_hash(spark):
+    df = spark.range(900).selectExpr("id AS doc_id", "concat('w', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "if(id % 10 = 0, 'bb', 'aa') AS lang")
+    hashed = sorted(df.selectExpr("xxhash64(doc_id) AS h", "text", "lang").collect(), key=lambda r: r.h)
+    texts = {k: " " + " ".join([r.text for r in hashed if r.lang == k][:5]) for k in ("aa", "bb")}
+    model, want = language_id.fit(df, sample_docs=5), language_id.Model(texts)
+    assert model.codes == want.codes and model.roots == want.roots and np.array_equal(model.table, want.table)
+
+
 def test_classifiers(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "omega"]
