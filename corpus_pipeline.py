@@ -45,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id."""
+    """One row of each group of near copies: that with the smallest doc_id. Rows with a null doc_id have no group and go."""
     return one_of_each(docs)
 
 
