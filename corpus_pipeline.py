@@ -3,7 +3,8 @@ in the shared scratch folder and read again as the next one's documents.
 
 1. quality rules: documents that the rules reject go.
 2. line dedup: lines that many documents share are dropped.
-3. n-gram Jaccard join: one document of each group of near copies stays.
+3. n-gram Jaccard join: one document of each group of near copies stays; rows with a
+   null doc_id and each different text of a repeated doc_id take part.
 4. mixing: every document is repeated (or left out) as the mix of its source asks.
 5. packing: all that is left is packed into sequences.
 
@@ -45,15 +46,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that with the smallest doc_id. Rows with a null doc_id have no group and go."""
+    """One row of each group of near copies: that with the smallest doc_id; a row with a null doc_id only where all have none."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; rows of 0 copies go."""
-    # ids are unique after the stage before, so a copy count belongs to one row
-    copies = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"] == copies["_id"])
+    # rows are numbered, as ids may be null or repeated
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    copies = mix(numbered, row="_row").filter("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    joined = numbered.join(copies, "_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

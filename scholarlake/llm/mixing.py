@@ -128,9 +128,14 @@ def blocked_sum_by_size(cells: DataFrame, blocks: int = 64) -> DataFrame:
     return blocked_prefix_sum(cells, ["source"], ["size"], F.col("parts"), "before", blocks)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, steps: int = 12) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``."""
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, steps: int = 12, row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``.
+
+    A column ``row`` is carried along, to tell rows with null or repeated ids apart;
+    then ties of doc_id go by hash of the text.
+    """
+    own_columns = [F.col(row), F.xxhash64("text").alias("_text")] if row else []
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *own_columns), "mix-sizes")
     cells = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     targets = source_targets(cells, weights, share, float(cap))
     state = solve_tilts(cells, targets, float(cap), steps)
@@ -140,14 +145,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     blocks = max(32, -(-hottest // CELL_ROWS))
     # hashed order: which documents of a cell get the extra copy does not depend on their ids' order
     numbered = blocked_prefix_sum(
-        sized.withColumn("_order", F.xxhash64("doc_id")), ["source", "size"], ["_order", "doc_id"], F.lit(1), "rank", blocks
+        sized.withColumn("_order", F.xxhash64("doc_id")), ["source", "size"], ["_order", "doc_id", *(["_text"] if row else [])], F.lit(1), "rank", blocks
     ).drop("_order")
     c = copies.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all_copies"))
     joined = numbered.join(c, numbered["source"].eqNullSafe(c["_s"]) & (numbered["size"] == c["_z"]), "left")
     own = F.floor(F.col("all_copies") / F.col("n")) + F.when(F.col("rank") < F.col("all_copies") % F.col("n"), 1).otherwise(0)
     joined = joined.withColumn("copies", own.cast("long"))
-    return _with_source(joined.select("doc_id", "source", "size", "copies"), state.select("source", "source_size", "target")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    kept = [row] if row else []
+    return _with_source(joined.select("doc_id", *kept, "source", "size", "copies"), state.select("source", "source_size", "target")).select(
+        "doc_id", *kept, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 

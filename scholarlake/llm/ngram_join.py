@@ -10,12 +10,14 @@
    compared in the first of them. A task returns sums and a spanning forest of the
    links it found, never the pairs, so its output is linear in the documents it read.
 4. Spanning edges are closed into groups by alternating star contraction on slim
-   (doc_id, doc_id) tables, in shared files.
+   (node, node) tables, in shared files. A node is the number of a text class, so that
+   different texts of one doc_id are nodes of their own.
 
 Defined results: a text with fewer than five words has one shingle, all its words; a
 null or empty text has none and links only to copies of no words' class, which is no
-class: it stays alone with 0 links. Repeated rows of one doc_id count as copies. Rows
-with a null doc_id take no part: null class_id, 0 links. Other columns are not read.
+class: it stays alone with 0 links. Repeated rows of one (doc_id, text) count as copies;
+each different text of a repeated doc_id has its own links and group. Rows with a null doc_id take no part: null class_id, 0 links. Other columns are not read.
+``one_of_each`` numbers the rows first, so there rows with a null doc_id take part.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ CHUNK_DOCS, CHUNK_GRAMS = 512, 400_000
 #: Ids of candidates are broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What tells text classes apart: two hashes and the number of n-grams.
+SEQUENCE = ["seq1", "seq2", "grams"]
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -80,6 +84,11 @@ def band_hashes(grams: np.ndarray, factors: np.ndarray, rows: int) -> np.ndarray
     return mixed(out + np.arange(len(out), dtype=np.uint64)).view(np.int64)
 
 
+def second_hash(grams: np.ndarray) -> int:
+    """Another hash of a text, of its n-gram set; 0 without n-grams."""
+    return int(mixed(np.bitwise_xor.reduce(grams)[None] + grams.sum(dtype=np.uint64))[0] >> np.uint64(1)) if len(grams) else 0
+
+
 def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     """(doc_id, seq1, seq2, grams, bands): word-sequence hashes, number of n-grams, band hashes."""
     factors = multipliers(rows * bands)
@@ -90,7 +99,7 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
             for text in batch.column("text"):
                 grams, sequence = shingles(text.as_py(), width)
                 first.append(sequence)
-                second.append(int(mixed(np.bitwise_xor.reduce(grams)[None] + grams.sum(dtype=np.uint64))[0] >> np.uint64(1)) if len(grams) else 0)
+                second.append(second_hash(grams))
                 sizes.append(len(grams))
                 hashes.append(band_hashes(grams, factors, rows) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
@@ -103,14 +112,14 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
 
 
 def candidate_buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, doc_id, grams, chunks): members of each distinct bucket of two or more."""
-    banded = reps.select("doc_id", "grams", F.explode("bands").alias("band"))
+    """(bucket, node, grams, chunks): members of each distinct bucket of two or more."""
+    banded = reps.select("node", "grams", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     banded = materialize(banded.join(shared, "band"), "shared-bands")  # all further work is on documents that meet another
     # order-free fingerprints of a bucket's members: summed on the map side, no member list
     prints = banded.groupBy("band", "n").agg(
-        F.sum("grams").alias("all_grams"), F.min("doc_id").alias("least"),
-        F.expr("bit_xor(xxhash64(doc_id))").alias("p1"), F.expr("bit_xor(xxhash64(doc_id, 7L))").alias("p2"),
+        F.sum("grams").alias("all_grams"), F.min("node").alias("least"),
+        F.expr("bit_xor(xxhash64(node))").alias("p1"), F.expr("bit_xor(xxhash64(node, 7L))").alias("p2"),
     )
     distinct = prints.groupBy("n", "least", "p1", "p2").agg(F.min("band").alias("band"), F.first("all_grams").alias("all_grams"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("all_grams") / CHUNK_GRAMS)).cast("int")
@@ -169,22 +178,27 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def verified(members: DataFrame, texts: DataFrame, width: int, threshold: float, bins: int) -> DataFrame:
-    """(doc_id, links, to_id): a row per document and task with links, and one per spanning edge (to_id not null)."""
+    """(node, links, to_node): a row per node and task with links, and one per spanning edge (to_node not null)."""
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width)[0].tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            found = [shingles(t.as_py(), width) for t in batch.column("text")]
+            numbers = [[sequence for _, sequence in found], [second_hash(grams) for grams, _ in found], [len(grams) for grams, _ in found]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in numbers], pa.array([grams.tobytes() for grams, _ in found], pa.binary())],
+                names=["doc_id", *SEQUENCE, "set"],
+            )
 
-    sets = texts.mapInArrow(grams_of, "doc_id long, set binary")
+    # different texts may share a doc_id: the set belongs to the text class
+    sets = texts.mapInArrow(grams_of, "doc_id long, seq1 long, seq2 long, grams long, set binary")
     # a member of chunk c meets every chunk of its bucket in the unordered pair (c, other)
-    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("doc_id", "copies", "buckets", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    placed = placed.join(sets, "doc_id").withColumn("bin", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(bins)))
+    placed = placed.select("node", "doc_id", *SEQUENCE, "copies", "buckets", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    placed = placed.join(sets, ["doc_id", *SEQUENCE]).drop("doc_id", *SEQUENCE).withColumn("bin", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(bins)))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, copies, bucket, own, lo, hi = (table.column(c).to_numpy() for c in ("doc_id", "copies", "bucket", "own", "lo", "hi"))
+        ids, copies, bucket, own, lo, hi = (table.column(c).to_numpy() for c in ("node", "copies", "bucket", "own", "lo", "hi"))
         lists, sets_ = table.column("buckets").combine_chunks(), table.column("set")
         order = np.lexsort((ids, hi, lo, bucket))
         edges = np.flatnonzero(np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0), True])
@@ -210,9 +224,9 @@ def verified(members: DataFrame, texts: DataFrame, width: int, threshold: float,
                 a_ids.append(int(ids[at[a]]))
                 a_links.append(0)
                 a_to.append(int(ids[at[b]]))
-        return pa.table({"doc_id": pa.array(a_ids, pa.int64()), "links": pa.array(a_links, pa.int64()), "to_id": pa.array(a_to, pa.int64())})
+        return pa.table({"node": pa.array(a_ids, pa.int64()), "links": pa.array(a_links, pa.int64()), "to_node": pa.array(a_to, pa.int64())})
 
-    return placed.groupBy("bin").applyInArrow(compare, "doc_id long, links long, to_id long")
+    return placed.groupBy("bin").applyInArrow(compare, "node long, links long, to_node long")
 
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
@@ -250,30 +264,30 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     """
     bands = bands_for(threshold, rows, recall)
     signed = materialize(signatures(docs, width, rows, bands), "signatures")
-    sequence = ["seq1", "seq2", "grams"]
-    classes = signed.filter("grams > 0").groupBy(*sequence).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
-    reps = signed.select("doc_id", "bands", *sequence).join(
-        classes.select(F.col("rep").alias("doc_id"), "copies", *sequence), ["doc_id", *sequence]
-    ).dropDuplicates(["doc_id", *sequence])
-    members = candidate_buckets(reps.select("doc_id", "grams", "bands")).dropDuplicates(["bucket", "doc_id"])
-    copies = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("copies").alias("copies"))
-    own = members.groupBy("doc_id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most one per band
-    members = materialize(members.join(own, "doc_id").join(copies, "doc_id"), "members")
+    classes = signed.filter("grams > 0").groupBy(*SEQUENCE).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = signed.select("doc_id", "bands", *SEQUENCE).join(
+        classes.select(F.col("rep").alias("doc_id"), "node", *SEQUENCE), ["doc_id", *SEQUENCE]
+    ).dropDuplicates(["node"])
+    members = candidate_buckets(reps.select("node", "grams", "bands")).drop("grams")
+    own = members.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most one per band
+    named = classes.select("node", F.col("rep").alias("doc_id"), *SEQUENCE, "copies")
+    members = materialize(members.join(own, "node").join(named, "node"), "members")
     total = members.agg(F.sum(F.col("grams") * F.col("chunks"))).first()[0] or 0
     ids = members.select("doc_id").distinct()
     if members.count() <= BROADCAST_IDS:  # so the texts of the corpus need no shuffle; beyond the bound they take one
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     found = materialize(verified(members, texts, width, threshold, max(8, total // 1_000_000)), "links")
-    roots = components(found.filter("to_id is not null").select(F.col("doc_id").alias("a"), F.col("to_id").alias("b")))
-    links = found.filter("to_id is null").groupBy("doc_id").agg(F.sum("links").alias("links"))
+    roots = components(found.filter("to_node is not null").select(F.col("node").alias("a"), F.col("to_node").alias("b")))
+    roots = roots.select(F.col("id").alias("node"), "root")
+    least = roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
+    links = found.filter("to_node is null").groupBy("node").agg(F.sum("links").alias("links"))
     per_class = (
-        classes.join(links.select(F.col("doc_id").alias("rep"), "links"), "rep", "left")
-        .join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-        .select(*sequence, F.col("rep").alias("text_class"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        classes.join(links, "node", "left").join(roots.join(least, "root"), "node", "left")
+        .select(*SEQUENCE, F.col("rep").alias("text_class"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    out = signed.select("doc_id", *sequence).join(per_class, sequence, "left")
+    out = signed.select("doc_id", *SEQUENCE).join(per_class, SEQUENCE, "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("text_class", "doc_id").alias("text_class"))
     null = F.lit(None).cast("long")
     nameless = docs.filter(F.col("doc_id").isNull()).select(null.alias("doc_id"), null.alias("class_id"), F.lit(0).cast("long").alias("n_links"), null.alias("text_class"))
@@ -281,9 +295,24 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its group; repeated rows are kept once."""
-    kept = ngram_join(docs, **options).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near copies: that with the smallest doc_id, then text hash; null ids come last.
+
+    Rows are numbered first, so rows with a null doc_id and each different text of a
+    repeated doc_id take part like any other. A text without words is no copy of
+    another's; repeated rows of one (doc_id, text) are kept once.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join(numbered.select(F.col("_row").alias("doc_id"), "text"), **options)
+    groups = groups.select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class"))
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    first = F.struct(
+        F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), F.col("text")).alias("h2"),
+        F.xxhash64(*plain).alias("h"), F.col("_row").alias("row"),
+    )
+    kept = numbered.select("_row", first.alias("first")).join(groups, "_row").groupBy("_class").agg(F.min("first").alias("first"))
+    nameless_row = F.when(F.col("first.nameless"), F.col("first.row"))
+    kept = kept.groupBy("first.id", "first.h1", "first.h2", nameless_row.alias("other")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op1_ngram_join(spark, sf_dir):
