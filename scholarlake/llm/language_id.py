@@ -3,13 +3,15 @@
 For each language a suffix automaton of a bounded sample of its labelled text is
 built. A text is parsed greedily into the longest phrases that occur in that sample;
 the language that needs the fewest phrases per character wins. The automaton is
-totalised into a table (state, letter) -> (next state, phrase ended), so that parsing
-runs in lockstep over many pieces of text with numpy gathers. Long texts are cut into
+kept as sorted (state, letter) keys with (next state, phrase ended), over the letters of
+the language's own sample, all of them. A worker spreads the most frequent letters of a
+language into a dense table, so that parsing runs in lockstep over many pieces of text
+with numpy gathers; rarer letters are looked up among the keys. Long texts are cut into
 pieces of ``PIECE`` characters, all of which count; a cut ends a phrase.
 
 The sample is ``sample_chars`` characters a language, of the documents first in hash
-order; languages are at most ``max_languages``, the most frequent. Both bound the
-model that is broadcast; every document is scored whole.
+order. Every lang value is learned; they are broadcast in groups of ``GROUP`` languages.
+Every document is scored whole.
 
 Defined results: null text or a text without letters is ``und`` with score 0; with no
 labelled text every document is ``und``; equal phrase counts go to the smaller language
@@ -26,10 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, read_table
+from .common import crc_remainder, materialize, read_table
 
 PIECE = 1024
 LANES = 4096
+#: Languages in one broadcast (some 2 MB each).
+GROUP = 64
+#: Bytes of dense tables that a worker holds; those of further languages are spread anew for each batch.
+DENSE_BYTES = 128 << 20
 
 
 def letters_only(text: str) -> str:
@@ -71,8 +77,54 @@ class Automaton:
             last = new
 
 
+class Language:
+    """One language's automaton: sorted keys state * (letters + 1) + letter, and steps 2 * next state + phrase ended.
+
+    Letters are numbered within the language: the ``dense`` most frequent, then one
+    number for every letter that its sample lacks, then the rarer ones.
+    """
+
+    def __init__(self, text: str, codes: dict[str, int], letters: int):
+        counts: dict[str, int] = {}
+        for c in text:
+            counts[c] = counts.get(c, 0) + 1
+        alphabet = sorted(counts, key=lambda c: (-counts[c], c))
+        self.dense = min(letters, len(alphabet))
+        own = {c: i + (i >= self.dense) for i, c in enumerate(alphabet)}
+        self.span = len(alphabet) + 1
+        self.own = np.full(len(codes) + 1, self.dense, np.int32)
+        for c, i in own.items():
+            self.own[codes[c]] = i
+        automaton = Automaton([own[c] for c in text])
+        self.states = len(automaton.next)
+        ways = np.array([(s * self.span + c, 2 * t + (s == 0)) for s, to in enumerate(automaton.next) for c, t in to.items()], np.int64).reshape(-1, 2)
+        ways = ways[np.argsort(ways[:, 0])]  # at the root no phrase is open, so any letter starts one
+        self.keys, self.steps = np.ascontiguousarray(ways[:, 0]), ways[:, 1].astype(np.int32)
+
+    @property
+    def rare(self) -> bool:
+        return self.span > self.dense + 1
+
+    def table(self) -> np.ndarray:
+        """Steps by state * (dense + 1) + letter, for the dense letters and unknown ones."""
+        state, letter = np.divmod(self.keys, self.span)
+        some = letter < self.dense
+        table = np.empty((self.states, self.dense + 1), np.int32)
+        # no way on: a phrase ends and the letter starts the next one; an unknown one is a phrase
+        table[:] = np.append(self.steps[some & (state == 0)], 1)
+        table[state[some], letter[some]] = self.steps[some]
+        return table.reshape(-1)
+
+    def look_up(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Steps for letters that the sample holds."""
+        key = state.astype(np.int64) * self.span + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = np.where(self.keys[at] == key, at, np.searchsorted(self.keys, letter))
+        return self.steps[at]
+
+
 class Model:
-    """Languages, alphabet and one table over all their automata."""
+    """Languages, the letters of all their samples, and their automata."""
 
     def __init__(self, texts: dict[str, str], letters: int = 95):
         self.languages = sorted(texts)
@@ -80,51 +132,74 @@ class Model:
         for text in texts.values():
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
-        alphabet = sorted(counts, key=lambda c: (-counts[c], c))[:letters]
+        alphabet = sorted(counts, key=lambda c: (-counts[c], c))
         self.codes = {c: i for i, c in enumerate(alphabet)}
-        self.width = len(alphabet) + 1  # the last code is any other letter
-        self.lookup = np.full(0x110000, self.width - 1, np.uint8)
+        self.lookup = np.full(0x110000, len(alphabet), np.int32)  # the last code is any other letter
         for c, i in self.codes.items():
             self.lookup[ord(c)] = i
-        tables, self.roots, base = [], [], 0
-        for language in self.languages:
-            automaton = Automaton([self.codes.get(c, self.width - 1) for c in texts[language]])
-            n = len(automaton.next)
-            table = np.full((n, self.width), -1, np.int64)
-            for s, to in enumerate(automaton.next):
-                for c, t in to.items():
-                    table[s, c] = t
-            table[:, -1] = -1
-            root = np.where(table[0] >= 0, table[0], 0)
-            # no way on: a phrase ends and the letter starts the next one
-            step = np.where(table >= 0, (table + base) * 2, (root[None] + base) * 2 + 1)
-            step[0] |= 1  # at the root no phrase is open, so any letter starts one
-            tables.append(step.astype(np.int32))
-            self.roots.append(base)
-            base += n
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
+        self.parts = [Language(texts[language], self.codes, letters) for language in self.languages]
+        self.spread: dict[int, np.ndarray] = {}
+
+    @property
+    def roots(self) -> list[int]:
+        """Number of states before each language's root."""
+        return np.cumsum([0, *[p.states for p in self.parts]])[:-1].tolist()
+
+    @property
+    def table(self) -> np.ndarray:
+        """Keys and steps of all languages."""
+        return np.concatenate([np.stack([p.keys, p.steps]) for p in self.parts], axis=1) if self.parts else np.empty((2, 0), np.int64)
+
+    def share(self, spark_context):
+        """A function for the workers that returns the model, broadcast in groups of languages."""
+        frame = Model.__new__(Model)
+        frame.__dict__ |= self.__dict__ | {"parts": [], "spread": {}}
+        held = [spark_context.broadcast(x) for x in [frame, *[self.parts[at : at + GROUP] for at in range(0, len(self.parts), GROUP)]]]
+
+        def whole() -> Model:
+            model = held[0].value
+            model.parts = [part for group in held[1:] for part in group.value]
+            return model
+
+        return whole
+
+    def dense(self, g: int) -> np.ndarray:
+        if g in self.spread:
+            return self.spread[g]
+        table = self.parts[g].table()
+        if sum(t.nbytes for t in self.spread.values()) + table.nbytes <= DENSE_BYTES:
+            self.spread[g] = table
+        return table
 
     def encode(self, text: str) -> np.ndarray:
         return self.lookup[np.frombuffer(letters_only(text).encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases per text and language."""
-        out = np.zeros((len(coded), len(self.languages)), np.int64)
+        out = np.zeros((len(coded), len(self.parts)), np.int64)
         pieces = [(k, at, min(PIECE, len(x) - at)) for k, x in enumerate(coded) for at in range(0, len(x), PIECE)]
         pieces.sort(key=lambda p: -p[2])
+        blocks = []
         for first in range(0, len(pieces), LANES):
             lanes = pieces[first : first + LANES]
-            grid = np.zeros((lanes[0][2], len(lanes)), np.uint8)
+            grid = np.zeros((lanes[0][2], len(lanes)), np.int32)
             for lane, (k, at, n) in enumerate(lanes):
                 grid[:n, lane] = coded[k][at : at + n]
             lengths = np.array([n for *_, n in lanes])
             active = np.searchsorted(-lengths, -np.arange(lanes[0][2]), side="left")  # lanes still running at each step
-            owner = np.array([k for k, *_ in lanes])
-            for g, root in enumerate(self.roots):
-                state, ended = np.full(len(lanes), root, np.int32), np.zeros(len(lanes), np.int64)
+            blocks.append((grid, active, np.array([k for k, *_ in lanes])))
+        for g, part in enumerate(self.parts):
+            table, width = self.dense(g), part.dense + 1
+            for grid, active, owner in blocks:
+                state, ended = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
                 for i in range(len(grid)):
                     m = active[i]
-                    step = self.table[state[:m] * self.width + grid[i, :m]]
+                    own = part.own[grid[i, :m]]
+                    if part.rare and len(rare := np.flatnonzero(own >= width)):
+                        step = table[state[:m] * width + np.minimum(own, part.dense)]
+                        step[rare] = part.look_up(state[rare], own[rare])
+                    else:
+                        step = table[state[:m] * width + own]
                     ended[:m] += step & 1
                     state[:m] = step >> 1
                 np.add.at(out[:, g], owner, ended)
@@ -145,22 +220,22 @@ class Model:
         return ["und" if e else self.languages[b] for b, e in zip(best.tolist(), empty.tolist(), strict=True)], np.where(empty, 0.0, score)
 
 
-def fit(labelled: DataFrame, sample_chars: int = 40_000, sample_docs: int = 400, max_languages: int = 64) -> Model:
+def fit(labelled: DataFrame, sample_chars: int = 40_000, sample_docs: int = 400) -> Model:
     """Learn from (doc_id, text, lang); at most ``sample_docs`` documents a language reach the driver."""
     from pyspark.sql import Window
 
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    counts = usable.groupBy("lang").count()
     # the first in hash order lie below this share of all hashes, so a hot language is cut before it is ranked
     near = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * sample_docs + 100
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # ids first: the texts of the chosen few alone are read for the model
-    first = usable.select("doc_id", "lang").join(F.broadcast(common), "lang").filter(near)
+    first = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(near)
     chosen = first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_docs)
-    ids = [(r["doc_id"]) for r in chosen.select("doc_id").collect()]
-    rows = usable.filter(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, 4 * sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id").collect() if ids else []
+    ids = F.broadcast(materialize(chosen.select("doc_id", "lang"), "language-sample"))
+    rows = usable.join(ids, ["doc_id", "lang"], "left_semi").select("lang", F.substring("text", 1, 4 * sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
+    for r in rows.orderBy("lang", "h", "doc_id", "text").toLocalIterator():  # one partition at a time
         held = texts.get(r["lang"], "")
         if len(held) < sample_chars:
             texts[r["lang"]] = (held + " " + letters_only(r["text"]))[:sample_chars]
@@ -169,13 +244,14 @@ def fit(labelled: DataFrame, sample_chars: int = 40_000, sample_docs: int = 400,
 
 def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of whole texts."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.share(docs.sparkSession.sparkContext)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared()
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                names, score = held.value.predict(part["text"].tolist())
+                names, score = model.predict(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": names, "score": score})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")

@@ -44,3 +44,32 @@ def test_links_of_different_texts_under_one_id(spark):
     df = spark.createDataFrame([(1, a), (1, b), (2, other(a)), (3, other(b))], "doc_id long, text string")
     out = ngram_join.ngram_join(df).collect()
     assert [r.n_links for r in out] == [1] * 4 and {r.class_id for r in out} == {1}
+
+
+def test_letters_of_all_scripts_and_all_languages(spark):
+    rng = random.Random(4)
+    ranges = {"el": (0x3B1, 24), "ru": (0x430, 32), "ar": (0x628, 19), "zh": (0x4E00, 900), "zz": (0x5E00, 900)}
+    texts = {}
+    for k, (first, n) in ranges.items():
+        words = ["".join(chr(first + rng.randrange(n)) for _ in range(3)) for _ in range(400)]
+        texts[k] = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(30)]
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20)]
+        texts[f"x{k:02}"] = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(3)]
+    rows = [(n, t, k) for n, (t, k) in enumerate((t, k) for k in sorted(texts) for t in texts[k])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    out = {r.doc_id: r.lang_pred for r in language_id.predict_language(df, model).collect()}
+    assert model.languages == sorted(texts) and all(out[n] == k for n, _, k in rows)
+    # rare letters by definition of phrases, with a small dense table
+    small = {"aa": "abcabdefgab", "bb": "xyzabgh"}
+    model = language_id.Model(small, letters=2)
+    for text in ("abcd", "gabxyz", "efgabq", "hgfedcba", "zabgha"):
+        for g, known in enumerate(small.values()):
+            n, at = 0, 0
+            while at < len(text):
+                k = at + 1
+                while k < len(text) and text[at : k + 1] in known:
+                    k += 1
+                n, at = n + 1, k
+            assert model.phrases([model.encode(text)])[0, g] == n
