@@ -7,6 +7,8 @@ deviation) form the content cluster. The cluster votes, by its characters, for t
 content region: the article or main element with the most of it, else the element that
 holds nearly all of it. All blocks of the region are returned in page order, but for
 those in boilerplate elements (menus, footers, asides, forms, adverts, comments ...).
+A class or id name alone makes no boilerplate of an element that holds the page's largest
+article or main, or most of the cluster; this is decided after parsing.
 
 Defined results: null, empty or tag-less pages without text give an empty text; text
 outside any element counts; unclosed and stray tags never fail; repeated rows are
@@ -49,6 +51,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bool:
+    """By tag, role or being hidden, whatever the element holds."""
     if tag in BOILERPLATE:
         return True
     if tag == "header":
@@ -61,18 +64,25 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_region: boo
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body") and not MARKS.isdisjoint(w.lower() for w in WORD.findall(value)):
-            return True
     return False
 
 
+def is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """By a word of its class or id."""
+    names = (value or "" for name, value in attrs if name in ("class", "id") and tag not in ("html", "body"))
+    return any(not MARKS.isdisjoint(w.lower() for w in WORD.findall(value)) for value in names)
+
+
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, boilerplate?, ids of the enclosing elements)."""
+    """Events to lines: (text, tags, boilerplate whatever the marks?, ids of the enclosing elements)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, element id, boilerplate
         self.elements: list[str] = []
+        # the ids around each marked element, and around each article and main, outside boilerplate
+        self.marked: dict[int, tuple[int, ...]] = {}
+        self.within: dict[int, tuple[int, ...]] = {}
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -85,8 +95,8 @@ class Lines(HTMLParser):
         self.parts = []
 
     def cut(self, depth: int) -> None:
-        """Close the elements from ``depth`` on; a change of boilerplate ends a block too."""
-        if any(t in BLOCK or b != self.open[depth - 1][2] if depth else t in BLOCK or b for t, _, b in self.open[depth:]):
+        """Close the elements from ``depth`` on; a change of boilerplate or a mark ends a block too."""
+        if any(t in BLOCK or e in self.marked or b != self.open[depth - 1][2] if depth else t in BLOCK or b for t, e, b in self.open[depth:]):
             self.flush()
         del self.open[depth:]
 
@@ -101,9 +111,14 @@ class Lines(HTMLParser):
                 self.cut(at)
         within = bool(self.open) and self.open[-1][2]
         bad = within or is_boilerplate(tag, attrs, any(t in REGIONS for t, *_ in self.open))
-        if tag in BLOCK or bad != within:
+        marked = not bad and is_marked(tag, attrs)
+        if tag in BLOCK or bad != within or marked:
             self.flush()
         if tag not in VOID:
+            if marked:
+                self.marked[len(self.elements)] = tuple(e for _, e, _ in self.open)
+            if tag in REGIONS and not bad:
+                self.within[len(self.elements)] = tuple(e for _, e, _ in self.open)
             self.open.append((tag, len(self.elements), bad))
             self.elements.append(tag)
 
@@ -128,6 +143,39 @@ def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def cluster(lines: list[tuple], bad: list[bool], threshold: float) -> tuple[list[int], dict[int, int]]:
+    """The content cluster's lines, and its characters in each element."""
+    # boilerplate keeps its place in the sequence, as lines without text
+    ratios = smooth(np.array([0.0 if b else len(text) / max(tags, 1) for (text, tags, *_), b in zip(lines, bad, strict=True)]))
+    usable = [i for i, b in enumerate(bad) if not b]
+    content = [i for i in usable if ratios[i] >= threshold * ratios.std()] or usable
+    votes: dict[int, int] = {}
+    for i in content:
+        for e in lines[i][3]:
+            votes[e] = votes.get(e, 0) + len(lines[i][0])
+    return content, votes
+
+
+def boilerplate_marks(parser: Lines, threshold: float) -> set[int]:
+    """The marked elements but those that hold the largest article or main outside their own, or most of the cluster."""
+    if not parser.marked or all(line[2] for line in parser.lines):
+        return set(parser.marked)
+    content, votes = cluster(parser.lines, [line[2] for line in parser.lines], threshold)
+    total = sum(len(parser.lines[i][0]) for i in content)
+    # regions without a mark of their own, the largest first
+    regions = sorted((e for e in parser.within if e not in parser.marked and votes.get(e)), key=lambda e: -votes[e])
+    inside: dict[int, int] = {}
+    for r in regions:
+        for e in parser.within[r]:
+            inside.setdefault(e, votes[r])
+    out = set()
+    for e, around in parser.marked.items():
+        outside = next((votes[r] for r in regions if e not in parser.within[r] and r not in around and r != e), 0)
+        if not (inside.get(e, 0) >= max(outside, 1) or not outside and 2 * votes.get(e, 0) > total):
+            out.add(e)
+    return out
+
+
 def main_text(html: str | None, threshold: float = 0.5) -> str:
     if not html:
         return ""
@@ -135,17 +183,12 @@ def main_text(html: str | None, threshold: float = 0.5) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    usable = [i for i, line in enumerate(lines) if not line[2]]
+    lines, marks = parser.lines, boilerplate_marks(parser, threshold)
+    bad = [line[2] or not marks.isdisjoint(line[3]) for line in lines]
+    usable = [i for i, b in enumerate(bad) if not b]
     if not usable:
         return ""
-    # boilerplate keeps its place in the sequence, as lines without text
-    ratios = smooth(np.array([0.0 if bad else len(text) / max(tags, 1) for text, tags, bad, _ in lines]))
-    content = [i for i in usable if ratios[i] >= threshold * ratios.std()] or usable
-    votes: dict[int, int] = {}
-    for i in content:
-        for e in lines[i][3]:
-            votes[e] = votes.get(e, 0) + len(lines[i][0])
+    content, votes = cluster(lines, bad, threshold)
     regions = [e for e in votes if parser.elements[e] in REGIONS]
     if regions:
         best = max(regions, key=lambda e: (votes[e], e))
@@ -153,8 +196,6 @@ def main_text(html: str | None, threshold: float = 0.5) -> str:
         total = sum(len(lines[i][0]) for i in content)
         best = max((e for e in votes if votes[e] >= 0.9 * total), default=None)
     chosen = usable if best is None else [i for i in usable if best in lines[i][3]]
-    if not regions and best is not None:  # without an article, the cluster's stretch of the region
-        chosen = [i for i in chosen if content[0] <= i <= content[-1]]
     return "\n".join(lines[i][0] for i in chosen)
 
 

@@ -73,3 +73,24 @@ def test_letters_of_all_scripts_and_all_languages(spark):
                     k += 1
                 n, at = n + 1, k
             assert model.phrases([model.encode(text)])[0, g] == n
+
+
+LONG = "This is a paragraph of the article with quite enough words in it to count as content of the page."
+
+
+@pytest.mark.parametrize("name", ['class="layout has-sidebar"', 'id="page-with-comments"'])
+def test_marked_wrappers_keep_their_text(name):
+    boxes = f'<div class="sidebar">Side box</div><div id="comments"><article class="comment">{LONG[::-1]}</article></div>'
+    page = f"<body><div {name}><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></article>{boxes}</div></body>"
+    want = f"Head\n{LONG}\n{LONG}\nEnd."
+    assert html_extraction.main_text(page) == want
+    assert html_extraction.main_text(page.replace("<body>", "<body><main>")) == want
+    plain = f"<body><div {name}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p><div class='sidebar'>Side</div></div></body>"
+    assert html_extraction.main_text(plain) == want
+    teasers = f"<main><article><p>{LONG}</p><p>{LONG}</p></article><div class='related'><article>Another one</article></div></main>"
+    assert html_extraction.main_text(teasers) == f"{LONG}\n{LONG}"
+
+
+def test_blocks_at_the_edges_of_a_region_stay():
+    page = f"<body><div><h2><a>A</a><a>B</a></h2><h2><a>T</a></h2><h2>U</h2>{f'<p>{LONG}</p>' * 3}<h2><i>x</i></h2><h2><i>y</i></h2><h2><i>z</i></h2></div></body>"
+    assert html_extraction.main_text(page) == "\n".join(["AB", "T", "U", LONG, LONG, LONG, "x", "y", "z"])
