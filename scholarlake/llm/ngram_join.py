@@ -229,16 +229,17 @@ def verified(members: DataFrame, texts: DataFrame, width: int, threshold: float,
     return placed.groupBy("bin").applyInArrow(compare, "node long, links long, to_node long")
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each node's connected component, for nodes with edges.
 
     Alternating large-star and small-star contraction: minima are partial aggregates,
-    and the joins back are on slim rows. Every round starts at files, not at lineage.
+    and the joins back are on slim rows. Every round starts at files, not at lineage;
+    rounds end when a round changes nothing.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = materialize(edges, "edges")
     before = None
-    for _ in range(most):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
