@@ -6,8 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from scholarlake.llm import (
     ann_forest, html_extraction, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity,
@@ -87,7 +89,7 @@ def test_large_group_is_compared_in_chunks(spark, monkeypatch):
 @pytest.mark.parametrize("options", [{}, {"blocks": 2, "block_tokens": 500}], ids=["few blocks", "blocks by tokens"])
 def test_packing(docs, empty, rows, options):
     path = packing.default_tokenizer()
-    tokenizer = packing.tokenizer_at(path)[0]
+    tokenizer = Tokenizer.from_file(path)
     want = Counter()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t, *_ in rows}
     out = sorted(packing.pack(docs, path, seq_len=256, window_sequences=4, with_ids=True, **options).collect(), key=lambda r: (r.sequence_id, r.offset))
@@ -114,10 +116,49 @@ def test_packing(docs, empty, rows, options):
 
 def test_chunked_encoding_is_exact():
     path = packing.default_tokenizer()
-    tokenizer, _, dtype = packing.tokenizer_at(path)
-    texts = ["", " ", "  a", "a  b", "a \n b\n\nc ", "x   y", "tab\tx \t y", "<|endoftext|> a", "a b c", "é\n", "\n\n", "it's we'll\n's", "\r\n a\r", "　 x", "\n", "\nA b", "a\0b c", " \n x", "A\n"]
-    for t, got in zip(texts, packing.encode_texts(texts, path), strict=True):
-        assert np.frombuffer(got, dtype).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    parts = ["ab", "Élan", "don't", "x9", "9", " ", "  ", "\n", "\n\n", "\t", "...", "!?", "&&&", "'s", "漢字", "ß", "\u3000", "-", "é", "\0", "\r"]
+    texts = ["", " ", "  a", "a  b", "a \n b\n\nc ", "x   y", "tab\tx \t y", "x <|endoftext|> y", "<|endoftext|> a", "a b c", "é\n", "\n\n", "it's we'll\n's", "\r\n a\r", "　 x", "\n", "\nA b", "a\0b c", " \n x", "A\n", None]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    got, n = packing.encode_column(pa.array(texts), path, 1)
+    for t, held, k in zip(texts, got, n, strict=True):
+        want = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(held.as_py(), "<u2").tolist() == want and k == len(want), repr(t)
+    assert tokenizer.encode("x <|endoftext|> y", add_special_tokens=False).ids[2] == 50256
+
+
+def test_queues_of_many_sources(spark):
+    """Every one of 300 sources has a queue: each window holds each source's share to a token, and no place is taken twice."""
+    rows = [(i, " ".join(["word"] * (20 + i % 7)), f"s{i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack(df, packing.default_tokenizer(), seq_len=1000, window_sequences=10).collect()
+    total = Counter()
+    for r in out:
+        total[r.source] += r.length
+    at = sorted((r.sequence_id * 1000 + r.offset, r.length, r.source) for r in out)
+    place, windows, grand = 0, Counter(), sum(total.values())
+    rounds = -(-grand // 10_000)
+    for p, n, s in at:
+        assert p == place
+        place += n
+        windows[(p + n // 2) * rounds // grand, s] += n
+    assert place == grand
+    for s, n in total.items():
+        for k in range(rounds):
+            assert abs(windows[k, s] - n / rounds) <= 3
+
+
+def test_given_shares_and_dry_queues(spark):
+    rows = [(i, " ".join(["word"] * 99), "big" if i % 10 else "small") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack(df, packing.default_tokenizer(), seq_len=500, window_sequences=4, shares={"big": 3, "small": 1}).collect()
+    first = Counter()
+    for r in out:
+        first[r.source] += r.length * (r.sequence_id < 8)
+    assert abs(first["small"] - 1000) <= 3 and sum(r.length for r in out) == 400 * 100
+    at = sorted((r.sequence_id * 500 + r.offset, r.length) for r in out)
+    assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False))
 
 
 def test_quality_rules(docs, empty, rows):
