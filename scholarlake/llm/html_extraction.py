@@ -3,12 +3,18 @@
 The standard library's parser streams a page's events into lines: blocks of text with
 the number of tags met while each was filled. The text-to-tag ratio per line is smoothed
 by a Gaussian; lines above a threshold (a part of the smoothed ratios' standard
-deviation) form the content cluster. The cluster votes, by its characters, for the
-content region: the article or main element with the most of it, else the element that
-holds nearly all of it. All blocks of the region are returned in page order, but for
-those in boilerplate elements (menus, footers, asides, forms, adverts, comments ...).
-A class or id name alone makes no boilerplate of an element that holds the page's largest
-article or main, or most of the cluster; this is decided after parsing.
+deviation) form the content cluster. Text in links does not count, so lists of links have
+low ratios, and boilerplate elements keep their place with a ratio of 0.
+
+The cluster votes, by its characters, for the content region: the smallest element that
+holds nearly all of the cluster, which an article or main element inside may narrow down
+if it holds most of it. All blocks of the region are returned in page order, but for those
+in boilerplate elements (menus, footers, asides, forms, adverts, comments ...) and for
+lines mostly of links that the cluster leaves out. A class or id name alone makes no
+boilerplate of an element that holds the page's largest article or main, or most of the
+cluster; this is decided after parsing.
+
+Lines know their element and elements their parent, so the work is linear in the page.
 
 Defined results: null, empty or tag-less pages without text give an empty text; text
 outside any element counts; unclosed and stray tags never fail; repeated rows are
@@ -18,6 +24,7 @@ extracted each; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -74,67 +81,85 @@ def is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, boilerplate whatever the marks?, ids of the enclosing elements)."""
+    """Events to lines: (text, tags, characters in links, element). Elements are numbered in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, element id, boilerplate
-        self.elements: list[str] = []
-        # the ids around each marked element, and around each article and main, outside boilerplate
-        self.marked: dict[int, tuple[int, ...]] = {}
-        self.within: dict[int, tuple[int, ...]] = {}
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.tag: list[str] = []
+        self.parent: list[int] = []
+        self.bad: list[bool] = []  # boilerplate whatever the marks
+        self.marked: list[bool] = []
+        self.edge: list[bool] = []  # ends a block where it starts and ends
+        self.open: list[int] = []
+        self.blocks: list[int] = []  # places in ``open`` of block elements
+        self.count: Counter = Counter()  # open elements by tag
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.link = False
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], tuple(e for _, e, _ in self.open)))
+            self.lines.append((text, self.tags, min(self.linked, len(text)), self.open[-1] if self.open else -1))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def cut(self, depth: int) -> None:
-        """Close the elements from ``depth`` on; a change of boilerplate or a mark ends a block too."""
-        if any(t in BLOCK or e in self.marked or b != self.open[depth - 1][2] if depth else t in BLOCK or b for t, e, b in self.open[depth:]):
+        """Close the elements from ``depth`` on."""
+        if any(self.edge[e] for e in self.open[depth:]):
             self.flush()
+        self.count.subtract([self.tag[e] for e in self.open[depth:]])
         del self.open[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br" or tag == "wbr":
             self.parts.append(" " if tag == "br" else "")
             return
-        if tag in CLOSED_BY_SELF or tag in BLOCK:
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in (tag, "p") or self.open[i][0] in BLOCK), None)
-            if at is not None and (self.open[at][0] == "p" or self.open[at][0] == tag and tag in CLOSED_BY_SELF):
-                self.cut(at)
-        within = bool(self.open) and self.open[-1][2]
-        bad = within or is_boilerplate(tag, attrs, any(t in REGIONS for t, *_ in self.open))
+        if tag in BLOCK:
+            self.link = False
+            above = self.tag[self.open[self.blocks[-1]]] if self.blocks else ""
+            if above == "p" or above == tag and tag in CLOSED_BY_SELF:
+                self.cut(self.blocks[-1])
+        elif tag == "a":
+            self.link = True
+        within = bool(self.open) and self.bad[self.open[-1]]
+        bad = within or is_boilerplate(tag, attrs, self.count["article"] + self.count["main"] > 0)
         marked = not bad and is_marked(tag, attrs)
-        if tag in BLOCK or bad != within or marked:
+        edge = tag in BLOCK or bad != within or marked
+        if edge:
             self.flush()
         if tag not in VOID:
-            if marked:
-                self.marked[len(self.elements)] = tuple(e for _, e, _ in self.open)
-            if tag in REGIONS and not bad:
-                self.within[len(self.elements)] = tuple(e for _, e, _ in self.open)
-            self.open.append((tag, len(self.elements), bad))
-            self.elements.append(tag)
+            self.parent.append(self.open[-1] if self.open else -1)
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
+            self.open.append(len(self.tag))
+            self.count[tag] += 1
+            for column, value in ((self.tag, tag), (self.bad, bad), (self.marked, marked), (self.edge, edge)):
+                column.append(value)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag:
+        if tag not in VOID and self.open and self.tag[self.open[-1]] == tag:
             self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         self.tags += 1
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
+        if tag == "a" or tag in BLOCK:
+            self.link = False
+        if self.count[tag] > 0:
+            at = len(self.open) - 1
+            while self.tag[self.open[at]] != tag:
+                at -= 1
             self.cut(at)
 
     def handle_data(self, data):
         self.parts.append(data)
+        if self.link:
+            self.linked += len(data)
 
 
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -143,60 +168,89 @@ def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def cluster(lines: list[tuple], bad: list[bool], threshold: float) -> tuple[list[int], dict[int, int]]:
-    """The content cluster's lines, and its characters in each element."""
+def cluster(page: Lines, bad: list[bool], threshold: float) -> list[int]:
+    """The content cluster's lines."""
     # boilerplate keeps its place in the sequence, as lines without text
-    ratios = smooth(np.array([0.0 if b else len(text) / max(tags, 1) for (text, tags, *_), b in zip(lines, bad, strict=True)]))
+    ratios = smooth(np.array([0.0 if b else (len(text) - linked) / max(tags, 1) for (text, tags, linked, _), b in zip(page.lines, bad, strict=True)]))
+    bar = threshold * ratios.std()
     usable = [i for i, b in enumerate(bad) if not b]
-    content = [i for i in usable if ratios[i] >= threshold * ratios.std()] or usable
-    votes: dict[int, int] = {}
+    return [i for i in usable if ratios[i] >= bar] or usable
+
+
+def votes_of(page: Lines, content: list[int]) -> list[int]:
+    """The cluster's characters in each element."""
+    votes = [0] * len(page.tag)
     for i in content:
-        for e in lines[i][3]:
-            votes[e] = votes.get(e, 0) + len(lines[i][0])
-    return content, votes
-
-
-def boilerplate_marks(parser: Lines, threshold: float) -> set[int]:
-    """The marked elements but those that hold the largest article or main outside their own, or most of the cluster."""
-    if not parser.marked or all(line[2] for line in parser.lines):
-        return set(parser.marked)
-    content, votes = cluster(parser.lines, [line[2] for line in parser.lines], threshold)
-    total = sum(len(parser.lines[i][0]) for i in content)
-    # regions without a mark of their own, the largest first
-    regions = sorted((e for e in parser.within if e not in parser.marked and votes.get(e)), key=lambda e: -votes[e])
-    inside: dict[int, int] = {}
-    for r in regions:
-        for e in parser.within[r]:
-            inside.setdefault(e, votes[r])
-    out = set()
-    for e, around in parser.marked.items():
-        outside = next((votes[r] for r in regions if e not in parser.within[r] and r not in around and r != e), 0)
-        if not (inside.get(e, 0) >= max(outside, 1) or not outside and 2 * votes.get(e, 0) > total):
-            out.add(e)
+        text, _, _, e = page.lines[i]
+        if e >= 0:
+            votes[e] += len(text)
+    for e in range(len(votes) - 1, -1, -1):  # children come after their parents
+        if page.parent[e] >= 0:
+            votes[page.parent[e]] += votes[e]
+    return votes
+
+
+def inherited(page: Lines, own: list[bool]) -> list[bool]:
+    """Whether an element or one around it has the property."""
+    out = list(own)
+    for e, parent in enumerate(page.parent):
+        out[e] = out[e] or parent >= 0 and out[parent]
     return out
 
 
+def dismissed(page: Lines, threshold: float) -> list[bool]:
+    """By element: is it boilerplate by its own mark? Not one that holds the largest article or main, or most of the cluster."""
+    if not any(page.marked):
+        return page.marked
+    fixed = [e >= 0 and page.bad[e] for *_, e in page.lines]
+    content = cluster(page, fixed, threshold) if not all(fixed) else []
+    votes, n = votes_of(page, content), len(page.tag)
+    total = sum(len(page.lines[i][0]) for i in content)
+    # votes of the regions without a mark of their own
+    region = [votes[e] if page.tag[e] in REGIONS and not page.bad[e] and not page.marked[e] else 0 for e in range(n)]
+    inside, last = [0] * n, list(range(n))
+    for e in range(n - 1, -1, -1):
+        p = page.parent[e]
+        if p >= 0:
+            inside[p], last[p] = max(inside[p], inside[e], region[e]), max(last[p], last[e])
+    after, before = [0] * (n + 1), [0] * (n + 1)  # the largest region that starts at e or later; that ended before e
+    for e in range(n - 1, -1, -1):
+        after[e] = max(after[e + 1], region[e])
+    for e in range(n):
+        before[last[e] + 1] = max(before[last[e] + 1], region[e])
+    for e in range(n):
+        before[e + 1] = max(before[e + 1], before[e])
+
+    def keeps(e: int) -> bool:
+        outside = max(after[last[e] + 1], before[e])
+        return inside[e] >= max(outside, 1) or not outside and 2 * votes[e] > total
+
+    return [page.marked[e] and not keeps(e) for e in range(n)]
+
+
 def main_text(html: str | None, threshold: float = 0.5) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines, marks = parser.lines, boilerplate_marks(parser, threshold)
-    bad = [line[2] or not marks.isdisjoint(line[3]) for line in lines]
-    usable = [i for i, b in enumerate(bad) if not b]
-    if not usable:
+    page = Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    boilerplate = inherited(page, [b or d for b, d in zip(page.bad, dismissed(page, threshold), strict=True)])
+    bad = [e >= 0 and boilerplate[e] for *_, e in page.lines]
+    if all(bad):
         return ""
-    content, votes = cluster(lines, bad, threshold)
-    regions = [e for e in votes if parser.elements[e] in REGIONS]
+    content = cluster(page, bad, threshold)
+    votes, total = votes_of(page, content), sum(len(page.lines[i][0]) for i in content)
+    best = max((e for e, v in enumerate(votes) if v >= 0.9 * total and v), default=None)
+    regions = [e for e, v in enumerate(votes) if page.tag[e] in REGIONS and 2 * v >= total and v]
     if regions:
         best = max(regions, key=lambda e: (votes[e], e))
-    else:
-        total = sum(len(lines[i][0]) for i in content)
-        best = max((e for e in votes if votes[e] >= 0.9 * total), default=None)
-    chosen = usable if best is None else [i for i in usable if best in lines[i][3]]
-    return "\n".join(lines[i][0] for i in chosen)
+    held = inherited(page, [e == best for e in range(len(votes))])
+    kept = set(content)
+    return "\n".join(
+        text for i, (text, _, linked, e) in enumerate(page.lines)
+        if not bad[i] and (best is None or e >= 0 and held[e]) and (i in kept or 2 * linked <= len(text))
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
