@@ -10,7 +10,7 @@ The cluster votes, by its characters, for the content region: the smallest eleme
 holds nearly all of the cluster, which an article or main element inside may narrow down
 if it holds most of it. All blocks of the region are returned in page order, but for those
 in boilerplate elements (menus, footers, asides, forms, adverts, comments ...) and for
-lines mostly of links that the cluster leaves out. A class or id name alone makes no
+lines mostly of links that the cluster leaves out (headings stay). A class or id name alone makes no
 boilerplate of an element that holds the page's largest article or main, or most of the
 cluster; this is decided after parsing.
 
@@ -53,6 +53,7 @@ MARKS = frozenset(
 )
 CLOSED_BY_SELF = frozenset("p li dt dd tr td th option".split())
 REGIONS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -245,11 +246,11 @@ def main_text(html: str | None, threshold: float = 0.5) -> str:
     regions = [e for e, v in enumerate(votes) if page.tag[e] in REGIONS and 2 * v >= total and v]
     if regions:
         best = max(regions, key=lambda e: (votes[e], e))
-    held = inherited(page, [e == best for e in range(len(votes))])
+    held, headings = inherited(page, [e == best for e in range(len(votes))]), inherited(page, [t in HEADINGS for t in page.tag])
     kept = set(content)
     return "\n".join(
         text for i, (text, _, linked, e) in enumerate(page.lines)
-        if not bad[i] and (best is None or e >= 0 and held[e]) and (i in kept or 2 * linked <= len(text))
+        if not bad[i] and (best is None or e >= 0 and held[e]) and (i in kept or 2 * linked <= len(text) or e >= 0 and headings[e])
     )
 
 
