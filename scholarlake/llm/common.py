@@ -19,13 +19,15 @@ ASCII_SPACE_RE = r"[\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks in local mode) a
-    temporary folder is set and remembered in the session.
+    Only where the session names none and is local (tests, notebooks) a temporary
+    folder is set and remembered in the session; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("scholarlake.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-scholarlake-", dir="/tmp")
         spark.conf.set("scholarlake.scratch.dir", root)
     return root.rstrip("/")
@@ -43,6 +45,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of a few fixed-size columns are broadcast up to so many rows (some 100 bytes each in memory).
+BROADCAST_ROWS = 500_000
+
+
+def near(rows: int):
+    """Marks a table of so many rows for broadcast where it is small, so that the other side is not shuffled; else leaves it."""
+    return F.broadcast if rows <= BROADCAST_ROWS else lambda table: table
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with ``value`` evaluated once per row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

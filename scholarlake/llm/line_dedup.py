@@ -6,8 +6,8 @@ from every document but the one that keeps them.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts as
 one document, sorts below every other and never keeps a line unless all holders
-are null; rows repeated with the same doc_id are one document; columns beside
-doc_id and text pass through unread.
+are null; rows repeated with the same doc_id are one document; texts of any length are
+split whole; an empty table gives none; columns beside doc_id and text pass through unread.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE
+from .common import ASCII_SPACE, BROADCAST_ROWS, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,6 +29,22 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+#: A line found more often than this is met apart from the others.
+HOT_LINES = 100_000
+
+
+def frequent_hits(lines: DataFrame, frequent: DataFrame, rows: int) -> DataFrame:
+    """Rows of ``lines`` whose key is in ``frequent`` (h1, h2, n, keeper; ``rows`` rows), a hot key never in one task."""
+    keys = ["h1", "h2"]
+    if rows <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(frequent.drop("n")), keys)
+    # keys that hold over ``hot`` lines are at most BROADCAST_ROWS, whatever the table's size
+    hot = max(HOT_LINES, (frequent.agg(F.sum("n")).first()[0] or 0) // BROADCAST_ROWS)
+    common, rest = frequent.filter(F.col("n") > hot).drop("n"), frequent.filter(F.col("n") <= hot).drop("n")
+    others = lines.join(F.broadcast(common.select(*keys)), keys, "left_anti")
+    return lines.join(F.broadcast(common), keys).unionByName(others.join(rest, keys))
+
+
 def dropped_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, text_hash, positions): the lines that each document loses, counted from 0."""
     lines = (
@@ -38,42 +54,46 @@ def dropped_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
         # two hashes with different seeds: 128 bits, so that distinct lines of a huge corpus do not meet
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), F.col("key")).alias("h2"))
     )
+    lines = materialize(lines, "lines")  # read twice below
     frequent = (
-        lines.select("h1", "h2", "doc_id").distinct()
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n") >= min_docs).drop("n")
+        lines.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("here"))
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("here").alias("n"), F.max("doc_id").alias("keeper"))
+        .filter(F.col("docs") >= min_docs).drop("docs")
     )
-    # a very common line is one hot join key; the adaptive skew join splits it
+    frequent = materialize(frequent, "frequent-lines")
+    hits = frequent_hits(lines, frequent, frequent.count())
     return (
-        lines.join(frequent, ["h1", "h2"])
-        .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        hits.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
     )
 
 
+RESULTS = ("kept_text", "n_lines", "n_dropped")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All columns of ``docs`` with kept text in ``kept_text``, and n_lines, n_dropped.
+    """The columns of ``docs`` with kept text in ``kept_text``, and n_lines, n_dropped.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs``
-    documents loses all its lines except in the largest doc_id that holds it.
+    documents loses all its lines except in the largest doc_id that holds it. Columns of
+    ``docs`` that have the name of a result give way to it.
     """
-    drops = dropped_positions(docs, min_chars, min_docs).select(
-        F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"), F.col("positions").alias("_positions")
-    )
-    joined = docs.join(
-        drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]) & (F.xxhash64(docs["text"]) == drops["_drop_hash"]), "left"
-    )
+    passed = [c for c in docs.columns if c.lower() not in RESULTS]
+    rows = docs.select("doc_id", "text", F.struct(*passed).alias("row"))
+    drops = dropped_positions(rows, min_chars, min_docs).withColumnRenamed("doc_id", "drop_id")
+    joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
     lines = text_lines(F.col("text"))
     n_lines = F.size(lines)
-    keep = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("_positions"))  # hashed, in order, linear
+    keep = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("positions"))  # hashed, in order, linear
     # the text is split once and bound, not once per kept line
     kept = F.transform(F.array(lines), lambda all_: F.array_join(F.transform(keep, lambda i: F.get(all_, i)), "\n"))[0]
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("_positions").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(kept).alias("kept_text"),
+    out = joined.select(
+        "row",
+        F.when(F.col("positions").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(kept).alias("kept_text"),
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_positions"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return out.select(*[F.col("row").getField(c).alias(c) for c in passed], *RESULTS)
 
 
 def op2_line_dedup(spark, sf_dir):
