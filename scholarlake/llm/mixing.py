@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE_RE, blocked_prefix_sum, materialize, read_table
+from .common import ASCII_SPACE_RE, blocked_prefix_sum, materialize, near, read_table
 
 #: Rates are rounded to this many parts, so that running sums are exact integers.
 PARTS = 1 << 20
@@ -35,74 +35,93 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, ASCII_SPACE_RE, -1), "")), F.lit(0)).cast("long")
 
 
+def numbered_sources(sums: DataFrame) -> DataFrame:
+    """``sums`` (a row per source) with ``turn``: the source's number by code point, null last; ranges of sources are numbered apart."""
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sums.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "mix-sources")
+    sizes = ranged.groupBy("part").count()  # a row per partition
+    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranged.withColumn("within", within).join(starts, "part").select("source", "source_size", (F.col("start") + F.col("within")).alias("turn"))
+
+
 def source_targets(cells: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
     """(source, source_size, target): shares by weight, stopped at ``cap`` times the size.
 
-    Sharing the excess again and again ends where every source has min(cap * size,
-    weight * level) with one common level, found by sorting sources by the level at
-    which they stop. One row per source enters the window.
+    Every source has min(cap * size, weight * level) with one common level. Sharing the
+    excess again raises the level and can only stop more sources, so a few sums over the
+    sources find it.
     """
     sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    sums = sums.withColumn("weight", weight).withColumn("stop", F.lit(cap) * F.col("source_size") / F.col("weight"))
-    everything = Window.partitionBy(F.lit(1))
-    before = Window.partitionBy(F.lit(1)).orderBy("stop", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(cap) * F.col("source_size")).over(before), F.lit(0.0))
-    ) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    sums = sums.withColumn("level", level)
-    # the first source, in order of stop, that the level does not reach fixes the level of all
-    reached = F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "level"))).over(everything)["level"]
-    target = F.least(F.lit(cap) * F.col("source_size"), F.col("weight") * F.coalesce(reached, F.lit(float("inf"))))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    sums = materialize(numbered_sources(sums).select("source", "source_size", weight.alias("weight")), "mix-weights")
+    everything = sums.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = 0.0, -1
+    while True:
+        full = F.lit(cap) * F.col("source_size") < F.col("weight") * level
+        n, used, open_ = sums.agg(
+            F.count_if(full), F.sum(F.when(full, F.lit(cap) * F.col("source_size")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))
+        ).first()
+        if n == stopped or not open_:
+            break
+        level, stopped = (share * everything - used) / open_, n
+    target = F.least(F.lit(cap) * F.col("source_size"), F.col("weight") * F.lit(float(level) if open_ else float("inf")))
     return sums.select("source", "source_size", target.alias("target"))
 
 
 def _with_source(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on a null-safe source; ``right`` has one row per source."""
+    """Left join on a null-safe source; ``right`` has one row per source and may be marked for broadcast."""
     r = right.withColumnRenamed("source", "_source")
     return left.join(r, left["source"].eqNullSafe(r["_source"]), "left").drop("_source")
 
 
-def solve_tilts(cells: DataFrame, targets: DataFrame, cap: float, steps: int = 12) -> DataFrame:
-    """(source, mean, tilt): Newton's method on the dual, safeguarded by bisection.
+def solve_tilts(cells: DataFrame, targets: DataFrame, cap: float, per_source=lambda table: table) -> DataFrame:
+    """(source, mean, tilt): Newton's method on the dual, safeguarded by bisection, until every source has its target.
 
     Each step is one partially aggregated pass over the histogram; the state is a
     row per source. A source whose target is its cap has no finite tilt; its rate
-    is the cap itself (see copies_by_cell).
+    is the cap itself (see copies_by_cell). Every third step halves the bracket, so the
+    steps end.
     """
     means = cells.filter("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = _with_source(targets, means).select(
+    open_ = (F.col("target") < F.lit(cap) * F.col("source_size")) & (F.col("source_size") > 0)
+    state = _with_source(targets, per_source(means)).select(
         "source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"),
-        F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("low"), F.lit(64.0).alias("high"),
+        F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("low"), F.lit(64.0).alias("high"), F.coalesce(open_, F.lit(False)).alias("going"),
     )
     state = materialize(state, "mix-state")
     rate = F.lit(cap) / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("mean")))
-    for _ in range(steps):
-        at = _with_source(cells, state.select("source", "mean", "tilt"))
-        sums = at.groupBy("source").agg(
+    step = 0
+    while not state.filter("going").isEmpty():
+        step += 1
+        going = per_source(state.filter("going").select(F.col("source").alias("_source"), "mean", "tilt"))
+        sums = cells.join(going, cells["source"].eqNullSafe(F.col("_source"))).groupBy("source").agg(
             F.sum(F.col("n") * F.col("size") * rate).alias("words"),
             F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * rate * (1 - rate / cap)).alias("slope"),
         )
-        s = _with_source(state, sums)
+        s = _with_source(state, per_source(sums))
         over = F.round(F.col("words") - F.col("target"), 6)
+        settled = (F.abs(over) <= 1e-7 * F.col("target") + 1e-6) | (F.col("high") - F.col("low") < 1e-12)
         low = F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(over > 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - over / F.greatest(F.col("slope"), F.lit(1e-12))
-        step = F.when(over == 0, F.col("tilt")).when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        state = materialize(s.select("source", "source_size", "target", "mean", step.alias("tilt"), low.alias("low"), high.alias("high")), "mix-state")
+        moved = F.when((newton > low) & (newton < high) & F.lit(step % 3 != 0), newton).otherwise((low + high) / 2)
+        tilt = F.when(F.col("going") & ~settled, moved).otherwise(F.col("tilt"))
+        state = s.select("source", "source_size", "target", "mean", tilt.alias("tilt"), low.alias("low"), high.alias("high"), (F.col("going") & ~settled).alias("going"))
+        state = materialize(state, "mix-state")
     return state
 
 
-def copies_by_cell(cells: DataFrame, state: DataFrame, cap: int, rounds: int = 6) -> DataFrame:
+def copies_by_cell(cells: DataFrame, state: DataFrame, cap: int, per_source=lambda table: table) -> DataFrame:
     """(source, size, n, copies): how many copies the documents of a cell have together.
 
     Rates are summed along sizes and cut to whole copies where the running sum
     passes a whole number; each source's remaining difference to its target is then
-    spent on whole copies of the largest size that fits, a few times.
+    spent on whole copies of the largest size that fits, until none does.
     """
-    w = _with_source(cells, state)
+    w = _with_source(cells, per_source(state))
     tilted = F.lit(float(cap)) / (1 + F.exp(-F.round("tilt", 9) * F.col("size") / F.col("mean")))
     rate = F.when(F.col("target") >= F.lit(cap) * F.col("source_size"), F.lit(float(cap))).otherwise(tilted)
     parts = F.when(F.col("size") > 0, F.round(rate * PARTS)).otherwise(0).cast("long")
@@ -111,16 +130,18 @@ def copies_by_cell(cells: DataFrame, state: DataFrame, cap: int, rounds: int = 6
     copies = F.floor((F.col("before") + F.col("parts")) / PARTS) - F.floor(F.col("before") / PARTS)
     out = materialize(w.select("source", "size", "n", F.least(copies, F.lit(cap) * F.col("n")).cast("long").alias("copies")), "mix-copies")
     goal = state.select("source", F.round("target").cast("long").alias("goal"))
-    for _ in range(rounds):
-        gap = _with_source(out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")), goal)
-        gap = gap.select("source", (F.col("goal") - F.col("taken")).alias("gap"))
+    while True:
+        taken = out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
+        gap = materialize(_with_source(taken, per_source(goal)).select("source", (F.col("goal") - F.col("taken")).alias("gap")), "mix-gap")
         room = F.when(F.col("gap") > 0, F.lit(cap) * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (room > 0)
-        best = _with_source(out, gap).filter(fits).groupBy("source").agg(F.max("size").alias("best"))
-        w = _with_source(_with_source(out, gap), best)
+        best = _with_source(out, per_source(gap.filter("gap <> 0"))).filter(fits).groupBy("source").agg(F.max("size").alias("best"))
+        best = materialize(_with_source(best, per_source(gap)), "mix-best")
+        if best.isEmpty():
+            return out
+        w = _with_source(out, per_source(best))
         move = F.when(F.col("size") == F.col("best"), F.least(room, F.floor(F.abs("gap") / F.col("size"))) * F.signum("gap")).otherwise(0)
         out = materialize(w.select("source", "size", "n", (F.col("copies") + F.coalesce(move, F.lit(0))).cast("long").alias("copies")), "mix-copies")
-    return out
 
 
 def blocked_sum_by_size(cells: DataFrame, blocks: int = 64) -> DataFrame:
@@ -128,32 +149,34 @@ def blocked_sum_by_size(cells: DataFrame, blocks: int = 64) -> DataFrame:
     return blocked_prefix_sum(cells, ["source"], ["size"], F.col("parts"), "before", blocks)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, steps: int = 12, row: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``.
 
     A column ``row`` is carried along, to tell rows with null or repeated ids apart;
-    then ties of doc_id go by hash of the text.
+    then ties of doc_id go by hash of the text. No other column is read.
     """
-    own_columns = [F.col(row), F.xxhash64("text").alias("_text")] if row else []
+    own_columns = [F.col(row).alias("_own_row"), F.xxhash64("text").alias("_text")] if row else []
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *own_columns), "mix-sizes")
     cells = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    n_cells, hottest, n_sources = cells.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0)), F.count_distinct(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))).first()
+    per_source, per_cell = near(n_sources), near(n_cells)
     targets = source_targets(cells, weights, share, float(cap))
-    state = solve_tilts(cells, targets, float(cap), steps)
-    copies = copies_by_cell(cells, state, cap)
+    state = solve_tilts(cells, targets, float(cap), per_source)
+    copies = copies_by_cell(cells, state, cap, per_source)
     # a hot cell is ranked in as many blocks as keep each near CELL_ROWS rows
-    hottest = cells.agg(F.max("n")).first()[0] or 0
     blocks = max(32, -(-hottest // CELL_ROWS))
     # hashed order: which documents of a cell get the extra copy does not depend on their ids' order
     numbered = blocked_prefix_sum(
         sized.withColumn("_order", F.xxhash64("doc_id")), ["source", "size"], ["_order", "doc_id", *(["_text"] if row else [])], F.lit(1), "rank", blocks
     ).drop("_order")
-    c = copies.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all_copies"))
+    c = per_cell(copies.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all_copies")))
     joined = numbered.join(c, numbered["source"].eqNullSafe(c["_s"]) & (numbered["size"] == c["_z"]), "left")
     own = F.floor(F.col("all_copies") / F.col("n")) + F.when(F.col("rank") < F.col("all_copies") % F.col("n"), 1).otherwise(0)
     joined = joined.withColumn("copies", own.cast("long"))
-    kept = [row] if row else []
-    return _with_source(joined.select("doc_id", *kept, "source", "size", "copies"), state.select("source", "source_size", "target")).select(
-        "doc_id", *kept, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    kept = ["_own_row"] if row else []
+    ends = per_source(state.select("source", "source_size", "target"))
+    return _with_source(joined.select("doc_id", *kept, "source", "size", "copies"), ends).select(
+        "doc_id", *([F.col("_own_row").alias(row)] if row else []), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
