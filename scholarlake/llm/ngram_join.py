@@ -31,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import BROADCAST_ROWS, materialize, read_table, unused
 
 WIDTH, THRESHOLD, ROWS, RECALL = 5, 0.8, 5, 0.9999
 #: A chunk pair holds at most about so many documents and n-grams on either side.
-CHUNK_DOCS, CHUNK_GRAMS = 512, 400_000
-#: Ids of candidates are broadcast up to this many (8 bytes each).
-BROADCAST_IDS = 4_000_000
+CHUNK_DOCS, CHUNK_GRAMS = 1024, 800_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: What tells text classes apart: two hashes and the number of n-grams.
 SEQUENCE = ["seq1", "seq2", "grams"]
@@ -111,11 +109,27 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     return rows_.mapInArrow(run, "doc_id long, seq1 long, seq2 long, grams long, bands array<long>")
 
 
+#: A band of more documents than this meets its row by broadcast.
+HOT_BAND = 1000
+
+
+def by_band(members: DataFrame, bands: DataFrame, size: str) -> DataFrame:
+    """Members joined to the rows of their bands (``size`` members each); a hot band is not dealt to one task."""
+    largest, held = bands.agg(F.max(size), F.sum(size)).first()
+    hot = max(HOT_BAND, (held or 0) // BROADCAST_ROWS)  # so that at most BROADCAST_ROWS bands are hot
+    if (largest or 0) <= hot:
+        return members.join(bands, "band")
+    common = F.broadcast(bands.filter(F.col(size) > hot))
+    rest = members.join(F.broadcast(bands.filter(F.col(size) > hot).select("band")), "band", "left_anti")
+    return members.join(common, "band").unionByName(rest.join(bands.filter(F.col(size) <= hot), "band"))
+
+
 def candidate_buckets(reps: DataFrame) -> DataFrame:
     """(bucket, node, grams, chunks): members of each distinct bucket of two or more."""
     banded = reps.select("node", "grams", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    banded = materialize(banded.join(shared, "band"), "shared-bands")  # all further work is on documents that meet another
+    shared = materialize(shared, "shared")
+    banded = materialize(by_band(banded, shared, "n"), "shared-bands")  # all further work is on documents that meet another
     # order-free fingerprints of a bucket's members: summed on the map side, no member list
     prints = banded.groupBy("band", "n").agg(
         F.sum("grams").alias("all_grams"), F.min("node").alias("least"),
@@ -123,7 +137,8 @@ def candidate_buckets(reps: DataFrame) -> DataFrame:
     )
     distinct = prints.groupBy("n", "least", "p1", "p2").agg(F.min("band").alias("band"), F.first("all_grams").alias("all_grams"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("all_grams") / CHUNK_GRAMS)).cast("int")
-    return banded.drop("n").join(distinct.select("band", "n", "all_grams", chunks.alias("chunks")), "band").withColumnRenamed("band", "bucket")
+    distinct = materialize(distinct.select("band", "n", "all_grams", chunks.alias("chunks")), "buckets")
+    return by_band(banded.drop("n"), distinct, "n").withColumnRenamed("band", "bucket")
 
 
 def links_within(sets: list[np.ndarray], other: np.ndarray, owner: np.ndarray, buckets: list[np.ndarray], bucket: int, threshold: float, both: bool):
@@ -157,8 +172,19 @@ def links_within(sets: list[np.ndarray], other: np.ndarray, owner: np.ndarray, b
     if both:
         across = owner[i] != owner[j]
         i, j = i[across], j[across]
-    if len(i):  # a pair counts in the first bucket that it shares
-        first = np.fromiter((np.intersect1d(buckets[a], buckets[b], assume_unique=True)[0] == bucket for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i)) if max(map(len, buckets)) > 1 else np.ones(len(i), bool)
+    # a pair counts in the first bucket that it shares: one with no smaller bucket in common
+    smaller = [b[b < bucket] for b in buckets]
+    lengths = np.array([len(b) for b in smaller])
+    if len(i) and lengths.any():
+        row = np.repeat(np.arange(n), lengths)
+        distinct, column = np.unique(np.concatenate(smaller), return_inverse=True)
+        met = np.zeros((n, n), np.float32)
+        for at in range(0, len(distinct), 4096):
+            inside = (column >= at) & (column < at + 4096)
+            block = np.zeros((n, min(4096, len(distinct) - at)), np.float32)
+            block[row[inside], column[inside] - at] = 1
+            met += block @ block.T
+        first = met[i, j] == 0
         i, j = i[first], j[first]
     return i, j
 
@@ -276,7 +302,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     members = materialize(members.join(own, "node").join(named, "node"), "members")
     total = members.agg(F.sum(F.col("grams") * F.col("chunks"))).first()[0] or 0
     ids = members.select("doc_id").distinct()
-    if members.count() <= BROADCAST_IDS:  # so the texts of the corpus need no shuffle; beyond the bound they take one
+    if members.count() <= BROADCAST_ROWS:  # so the texts of the corpus need no shuffle; beyond the bound they take one
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     found = materialize(verified(members, texts, width, threshold, max(8, total // 1_000_000)), "links")
@@ -302,18 +328,19 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     repeated doc_id take part like any other. A text without words is no copy of
     another's; repeated rows of one (doc_id, text) are kept once.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = ngram_join(numbered.select(F.col("_row").alias("doc_id"), "text"), **options)
-    groups = groups.select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class"))
+    row = unused("row", docs.columns)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join(numbered.select(F.col(row).alias("doc_id"), "text"), **options)
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
     first = F.struct(
         F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(17), F.col("text")).alias("h2"),
-        F.xxhash64(*plain).alias("h"), F.col("_row").alias("row"),
+        F.xxhash64(*plain).alias("h"), F.col(row).alias("row"),
     )
-    kept = numbered.select("_row", first.alias("first")).join(groups, "_row").groupBy("_class").agg(F.min("first").alias("first"))
+    kept = numbered.select(F.col(row).alias("row"), first.alias("first")).join(groups, "row").groupBy("class").agg(F.min("first").alias("first"))
     nameless_row = F.when(F.col("first.nameless"), F.col("first.row"))
-    kept = kept.groupBy("first.id", "first.h1", "first.h2", nameless_row.alias("other")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = kept.groupBy("first.id", "first.h1", "first.h2", nameless_row.alias("other")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op1_ngram_join(spark, sf_dir):
