@@ -2,16 +2,17 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text is
 built. A text is parsed greedily into the longest phrases that occur in that sample;
-the language that needs the fewest phrases per character wins. The automaton is
-kept as sorted (state, letter) keys with (next state, phrase ended), over the letters of
-the language's own sample, all of them. A worker spreads the most frequent letters of a
-language into a dense table, so that parsing runs in lockstep over many pieces of text
-with numpy gathers; rarer letters are looked up among the keys. Long texts are cut into
-pieces of ``PIECE`` characters, all of which count; a cut ends a phrase.
-
-The sample is ``sample_chars`` characters a language, of the documents first in hash
-order. Every lang value is learned; they are broadcast in groups of ``GROUP`` languages.
-Every document is scored whole.
+the language that needs the fewest normalised phrases wins: a phrase is worth the
+logarithm of the sample's length, as a longer sample holds longer phrases of any
+language. The automaton is kept as sorted (state, letter) keys with (next state, phrase
+begun), over the letters of the language's own sample, all of them. A worker spreads the
+most frequent letters of a language into a dense table, so that parsing runs in lockstep
+over many pieces of text with numpy gathers; rarer letters are looked up among the keys.
+Long texts are parsed in pieces of ``PIECE`` characters, whose parses are then joined as
+if the text had been parsed in one.
+
+Every lang value is learned; they are broadcast in groups of ``GROUP`` languages. Every
+document is scored whole.
 
 Defined results: null text or a text without letters is ``und`` with score 0; with no
 labelled text every document is ``und``; equal phrase counts go to the smaller language
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, materialize, read_table
+from .common import crc_remainder, materialize, near, read_table
 
 PIECE = 1024
 LANES = 4096
+#: About so many characters are parsed at a time.
+BATCH_CHARS = 4 << 20
 #: Languages in one broadcast (some 2 MB each).
 GROUP = 64
 #: Bytes of dense tables that a worker holds; those of further languages are spread anew for each batch.
@@ -123,6 +126,47 @@ class Language:
         return self.steps[at]
 
 
+    def advance(self, table: np.ndarray, state: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Steps (2 * next state + phrase begun) from states by letters of the common alphabet."""
+        width = self.dense + 1
+        own = self.own[letters]
+        if self.rare and len(rare := np.flatnonzero(own >= width)):
+            step = table[state * width + np.minimum(own, self.dense)]
+            step[rare] = self.look_up(state[rare], own[rare])
+            return step
+        return table[state * width + own]
+
+    def parse(self, table: np.ndarray, grid: np.ndarray, lengths: np.ndarray, follow: np.ndarray):
+        """(phrases begun, last state, steps by letter) of lanes that start at the root; lanes are sorted, the longest first."""
+        active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # lanes still running at each step
+        state, ended = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int64)
+        path = np.zeros(grid.shape, np.int32)
+        for i in range(len(grid)):
+            m = active[i]
+            step = self.advance(table, state[:m], grid[i, :m])
+            path[i, :m] = step
+            ended[:m] += step & 1
+            state[:m] = step >> 1
+        return ended, state, path
+
+    def resume(self, table: np.ndarray, grid: np.ndarray, lengths: np.ndarray, state: np.ndarray, held: np.ndarray):
+        """(change of phrases, last state, steps) of lanes that go on from ``state``, where ``held`` are their steps so far."""
+        change, path = np.zeros(len(lengths), np.int64), held.copy()
+        last = held[lengths - 1, np.arange(len(lengths))] >> 1
+        going, state = np.arange(len(lengths)), state.copy()
+        for i in range(len(grid)):
+            going = going[lengths[going] > i]
+            if not len(going):
+                break
+            step = self.advance(table, state[going], grid[i, going])
+            change[going] += (step & 1) - (held[i, going] & 1)
+            path[i, going] = step
+            state[going] = step >> 1
+            last[going] = np.where(lengths[going] == i + 1, step >> 1, last[going])
+            going = going[step >> 1 != held[i, going] >> 1]  # the others agree from here on
+        return change, last, path
+
+
 class Model:
     """Languages, the letters of all their samples, and their automata."""
 
@@ -138,6 +182,7 @@ class Model:
         for c, i in self.codes.items():
             self.lookup[ord(c)] = i
         self.parts = [Language(texts[language], self.codes, letters) for language in self.languages]
+        self.worth = np.array([np.log2(len(texts[language]) + 1) for language in self.languages])
         self.spread: dict[int, np.ndarray] = {}
 
     @property
@@ -175,70 +220,106 @@ class Model:
         return self.lookup[np.frombuffer(letters_only(text).encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Phrases per text and language."""
+        """Phrases per text and language.
+
+        Texts are cut into pieces that are parsed in lockstep, each from the root. Then the
+        parse of a piece is taken up from the state in which the piece before it ended, as
+        far as it differs: once both are in one state they agree for good. A piece whose
+        last state changes so sends the next one round again.
+        """
         out = np.zeros((len(coded), len(self.parts)), np.int64)
         pieces = [(k, at, min(PIECE, len(x) - at)) for k, x in enumerate(coded) for at in range(0, len(x), PIECE)]
-        pieces.sort(key=lambda p: -p[2])
-        blocks = []
-        for first in range(0, len(pieces), LANES):
-            lanes = pieces[first : first + LANES]
-            grid = np.zeros((lanes[0][2], len(lanes)), np.int32)
-            for lane, (k, at, n) in enumerate(lanes):
-                grid[:n, lane] = coded[k][at : at + n]
-            lengths = np.array([n for *_, n in lanes])
-            active = np.searchsorted(-lengths, -np.arange(lanes[0][2]), side="left")  # lanes still running at each step
-            blocks.append((grid, active, np.array([k for k, *_ in lanes])))
+        # the piece of the same text that comes next
+        following = np.array([n + 1 if n + 1 < len(pieces) and pieces[n + 1][0] == k else -1 for n, (k, *_) in enumerate(pieces)], np.int64)
+        lengths = np.array([n for *_, n in pieces], np.int64)
+        owner = np.array([k for k, *_ in pieces], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        blocks = [(order[at : at + LANES], self.grid(coded, pieces, order[at : at + LANES])) for at in range(0, len(order), LANES)]
         for g, part in enumerate(self.parts):
-            table, width = self.dense(g), part.dense + 1
-            for grid, active, owner in blocks:
-                state, ended = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
-                for i in range(len(grid)):
-                    m = active[i]
-                    own = part.own[grid[i, :m]]
-                    if part.rare and len(rare := np.flatnonzero(own >= width)):
-                        step = table[state[:m] * width + np.minimum(own, part.dense)]
-                        step[rare] = part.look_up(state[rare], own[rare])
-                    else:
-                        step = table[state[:m] * width + own]
-                    ended[:m] += step & 1
-                    state[:m] = step >> 1
-                np.add.at(out[:, g], owner, ended)
+            table = self.dense(g)
+            ended, last = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32)
+            paths = [None] * len(blocks)
+            for b, (members, grid) in enumerate(blocks):
+                ended[members], last[members], paths[b] = part.parse(table, grid, lengths[members], following[members] >= 0)
+            # pieces behind another, with the state that they go on from
+            due = following[following >= 0]
+            origin = np.full(len(pieces), -1, np.int64)
+            origin[due] = np.flatnonzero(following >= 0)
+            own_path = {int(n): (b, lane) for b, (members, _) in enumerate(blocks) for lane, n in enumerate(members) if origin[n] >= 0}
+            while len(due):
+                again = []
+                for at in range(0, len(due), LANES):
+                    some = due[at : at + LANES]
+                    some = some[np.argsort(-lengths[some], kind="stable")]
+                    grid = self.grid(coded, pieces, some)
+                    held = np.zeros((len(grid), len(some)), np.int32)
+                    for lane, n in enumerate(some.tolist()):
+                        b, own = own_path[n]
+                        held[: lengths[n], lane] = paths[b][: lengths[n], own]
+                    change, state, path = part.resume(table, grid, lengths[some], last[origin[some]], held)
+                    ended[some] += change
+                    for lane, n in enumerate(some.tolist()):
+                        b, own = own_path[n]
+                        paths[b][: lengths[n], own] = path[: lengths[n], lane]
+                    moved = some[state != last[some]]
+                    last[some] = state
+                    again.append(following[moved])
+                due = np.concatenate(again)
+                due = due[due >= 0]
+            np.add.at(out[:, g], owner, ended)
         return out
 
+    @staticmethod
+    def grid(coded: list[np.ndarray], pieces: list[tuple[int, int, int]], members: np.ndarray) -> np.ndarray:
+        """Letters by step and lane; the longest piece comes first."""
+        grid = np.zeros((pieces[members[0]][2], len(members)), np.int32)
+        for lane, m in enumerate(members.tolist()):
+            k, at, n = pieces[m]
+            grid[:n, lane] = coded[k][at : at + n]
+        return grid
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         coded = [self.encode(t or "") for t in texts]
         if not self.languages:
             return ["und"] * len(coded), np.zeros(len(coded))
-        counts = self.phrases(coded)
+        # phrases, each worth the logarithm of the sample's length, so that a longer sample is no advantage
+        counts = self.phrases(coded) * self.worth
         sizes = np.array([max(len(c), 1) for c in coded])
         rate = counts / sizes[:, None]
-        best = counts.argmin(axis=1)
+        best = np.round(counts, 6).argmin(axis=1)
         # a softmax of code lengths, tempered by text size
-        odds = np.exp(-(rate - rate.min(axis=1, keepdims=True)) * np.minimum(sizes, 200)[:, None])
+        odds = np.exp(-(rate - rate.min(axis=1, keepdims=True)) * np.minimum(sizes, 200)[:, None] / self.worth.mean())
         score = 1 / odds.sum(axis=1)
         empty = np.array([len(c) == 0 for c in coded])
         return ["und" if e else self.languages[b] for b, e in zip(best.tolist(), empty.tolist(), strict=True)], np.where(empty, 0.0, score)
 
 
-def fit(labelled: DataFrame, sample_chars: int = 40_000, sample_docs: int = 400) -> Model:
-    """Learn from (doc_id, text, lang); at most ``sample_docs`` documents a language reach the driver."""
-    from pyspark.sql import Window
+def fit(labelled: DataFrame, sample_chars: int = 40_000, sample_docs: int = 400, model_chars: int = 8_000_000) -> Model:
+    """Learn from (doc_id, text, lang), every lang value.
 
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = usable.groupBy("lang").count()
+    A language's sample is ``sample_chars`` letters and spaces of at most ``sample_docs``
+    documents, the first in hash order; with many languages it is smaller, as all samples
+    together are at most ``model_chars`` (some 60 bytes each in the broadcast model). What
+    reaches the driver is at most four times that.
+    """
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    counts = materialize(usable.groupBy("lang").count(), "languages")
+    languages = counts.count()
+    chars = max(200, min(sample_chars, model_chars // max(languages, 1)))
     # the first in hash order lie below this share of all hashes, so a hot language is cut before it is ranked
-    near = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * sample_docs + 100
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first: the texts of the chosen few alone are read for the model
-    first = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(near)
-    chosen = first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_docs)
-    ids = F.broadcast(materialize(chosen.select("doc_id", "lang"), "language-sample"))
-    rows = usable.join(ids, ["doc_id", "lang"], "left_semi").select("lang", F.substring("text", 1, 4 * sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    share = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * sample_docs + 100
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    first = usable.join(near(languages)(counts), "lang").filter(share)
+    first = first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample_docs)
+    # of each only what the sample can still hold
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.lit(4 * chars) - before
+    rows = first.withColumn("_room", room).filter("_room > 0").select("lang", "_r", F.left("text", F.col("_room").cast("int")).alias("text"))
     texts: dict[str, str] = {}
-    for r in rows.orderBy("lang", "h", "doc_id", "text").toLocalIterator():  # one partition at a time
+    for r in rows.orderBy("lang", "_r").toLocalIterator():  # one partition at a time
         held = texts.get(r["lang"], "")
-        if len(held) < sample_chars:
-            texts[r["lang"]] = (held + " " + letters_only(r["text"]))[:sample_chars]
+        if len(held) < chars:
+            texts[r["lang"]] = (held + " " + letters_only(r["text"]))[:chars]
     return Model({k: v for k, v in texts.items() if v.strip()})
 
 
@@ -249,8 +330,9 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared()
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
+            size = batch["text"].str.len().fillna(0).astype(np.int64).to_numpy()
+            for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff((np.cumsum(size) - size) // BATCH_CHARS)) + 1):
+                part = batch.iloc[rows]
                 names, score = model.predict(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": names, "score": score})
 
