@@ -1,122 +1,222 @@
 """Operator 8: approximate nearest neighbours by a hash-prefix forest.
 
-Every tree writes a vector as a long bit string (signs of random projections) and keeps
-the strings sorted. A query descends each tree to its longest matching prefixes and then
-ascends all trees at the same pace, one bit at a time, until the ranges of its prefix
-hold ``hits`` entries; what they hold is ranked by exact cosine on the original vectors.
-
-Rows are dealt by hash over shards of about ``shard_rows``, each with a forest of its
-own, and the query set is taken in blocks of ``block_rows``; each (shard, block) is a task
-whose memory is bounded by these two parameters. The best of each task meet per query.
-As a shard's size is fixed, so is the recall, at every size of the table. Copies of one
-vector beyond ``k + 1`` cannot be among the k nearest and need not be candidates.
+Every tree writes a vector as a long string: each of its symbols is the random direction
+(of ``SIDES`` and their opposites) that the vector lies closest to. A tree is the sorted
+table of all rows' strings, cut by prefix; the forest is one for the whole table. A query
+descends to the longest prefixes, and then all trees ascend at the same pace: at each pace
+a tree gives up its next best prefix of that length, by how close the query lies to its
+directions, and when those of a length are used up, prefixes one symbol shorter, down to
+single symbols, all of which together hold every row. It stops at the first pace at which
+what the prefixes hold counts ``hits``. Their rows are ranked by exact cosine on the
+original vectors.
+
+A query only meets the prefixes that it descends to or ascends through: joins on (tree,
+prefix), where counts come before pairs and a hot prefix is split. ``hits`` grows as
+the rows to the power of 0.7, so work stays far below queries x rows. Copies of one vector beyond
+``k + 1`` cannot be among the k nearest and need not be candidates.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite
 components take no part; vectors of another length are no candidates; a repeated vec_id
 counts once, with its smallest vector; a null vec_id takes no part; a query with fewer
-candidates than k returns them all; ties go to the smaller vec_id.
+candidates than k returns them all; ties go to the smaller vec_id; vectors are scaled by a
+power of two before products, so that large components do not overflow; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import BROADCAST_ROWS, materialize, read_table
 
-BITS = 24
+#: Directions per symbol, each with its opposite: 128 symbols, 7 bits.
+SIDES, BITS = 64, 7
+SYMBOLS = 2 * SIDES
+LONGEST = 8
+#: Symbols of a place that longer prefixes are made of.
+BEST = 16
+#: A prefix of more rows is split among tasks.
+HOT_PREFIX = 20_000
+#: Query vectors are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 @lru_cache(maxsize=4)
-def planes(dim: int, trees: int) -> np.ndarray:
-    return np.random.default_rng(977).standard_normal((trees, dim, BITS))
-
-
-def hash_strings(vectors: np.ndarray, trees: int) -> np.ndarray:
-    """A bit string per tree and vector, as integers whose order is the strings' order."""
-    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-    return np.stack([(vectors @ p > 0) @ weights for p in planes(vectors.shape[1], trees)])
-
-
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int, hits: int):
-    """Lists of (query_id, vec_id, score): the k best of the candidates of each query."""
-    strings = hash_strings(vectors, trees)
-    order = np.argsort(strings, axis=1, kind="stable")
-    arrays = np.take_along_axis(strings, order, axis=1)
-    asked = hash_strings(queries, trees)
-    norms, query_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
-    # synchronous ascent: the deepest level at which all trees together hold enough
-    low = np.zeros((trees, len(queries)), np.int64)
-    high = np.full((trees, len(queries)), len(ids), np.int64)
-    going = np.ones(len(queries), bool)
-    for depth in range(1, BITS + 1):
-        shift = BITS - depth
-        a, b = np.empty_like(low), np.empty_like(high)
-        for t in range(trees):
-            prefix = asked[t] >> shift << shift
-            a[t] = np.searchsorted(arrays[t], prefix, "left")
-            b[t] = np.searchsorted(arrays[t], prefix + (1 << shift), "left")
-        going &= (b - a).sum(0) >= hits
-        if not going.any():
-            break
-        low[:, going], high[:, going] = a[:, going], b[:, going]
-    out_q, out_v, out_s = [], [], []
-    for q in range(len(queries)):
-        seen = np.zeros(len(ids), bool)
-        for t in range(trees):
-            seen[order[t, low[t, q] : high[t, q]]] = True
-        at = np.flatnonzero(seen)
-        at = at[ids[at] != query_ids[q]]
-        score = (vectors[at] @ queries[q]) / (norms[at] * query_norms[q])
-        if len(at) > k:
-            edge = np.partition(score, len(at) - k)[len(at) - k]
-            keep = score >= edge - 1e-12
-            at, score = at[keep], score[keep]
-        best = np.lexsort((ids[at], -score))[: k + 8]
-        out_q += [query_ids[q]] * len(best)
-        out_v += ids[at[best]].tolist()
-        out_s += [float(np.dot(vectors[i], queries[q]) / (np.sqrt(np.dot(vectors[i], vectors[i])) * np.sqrt(np.dot(queries[q], queries[q])))) for i in at[best]]
-    return out_q, out_v, out_s
-
-
-def usable_vectors(table: DataFrame) -> DataFrame:
+def directions(dim: int, trees: int, length: int) -> np.ndarray:
+    return np.random.default_rng((977, dim)).standard_normal((trees, length, SIDES, dim)).astype(np.float32)
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, with components of at most 1."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
+def closeness(vectors: np.ndarray, trees: int, length: int) -> np.ndarray:
+    """By row, tree and place: how close the row lies to each direction."""
+    planes = directions(vectors.shape[1], trees, length)
+    return (scaled(vectors).astype(np.float32) @ planes.reshape(-1, vectors.shape[1]).T).reshape(len(vectors), trees, length, SIDES)
+
+
+def strings(vectors: np.ndarray, trees: int, length: int) -> np.ndarray:
+    """By row and tree: the symbols of the string, the first in the highest bits."""
+    out = np.empty((len(vectors), trees), np.int64)
+    for at in range(0, len(vectors), 256):
+        near = closeness(vectors[at : at + 256], trees, length)
+        side = np.abs(near).argmax(-1)
+        symbol = side + SIDES * (np.take_along_axis(near, side[..., None], -1)[..., 0] < 0)
+        out[at : at + 256] = (symbol.astype(np.int64) << (BITS * np.arange(length - 1, -1, -1))).sum(-1)
+    return out
+
+
+def prefixes(vectors: np.ndarray, trees: int, length: int, level: int, paces: int) -> np.ndarray:
+    """By row, tree and pace: prefixes of ``level`` symbols, the closest first."""
+    out = np.empty((len(vectors), trees, paces), np.int64)
+    for at in range(0, len(vectors), 64):
+        near = closeness(vectors[at : at + 64], trees, length)[:, :, :level]
+        both = np.concatenate([near, -near], -1)
+        code, score = np.zeros((*both.shape[:2], 1), np.int64), np.zeros((*both.shape[:2], 1), np.float32)
+        for place in range(level):
+            most = min(BEST if level > 1 else SYMBOLS, SYMBOLS)
+            best = np.argsort(-both[:, :, place], axis=-1, kind="stable")[..., :most]
+            gain = np.take_along_axis(both[:, :, place], best, -1)
+            score = (score[..., :, None] + gain[..., None, :]).reshape(*both.shape[:2], -1)
+            code = ((code[..., :, None] << BITS) + best[..., None, :]).reshape(*both.shape[:2], -1)
+            order = np.argsort(-score, axis=-1, kind="stable")[..., :paces]
+            score, code = np.take_along_axis(score, order, -1), np.take_along_axis(code, order, -1)
+        out[at : at + 64] = code
+    return out
+
+
+def matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) of each length of vector in a batch."""
+    held = batch.column(column)
+    sizes = held.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dim)
+        some = held if len(rows) == len(sizes) else held.take(pa.array(rows))
+        yield rows, some.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), dim)
+
+
+def usable_vectors(table: DataFrame, is_query: Column) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    return table.filter(F.coalesce(ok, F.lit(False))).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(v).alias("embedding"))
+    rows = table.filter(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asked").alias("asked")).withColumn("dim", F.size("embedding"))
+
+
+def row_strings(points: DataFrame, trees: int, length: int) -> DataFrame:
+    """(vec_id, dim, codes): a row's string in each tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, vectors in matrices(batch, "embedding"):
+                codes = strings(vectors, trees, length)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * trees, pa.int32()), pa.array(codes.ravel()))
+                dims = pa.array(np.full(len(rows), vectors.shape[1], np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), dims, lists], names=["vec_id", "dim", "codes"])
+
+    return points.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, codes array<long>")
+
+
+def query_prefixes(queries: DataFrame, trees: int, length: int, level: int, paces: int) -> DataFrame:
+    """(query_id, dim, pace, cell): the prefixes of a level that each query ascends through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, vectors in matrices(batch, "embedding"):
+                cells = prefixes(vectors, trees, length, level, paces) * trees + np.arange(trees)[None, :, None]
+                n = trees * paces
+                ids = np.repeat(batch.column("vec_id").take(pa.array(rows)).to_numpy(), n)
+                pace = np.tile(np.arange(paces, dtype=np.int32), len(rows) * trees)
+                dims = np.full(len(ids), vectors.shape[1], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(dims), pa.array(pace), pa.array(cells.ravel())], names=["query_id", "dim", "pace", "cell"])
+
+    return queries.select("vec_id", "embedding").mapInArrow(run, "query_id long, dim int, pace int, cell long")
+
+
+def rows_of_cells(taken: DataFrame, entries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, vec_id): the rows of the cells that each query takes; a hot cell is split by rows."""
+    keys = ["dim", "cell"]
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    hot = max(HOT_PREFIX, (total or 0) // BROADCAST_ROWS)  # so that at most BROADCAST_ROWS cells are hot
+    if (largest or 0) <= hot:
+        return taken.join(entries, keys).select("query_id", "vec_id")
+    parts = F.broadcast(counts.filter(F.col("n") > hot).select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    parts_of = F.coalesce("parts", F.lit(1))
+    left = taken.join(parts, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1))).drop("parts")
+    right = entries.join(parts, keys, "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts_of).cast("int")).drop("parts")
+    return left.join(right, [*keys, "part"]).select("query_id", "vec_id")
+
+
+def candidates(points: DataFrame, queries: DataFrame, rows: int, trees: int, paces: int, hits: int) -> DataFrame:
+    """(vec_id, queries): each row with the queries that rank it."""
+    base = min(LONGEST - 1, max(1, round(math.log(max(rows, 2), SYMBOLS))))  # prefixes of a few rows each
+    length = base + 1  # where rows lie densely the longer prefix may do
+    held = materialize(row_strings(points, trees, length), "strings")
+    entries = held.select("vec_id", "dim", F.posexplode("codes").alias("tree", "code"))
+    open_, found = queries, None
+    for level in range(length, 0, -1):
+        cell = F.shiftright("code", BITS * (length - level)) * trees + F.col("tree")
+        at = entries.select("vec_id", "dim", cell.alias("cell"))
+        counts = materialize(at.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+        asked = query_prefixes(open_, trees, length, level, SYMBOLS if level == 1 else paces if level <= base else 1)
+        met = materialize(asked.join(counts, ["dim", "cell"]), "met")  # counts, no pairs yet
+        sums = met.groupBy("query_id", "pace").agg(F.sum("n").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("query_id").orderBy("pace"))
+        enough = sums.withColumn("so_far", so_far).groupBy("query_id").agg(F.min(F.when(F.col("so_far") >= hits, F.col("pace"))).alias("last"))
+        # the last level holds every row: a query that never has enough takes all of it
+        enough = enough.withColumn("last", F.coalesce("last", F.lit(SYMBOLS))) if level == 1 else enough.filter("last is not null")
+        enough = materialize(enough, "enough")
+        taken = met.join(enough, "query_id").filter("pace <= last").select("query_id", "dim", "cell")
+        pairs = rows_of_cells(taken, at, counts)
+        found = pairs if found is None else found.unionByName(pairs)
+        open_ = materialize(open_.join(enough, open_["vec_id"] == enough["query_id"], "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    return found.filter("query_id <> vec_id").groupBy("vec_id").agg(F.collect_set("query_id").alias("queries"))
+
+
+def cosines(pairs: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of rows (query_id, vec_id, embedding, asked)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.empty(batch.num_rows)
+            for (rows, a), (_, b) in zip(matrices(batch, "embedding"), matrices(batch, "asked"), strict=True):
+                a, b = scaled(a), scaled(b)
+                score[rows] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return pairs.select("query_id", "vec_id", "embedding", "asked").mapInArrow(run, "query_id long, vec_id long, score double")
+
 
+def nearest(table: DataFrame, is_query: Column, k: int = 5, trees: int = 64, paces: int = 24, hits: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows of ``table`` (vec_id, embedding) that ``is_query`` picks.
 
-def nearest(
-    table: DataFrame, is_query, k: int = 5, trees: int = 96, hits: int = 6000, shard_rows: int = 12_000, block_rows: int = 2048
-) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of ``table`` (vec_id, embedding) that ``is_query`` picks."""
-    vectors = usable_vectors(table).withColumn("dim", F.size("embedding"))
-    rows, asked = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    shards, blocks = max(1, round(rows / shard_rows)), max(1, -(-asked // block_rows))
+    ``hits`` is by default twice the number of rows to the power of 0.7.
+    """
+    vectors = materialize(usable_vectors(table, is_query), "vectors")
+    rows, asked, size = vectors.agg(F.count(F.lit(1)), F.count_if("asked"), F.coalesce(F.sum(F.when(F.col("asked"), F.col("dim"))), F.lit(0))).first()
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    points = vectors.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).drop("_copy")
-    points = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = vectors.filter(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    keys = ["dim", "shard", "block"]
-
-    def best_of_shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = ([], [], [])
-        if left.num_rows and right.num_rows:
-            ids, query_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            matrix = [np.stack(t.column("embedding").to_numpy(zero_copy_only=False)).astype(float) for t in (left, right)]
-            by = np.argsort(ids)
-            found = search(ids[by], matrix[0][by], query_ids, matrix[1], k, trees, hits)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    found = points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(best_of_shard, "query_id long, vec_id long, score double")
+    points = vectors.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).select("vec_id", "embedding")
+    points = materialize(points, "points")
+    queries = vectors.filter("asked").select("vec_id", "embedding")
+    ranked = candidates(points, queries, rows, trees, paces, hits or math.ceil(2 * rows**0.7))
+    own = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    own = F.broadcast(own) if 8 * size + 50 * asked <= BROADCAST_BYTES else own
+    pairs = ranked.join(points, "vec_id").withColumn("query_id", F.explode("queries")).drop("queries").join(own, "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = cosines(pairs.filter(F.size("embedding") == F.size("asked"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_ann_forest(spark, sf_dir):

@@ -224,7 +224,7 @@ def test_nearest(spark):
     rows = [(i, [float(x) for x in r], "x") for i, r in enumerate(v)]
     rows += [(900, None, "x"), (901, [0.0] * 16, "x"), (902, [float("nan")] + [1.0] * 15, "x"), (903, [None] + [1.0] * 15, "x"), (None, [1.0] * 16, "x"), (904, [1.0] * 3, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    out = ann_forest.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=200, hits=1500).collect()
+    out = ann_forest.nearest(df, F.col("vec_id") % 20 == 0).collect()
     n = v / np.linalg.norm(v, axis=1)[:, None]
     hit = 0
     for q in range(0, 600, 20):
