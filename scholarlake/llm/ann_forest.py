@@ -202,7 +202,8 @@ def cosines(pairs: DataFrame) -> DataFrame:
 def nearest(table: DataFrame, is_query: Column, k: int = 5, trees: int = 64, paces: int = 24, hits: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``table`` (vec_id, embedding) that ``is_query`` picks.
 
-    ``hits`` is by default twice the number of rows to the power of 0.7.
+    ``hits`` is by default twice the number of rows to the power of 0.7. A row may count
+    once per tree, so it is at least ``k`` rows in all trees, and the query's own on top.
     """
     vectors = materialize(usable_vectors(table, is_query), "vectors")
     rows, asked, size = vectors.agg(F.count(F.lit(1)), F.count_if("asked"), F.coalesce(F.sum(F.when(F.col("asked"), F.col("dim"))), F.lit(0))).first()
@@ -210,7 +211,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, trees: int = 64, pac
     points = vectors.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).select("vec_id", "embedding")
     points = materialize(points, "points")
     queries = vectors.filter("asked").select("vec_id", "embedding")
-    ranked = candidates(points, queries, rows, trees, paces, hits or math.ceil(2 * rows**0.7))
+    ranked = candidates(points, queries, rows, trees, paces, max(hits or math.ceil(2 * rows**0.7), k * trees) + trees)
     own = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     own = F.broadcast(own) if 8 * size + 50 * asked <= BROADCAST_BYTES else own
     pairs = ranked.join(points, "vec_id").withColumn("query_id", F.explode("queries")).drop("queries").join(own, "query_id")
