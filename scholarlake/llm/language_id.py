@@ -136,7 +136,7 @@ class Language:
             return step
         return table[state * width + own]
 
-    def parse(self, table: np.ndarray, grid: np.ndarray, lengths: np.ndarray, follow: np.ndarray):
+    def parse(self, table: np.ndarray, grid: np.ndarray, lengths: np.ndarray):
         """(phrases begun, last state, steps by letter) of lanes that start at the root; lanes are sorted, the longest first."""
         active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # lanes still running at each step
         state, ended = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int64)
@@ -229,43 +229,36 @@ class Model:
         """
         out = np.zeros((len(coded), len(self.parts)), np.int64)
         pieces = [(k, at, min(PIECE, len(x) - at)) for k, x in enumerate(coded) for at in range(0, len(x), PIECE)]
-        # the piece of the same text that comes next
-        following = np.array([n + 1 if n + 1 < len(pieces) and pieces[n + 1][0] == k else -1 for n, (k, *_) in enumerate(pieces)], np.int64)
         lengths = np.array([n for *_, n in pieces], np.int64)
         owner = np.array([k for k, *_ in pieces], np.int64)
+        later = np.array([at > 0 for _, at, _ in pieces], bool)  # behind another piece of its text
+        followed = np.r_[later[1:], False] if len(pieces) else later
+        slot = np.cumsum(later) - 1
+        letters = np.zeros((int(later.sum()), PIECE), np.int32)  # of the later pieces, and below their steps
+        for n in np.flatnonzero(later).tolist():
+            k, at, size = pieces[n]
+            letters[slot[n], :size] = coded[k][at : at + size]
         order = np.argsort(-lengths, kind="stable")
         blocks = [(order[at : at + LANES], self.grid(coded, pieces, order[at : at + LANES])) for at in range(0, len(order), LANES)]
         for g, part in enumerate(self.parts):
             table = self.dense(g)
             ended, last = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32)
-            paths = [None] * len(blocks)
-            for b, (members, grid) in enumerate(blocks):
-                ended[members], last[members], paths[b] = part.parse(table, grid, lengths[members], following[members] >= 0)
-            # pieces behind another, with the state that they go on from
-            due = following[following >= 0]
-            origin = np.full(len(pieces), -1, np.int64)
-            origin[due] = np.flatnonzero(following >= 0)
-            own_path = {int(n): (b, lane) for b, (members, _) in enumerate(blocks) for lane, n in enumerate(members) if origin[n] >= 0}
+            steps = np.zeros_like(letters)
+            for members, grid in blocks:
+                ended[members], last[members], path = part.parse(table, grid, lengths[members])
+                steps[slot[members[later[members]]], : len(grid)] = path[:, later[members]].T
+            due = np.flatnonzero(later)
             while len(due):
                 again = []
                 for at in range(0, len(due), LANES):
                     some = due[at : at + LANES]
-                    some = some[np.argsort(-lengths[some], kind="stable")]
-                    grid = self.grid(coded, pieces, some)
-                    held = np.zeros((len(grid), len(some)), np.int32)
-                    for lane, n in enumerate(some.tolist()):
-                        b, own = own_path[n]
-                        held[: lengths[n], lane] = paths[b][: lengths[n], own]
-                    change, state, path = part.resume(table, grid, lengths[some], last[origin[some]], held)
+                    longest = int(lengths[some].max())
+                    change, state, path = part.resume(table, letters[slot[some], :longest].T, lengths[some], last[some - 1], steps[slot[some], :longest].T)
                     ended[some] += change
-                    for lane, n in enumerate(some.tolist()):
-                        b, own = own_path[n]
-                        paths[b][: lengths[n], own] = path[: lengths[n], lane]
-                    moved = some[state != last[some]]
+                    steps[slot[some], :longest] = path.T
+                    again.append(some[(state != last[some]) & followed[some]] + 1)
                     last[some] = state
-                    again.append(following[moved])
                 due = np.concatenate(again)
-                due = due[due >= 0]
             np.add.at(out[:, g], owner, ended)
         return out
 
