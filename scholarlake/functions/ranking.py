@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import store
+
+
+#: Ranks (a row per distinct value of a group) are broadcast up to so many rows; beyond it they are shuffled.
+BROADCAST_RANKS = 500_000
+
 
 def percent_rank_by(df: DataFrame, keys: list[str], metrics: dict[str, str], mode: str = "histogram", population: DataFrame | None = None) -> DataFrame:
     """Add ``out``: (rows of the group strictly below) / (rows - 1), 0 alone, for each out -> value of ``metrics``.
 
-    Null values rank lowest, null keys form a group. The histogram counts distinct
-    values with partial aggregation and joins their ranks back; only the distinct
-    values of a group meet in one task. ``population`` is what is counted, where it is
+    Null values rank lowest, null keys form a group. The histogram counts the distinct
+    values of all metrics in one pass with partial aggregation, ranks and stores them, and
+    joins them back: by broadcast below a bound, so that the wide table is not shuffled and
+    a frequent value is no hot key. ``population`` is what is counted, where it is
     simpler than ``df`` itself (df without columns that joins have added).
     """
     if mode == "window":
@@ -20,16 +27,21 @@ def percent_rank_by(df: DataFrame, keys: list[str], metrics: dict[str, str], mod
     if mode != "histogram":
         raise ValueError(f"unknown mode {mode}")
     population = df if population is None else population  # never the result of a former step: plans would double with each metric
-    for out, value in metrics.items():
-        group = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
-        counts = population.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        below = F.coalesce(F.sum("_n").over(group.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("_n").over(group)
-        ranks = counts.select(*[f"_k{i}" for i in range(len(keys))], "_v", F.when(total > 1, below / (total - 1)).otherwise(0.0).alias(out))
+    group = [f"_k{i}" for i in range(len(keys))]
+    values = F.array(*[F.struct(F.lit(i).alias("m"), F.col(v).alias("v")) for i, v in enumerate(metrics.values())])
+    counts = population.select(*[F.col(k).alias(g) for k, g in zip(keys, group, strict=True)], F.explode(values).alias("e"))
+    counts = counts.groupBy("e.m", *group, "e.v").agg(F.count(F.lit(1)).alias("n"))
+    window = Window.partitionBy("m", *group)
+    below = F.coalesce(F.sum("n").over(window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(window)
+    ranks = store(counts.select("m", *group, F.col("v").alias("_v"), F.when(total > 1, below / (total - 1)).otherwise(0.0).alias("r")))
+    small = ranks.count() <= BROADCAST_RANKS
+    for i, (out, value) in enumerate(metrics.items()):
+        own = ranks.filter(F.col("m") == i).select(*group, "_v", F.col("r").alias(out))
         match = F.col(value).eqNullSafe(F.col("_v"))
-        for i, k in enumerate(keys):
-            match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        df = df.join(ranks, match, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
+        for k, g in zip(keys, group, strict=True):
+            match = match & F.col(k).eqNullSafe(F.col(g))
+        df = df.join(F.broadcast(own) if small else own, match, "left").drop("_v", *group)
     return df
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import eligible, percent_rank_by
-from ..sources.documents import citations_by_year
 
 
 def publication_current(pubs: DataFrame, as_of_year: int, mode: str = "histogram") -> DataFrame:
@@ -16,15 +15,25 @@ def publication_current(pubs: DataFrame, as_of_year: int, mode: str = "histogram
 
 
 def citation_timeline(pubs: DataFrame, horizon_year: int) -> DataFrame:
-    """One row per year from publication to the horizon, with yearly and running citations."""
+    """One row per year from publication to the horizon, with yearly and running citations.
+
+    The map of citations lies in the publication's own row, so nothing is shuffled. Keys
+    that are no years and nested values are skipped; keys of one year are added up.
+    """
+    plain = lambda v: F.coalesce(F.when(~v.rlike(r"^\s*[{\[]"), v).cast("bigint"), F.lit(0).cast("bigint"))
+    entries = F.coalesce(F.map_entries(F.from_json("cites_per_year", "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
+    pairs = F.transform(entries, lambda e: F.struct(e["key"].try_cast("bigint").alias("year"), plain(e["value"]).alias("n")))
     years = F.sequence(F.col("pub_year"), F.lit(horizon_year).cast("bigint"))
-    series = pubs.filter(F.col("pub_year") <= horizon_year).select("scholar_id", "author_pub_id", "pub_year", F.explode(years).alias("citation_year"))
-    cites = citations_by_year(pubs).select("scholar_id", "author_pub_id", "citation_year", "yearly_citations")
-    rows = series.join(cites, ["scholar_id", "author_pub_id", "citation_year"], "left").withColumn("yearly_citations", F.coalesce("yearly_citations", F.lit(0)))
-    running = Window.partitionBy("author_pub_id").orderBy("citation_year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the map is decoded once per row: it is bound by the outer lambda, not repeated in the inner ones
+    yearly = F.transform(F.array(pairs), lambda all_: F.transform(years, lambda y: F.aggregate(
+        all_, F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["year"] == y, e["n"]).otherwise(0)
+    )))[0]
+    rows = pubs.filter(F.col("pub_year") <= horizon_year).select("scholar_id", "author_pub_id", "pub_year", yearly.alias("_yearly"))
+    rows = rows.select("*", F.posexplode("_yearly").alias("_age", "yearly_citations"))
+    running = F.aggregate(F.slice("_yearly", 1, F.col("_age") + 1), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    age = F.col("_age").cast("bigint")
     return rows.select(
-        "scholar_id", "author_pub_id", "pub_year", (F.col("citation_year") - F.col("pub_year")).alias("age"), "citation_year", "yearly_citations",
-        F.sum("yearly_citations").over(running).alias("cumulative_citations"),
+        "scholar_id", "author_pub_id", "pub_year", age.alias("age"), (F.col("pub_year") + age).alias("citation_year"), "yearly_citations", running.alias("cumulative_citations"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .authors import COUNTS
@@ -24,7 +24,7 @@ def publication_by_year(timeline: DataFrame, current_year: int, author_pub_id: s
     """Years from publication to now; publication-year percentiles under their display names."""
     rows = timeline.filter((F.col("citation_year") >= F.col("pub_year")) & (F.col("citation_year") <= current_year))
     rows = rows if author_pub_id is None else rows.filter(F.col("author_pub_id") == author_pub_id)
-    return rows.select("author_pub_id", "pub_year", "citation_year", "yearly_citations", "cumulative_citations", F.col("perc_pub_year_yearly_citations").alias("perc_yearly_citations"), F.col("perc_pub_year_cumulative_citations").alias("perc_cumulative_citations"))
+    return rows.select("author_pub_id", "pub_year", "citation_year", "age", "yearly_citations", "cumulative_citations", F.col("perc_pub_year_yearly_citations").alias("perc_yearly_citations"), F.col("perc_pub_year_cumulative_citations").alias("perc_cumulative_citations"))
 
 
 def author_by_year(temporal: DataFrame, author_id: str | None = None) -> DataFrame:
@@ -53,6 +53,15 @@ def author_profiles(authors: DataFrame, modified: DataFrame, publications: DataF
     return rows.join(lists, "scholar_id", "left").join(own, "scholar_id", "left")
 
 
+def publication_profiles(pubs: DataFrame, by_year: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """One document per publication: attributes, last change, whether it is stale, statistics by year."""
+    stats = F.array_sort(F.collect_list(F.struct("citation_year", *[c for c in by_year.columns if c not in ("author_pub_id", "pub_year", "citation_year")])))
+    years = by_year.groupBy("author_pub_id").agg(stats.alias("stats"))
+    stale = F.col("timestamp") < now - F.expr(f"INTERVAL {days} DAYS")
+    rows = pubs.select("scholar_id", "author_pub_id", "title", "author", "citation", "pub_year", "num_citations", F.col("timestamp").alias("last_modified"), stale.alias("stale"))
+    return rows.join(years, "author_pub_id", "left")
+
+
 def scatter_frame(served: DataFrame, as_of_year: int, x: str = "publication_rank") -> DataFrame:
     rows = served.withColumn("year", F.col("pub_year").try_cast("bigint")).filter("year is not null")
     value = F.col(x) if x == "publication_rank" else F.col(x) * 100

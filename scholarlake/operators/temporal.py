@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import percent_rank_by
@@ -47,12 +47,25 @@ def recent_totals(state: DataFrame) -> DataFrame:
     return sums.select(*YEAR, F.coalesce(F.sum("_y").over(w), F.lit(0)).alias("total_recent_citations_5y"))
 
 
+def _h(values) -> Column:
+    """max(min(rank, value)) over the positive values, largest first; null without any."""
+    return F.array_max(F.transform(F.sort_array(values, asc=False), lambda v, i: F.least(v, (i + 1).cast("bigint"))))
+
+
 def temporal_metrics(state: DataFrame, first: DataFrame) -> DataFrame:
-    recent = recent_citations(state)
-    rows = yearly_totals(recent).join(recent_totals(state), YEAR).join(first, "scholar_id", "left")
-    rows = rows.join(h_index(state, "cumulative_citations_at_state_year", "h_index"), YEAR, "left").join(h_index(recent, "citations_last_5_years", "h_index_5y"), YEAR, "left")
+    """All metrics of an author-year from one grouping of its publications; equal to the single ones above joined."""
+    copies = F.count(F.lit(1)).over(Window.partitionBy("scholar_id", "author_pub_id", "state_year"))
+    c, r, p = F.col("cumulative_citations_at_state_year"), F.col("citations_last_5_years"), F.col("author_pub_id")
+    years = recent_citations(state).withColumn("_k", copies).groupBy(*YEAR).agg(
+        F.size(F.collect_set(p)).cast("bigint").alias("total_publications"),
+        F.sum(c * F.col("_k")).alias("total_citations"), F.sum("yearly_citations_at_state_year").alias("_y"),
+        _h(F.collect_list(F.when(c > 0, c))).alias("h_index"), _h(F.collect_list(F.when(r > 0, r))).alias("h_index_5y"),
+        F.size(F.collect_set(F.when(c >= 10, p))).cast("bigint").alias("i10_index"), F.size(F.collect_set(F.when(r >= 10, p))).cast("bigint").alias("i10_index_5y"),
+    )
+    w = Window.partitionBy("scholar_id").orderBy("state_year").rangeBetween(-4, 0)
+    rows = years.withColumn("total_recent_citations_5y", F.sum("_y").over(w)).join(first, "scholar_id", "left")
     zero = ["total_recent_citations_5y", "h_index", "h_index_5y", "i10_index", "i10_index_5y"]
-    return rows.select(*YEAR, "year_of_first_pub", "total_publications", "total_citations", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero])
+    return rows.select(*YEAR, "year_of_first_pub", "total_publications", "total_citations", *[F.coalesce(m, F.lit(0)).alias(m) for m in zero])
 
 
 def author_temporal(metrics: DataFrame, mode: str = "histogram") -> DataFrame:

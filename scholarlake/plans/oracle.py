@@ -73,7 +73,7 @@ CTE = {
     "single": "SELECT o.author_pub_id, o.position, min(a.id) AS c FROM (SELECT * FROM resolved WHERE scholar_id IS NULL) o JOIN (SELECT 'Supplier ' || (s_suppkey % 70) AS name, 'S' || s_suppkey AS id FROM supplier) a ON o.name = a.name JOIN (SELECT author_pub_id, scholar_id FROM resolved WHERE scholar_id IS NOT NULL) k ON o.author_pub_id = k.author_pub_id JOIN (SELECT DISTINCT primary_scholar_id, coauthor_scholar_id FROM edges) e ON e.primary_scholar_id = a.id AND e.coauthor_scholar_id = k.scholar_id GROUP BY ALL HAVING count(DISTINCT a.id) = 1",
     "served": "SELECT i.scholar_id, publication_rank, i.author_pub_id, title, author, citation, pub_year, i.num_citations, num_citations_percentile, num_papers_percentile FROM inputs i JOIN pubs p USING (author_pub_id)",
     "with_scores": "SELECT s.*, pip_auc_score, pip_auc_score_percentile FROM stats s LEFT JOIN scores USING (scholar_id)",
-    "by_year": "SELECT author_pub_id, pub_year, citation_year, yearly_citations, cumulative_citations, perc_pub_year_yearly_citations AS perc_yearly_citations, perc_pub_year_cumulative_citations AS perc_cumulative_citations FROM timeline_pct WHERE citation_year BETWEEN pub_year AND 2025",
+    "by_year": "SELECT author_pub_id, pub_year, citation_year, age, yearly_citations, cumulative_citations, perc_pub_year_yearly_citations AS perc_yearly_citations, perc_pub_year_cumulative_citations AS perc_cumulative_citations FROM timeline_pct WHERE citation_year BETWEEN pub_year AND 2025",
     "modified": "SELECT a.scholar_id, greatest(a.timestamp, p.t) AS last_modified FROM authors a LEFT JOIN (SELECT scholar_id, max(timestamp) AS t FROM pubs GROUP BY scholar_id) p USING (scholar_id)",
     "snapshot": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stale": "SELECT scholar_id, timestamp FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 500",
@@ -112,14 +112,14 @@ SQL = {
     "src_8_latest_snapshot": everything("snapshot"),
     "snk_1_upsert": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 2 DESC, props DESC) = 1",
     "snk_2_upsert_stream": everything("snapshot"),
-    "snk_3_export_all_csv": everything("with_scores", "scholar_id, citedby, total_publications, pip_auc_score"),
-    "snk_4_export_author_csv": sql("SELECT scholar_id, author_pub_id, num_citations, publication_rank FROM inputs WHERE scholar_id LIKE 'C1%'"),
+    "snk_3_export_all_csv": everything("with_scores"),
+    "snk_4_export_author_csv": everything("served"),
     "snk_5_materialize": everything("metrics"),
     "prj_1_slim_author": sql("SELECT scholar_id, author_pub_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 ELSE 0 END::BIGINT AS num_citations, false AS filled, pub_year::VARCHAR AS pub_year FROM pubs WHERE scholar_id IN (SELECT 'C' || c_custkey FROM customer)"),
     "prj_2_big_integers": "SELECT o_orderkey, CASE WHEN abs(v) > 4611686018427387904 THEN '\"' || v || '\"' ELSE v::VARCHAR END AS value FROM (SELECT o_orderkey, (o_orderkey % 5 - 2) * 2305843009213693959 AS v FROM orders)",
     "prj_3_similar_authors": "SELECT name, '' AS affiliation, '' AS email_domain, citedby, scholar_id, position FROM (SELECT 'Supplier ' || (s_suppkey % 70) AS name, length('S' || s_suppkey)::BIGINT AS citedby, 'S' || s_suppkey AS scholar_id, row_number() OVER (PARTITION BY s_suppkey % 70 ORDER BY length('S' || s_suppkey) DESC, 'S' || s_suppkey)::BIGINT AS position FROM supplier) WHERE position <= 10",
     "prj_4_eligible": sql("SELECT author_pub_id, pub_year, num_citations FROM pubs WHERE pub_year > 1950 AND pub_year <= 2025 AND num_citations > 0"),
-    "prj_5_timeline_slice": sql("SELECT * FROM timeline WHERE citation_year BETWEEN pub_year AND 2010"),
+    "prj_5_timeline_slice": sql("SELECT * FROM timeline WHERE citation_year BETWEEN pub_year AND 2025"),
     "pub_1_publication_current": everything("current_pubs"),
     "pub_2_citation_timeline": everything("timeline"),
     "pub_3_timeline_percentiles": everything("timeline_pct"),
@@ -160,6 +160,11 @@ SQL = {
     "ref_1_stale_documents": everything("stale"),
     "ref_2_authors_to_refresh": sql(sample("(SELECT scholar_id FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 2000)", "scholar_id", 20)),
     "ref_3_worklist": sql(f"SELECT i.scholar_id, CASE WHEN a.scholar_id IS NULL THEN 'unknown' WHEN n_publications IS NULL AND name IS NULL THEN 'empty' ELSE 'known' END AS status, name, coalesce(n_publications, 0)::BIGINT AS n_publications FROM (SELECT scholar_id FROM authors WHERE {one_in('scholar_id', 5)} UNION SELECT coauthor_scholar_id FROM counted) i LEFT JOIN authors a ON i.scholar_id = a.scholar_id LEFT JOIN sizes s ON a.scholar_id = s.scholar_id"),
+    "ref_3_worklist_fallback": sql("SELECT i.scholar_id, CASE WHEN a.scholar_id IS NULL THEN 'unknown' WHEN n_publications IS NULL AND name IS NULL THEN 'empty' ELSE 'known' END AS status, name, coalesce(n_publications, 0)::BIGINT AS n_publications FROM (" + sample("(SELECT scholar_id FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 2000)", "scholar_id", 20) + ") i LEFT JOIN authors a ON i.scholar_id = a.scholar_id LEFT JOIN sizes s ON a.scholar_id = s.scholar_id"),
+    "ref_3_worklist_totals": sql(f"SELECT status, count(*)::BIGINT AS ids, sum(n_publications)::BIGINT AS publications FROM (SELECT i.scholar_id, CASE WHEN a.scholar_id IS NULL THEN 'unknown' WHEN n_publications IS NULL AND name IS NULL THEN 'empty' ELSE 'known' END AS status, name, coalesce(n_publications, 0)::BIGINT AS n_publications FROM (SELECT scholar_id FROM authors WHERE {one_in('scholar_id', 5)} UNION SELECT coauthor_scholar_id FROM counted) i LEFT JOIN authors a ON i.scholar_id = a.scholar_id LEFT JOIN sizes s ON a.scholar_id = s.scholar_id) GROUP BY status"),
+    "ref_1_stale_truthy": sql(f"SELECT affiliation, timestamp FROM (SELECT CASE WHEN {one_in('scholar_id', 3)} THEN '' ELSE affiliation END AS affiliation, timestamp FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 500) WHERE affiliation <> ''"),
+    "srv_8_publication_profiles": sql("SELECT p.scholar_id, p.author_pub_id, p.title, p.pub_year, p.num_citations, p.timestamp AS last_modified, p.timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS AS stale, coalesce(n, 0)::BIGINT AS n_years, years FROM pubs p LEFT JOIN (SELECT author_pub_id, count(*) AS n, string_agg(citation_year || '/' || age || '/' || yearly_citations || '/' || cumulative_citations, ';' ORDER BY citation_year) AS years FROM by_year GROUP BY author_pub_id) y ON p.author_pub_id = y.author_pub_id"),
+    "prj_2_big_integers_nested": "SELECT o_custkey, string_agg(o_orderkey || ':' || CASE WHEN abs(v) > 4611686018427387904 THEN '\"' || v || '\"' ELSE v::VARCHAR END, ',' ORDER BY o_orderkey) AS entries FROM (SELECT o_custkey, o_orderkey, (o_orderkey % 5 - 2) * 2305843009213693959 AS v FROM orders) GROUP BY o_custkey",
     "ref_4_new_tasks": sql(f"SELECT DISTINCT {task_key('scholar_id')} AS task_key FROM authors EXCEPT SELECT task_key FROM pending"),
     "ref_5_publication_tasks": sql(f"SELECT {task_key('author_pub_id')} AS task_key FROM listed WHERE scholar_id IN (SELECT scholar_id FROM stale) EXCEPT SELECT task_key FROM pending"),
     "ref_6_without_dead": sql(f"SELECT scholar_id, name FROM authors WHERE NOT (scholar_id IN (SELECT scholar_id FROM stale) AND {one_in('scholar_id', 2)} AND (NOT {one_in('scholar_id', 3)} OR name = ''))"),

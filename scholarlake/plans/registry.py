@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timedelta
 from functools import cached_property
 
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import eligible
+from ..functions.storage import scratch, store
 from ..operators import authors as au
 from ..operators import export, network, refresh, resolution, serving
 from ..operators import publications as pu
@@ -22,12 +21,6 @@ AS_OF, HORIZON, SEED = 2025, 2025, 7
 NOW = "2025-01-15 00:00:00"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scholarlake-", dir="/tmp")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 class Frames:
     """The chain of views over one set of tables; each is built when first asked for."""
 
@@ -36,9 +29,7 @@ class Frames:
 
     def store(self, df: DataFrame) -> DataFrame:
         """A view that several others read, written once: plans stay linear and restart at files."""
-        path = scratch(self.spark)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return store(df)
 
     def table(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.dir, name)
@@ -192,23 +183,23 @@ def _stream(f: Frames) -> DataFrame:
     events = f.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(at)
     updates = events.select(F.col("user_id").cast("string").alias("document_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("data"), "event_id")
     out = scratch(f.spark)
-    upsert.run_to_parquet(upsert.upsert_stream(updates, "document_id", "timestamp", "event_id"), f"{out}/table", f"{out}/checkpoint")
-    return f.spark.read.parquet(f"{out}/table").select("document_id", "timestamp", "data")
+    stored = upsert.run_to_parquet(upsert.upsert_stream(updates, "document_id", "timestamp", "event_id"), f"{out}/table", f"{out}/checkpoint")
+    return stored.select("document_id", "timestamp", "data")
 
 
 def _csv_all(f: Frames) -> DataFrame:
     path = scratch(f.spark)
-    rows = f.with_scores.select("scholar_id", "citedby", "total_publications", "pip_auc_score")
+    rows = f.with_scores
     export.export_csv(rows, path)
     return f.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 def _csv_author(f: Frames) -> DataFrame:
-    """Every author's publications are exported, in 64 folders by hash of the id; the slice that the SQL names is read back."""
+    """Every author's publications as served, in 64 folders by hash of the id."""
     path = scratch(f.spark)
-    rows = f.inputs.select("scholar_id", "author_pub_id", "num_citations", "publication_rank")
+    rows = f.served
     export.export_csv(rows.withColumn("shard", F.pmod(F.xxhash64("scholar_id"), F.lit(64))).repartition("shard"), path, by="shard")
-    return f.spark.read.schema(rows.schema).option("header", True).csv(path).select(*rows.columns).filter("scholar_id like 'C1%'")
+    return f.spark.read.schema(rows.schema).option("header", True).csv(path).select(*rows.columns)
 
 
 def _view(f: Frames) -> DataFrame:
@@ -228,6 +219,20 @@ def _worklist(f: Frames) -> DataFrame:
     return refresh.refresh_worklist(asked, new, known)
 
 
+def _fallback(f: Frames) -> DataFrame:
+    """Nothing asked for and nobody new: the sampled stale authors."""
+    none = f.authors.select("scholar_id").filter(F.lit(False))
+    sampled = refresh.authors_to_refresh(f.authors.withColumn("document_id", F.col("scholar_id")), F.to_timestamp(F.lit(NOW)), 20, seed=SEED)
+    sizes = documents.slim_author(f.raw_authors).select("scholar_id", F.size("publications").cast("bigint").alias("n_publications"))
+    return refresh.refresh_worklist(none, none, f.authors.select("scholar_id", "name").join(sizes, "scholar_id"), sampled)
+
+
+def _publication_profiles(f: Frames) -> DataFrame:
+    p = serving.publication_profiles(f.pubs, f.by_year, F.to_timestamp(F.lit(NOW)))
+    years = F.array_join(F.transform("stats", lambda x: F.concat_ws("/", x["citation_year"], x["age"], x["yearly_citations"], x["cumulative_citations"])), ";")
+    return p.select("scholar_id", "author_pub_id", "title", "pub_year", "num_citations", "last_modified", "stale", F.coalesce(F.size("stats"), F.lit(0)).cast("bigint").alias("n_years"), years.alias("years"))
+
+
 def _profiles(f: Frames) -> DataFrame:
     p = serving.author_profiles(f.authors, f.modified, f.served.drop("author"), f.stats)
     return p.select("scholar_id", "name", "last_modified", F.coalesce(F.size("publications"), F.lit(0)).cast("bigint").alias("n_publications"), F.get("publications", F.lit(0))["author_pub_id"].alias("best"), F.col("stats.citedby").alias("citedby"))
@@ -243,6 +248,14 @@ def _big(f: Frames) -> DataFrame:
     return documents.protect_big_integers(rows, ["value"])
 
 
+def _big_nested(f: Frames) -> DataFrame:
+    """Integers inside an array of structs of each customer's orders."""
+    big = (F.col("o_orderkey") % 5 - 2).cast("bigint") * F.lit((1 << 61) + 7)
+    rows = f.table("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", big.alias("v")))).alias("entries"))
+    out = documents.protect_big_integers(rows, ["entries"])
+    return out.select("o_custkey", F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["o_orderkey"], x["v"])), ",").alias("entries"))
+
+
 PIP = ["scholar_id", "author_pub_id", "num_citations", "num_citations_percentile", "publication_rank", "num_papers_percentile"]
 STATE = ["scholar_id", "author_pub_id", "state_year"]
 
@@ -264,7 +277,7 @@ FRAMES = {
     "prj_2_big_integers": _big,
     "prj_3_similar_authors": lambda f: resolution.similar_authors(f.names[1].select("name"), f.names[1].withColumns({"affiliation": F.lit(None).cast("string"), "email_domain": F.lit(None).cast("string"), "citedby": F.length("scholar_id").cast("bigint")})),
     "prj_4_eligible": lambda f: f.pubs.filter(eligible(AS_OF)).select("author_pub_id", "pub_year", "num_citations"),
-    "prj_5_timeline_slice": lambda f: f.timeline.filter((F.col("citation_year") >= F.col("pub_year")) & (F.col("citation_year") <= 2010)),
+    "prj_5_timeline_slice": lambda f: f.timeline.filter((F.col("citation_year") >= F.col("pub_year")) & (F.col("citation_year") <= AS_OF)),
     "pub_1_publication_current": lambda f: f.current,
     "pub_2_citation_timeline": lambda f: f.timeline,
     "pub_3_timeline_percentiles": lambda f: f.timeline_pct,
@@ -306,6 +319,11 @@ FRAMES = {
     "ref_1_stale_documents": lambda f: f.stale,
     "ref_2_authors_to_refresh": lambda f: refresh.authors_to_refresh(f.authors.withColumn("document_id", F.col("scholar_id")), F.to_timestamp(F.lit(NOW)), 20, seed=SEED),
     "ref_3_worklist": _worklist,
+    "ref_3_worklist_fallback": _fallback,
+    "ref_3_worklist_totals": lambda f: refresh.worklist_totals(_worklist(f)),
+    "ref_1_stale_truthy": lambda f: refresh.stale_documents(f.authors.withColumns({"document_id": F.col("scholar_id"), "affiliation": F.when(one_in("scholar_id", 3), "").otherwise(F.col("affiliation"))}), F.to_timestamp(F.lit(NOW)), 90, 500, "affiliation", truthy=True),
+    "srv_8_publication_profiles": _publication_profiles,
+    "prj_2_big_integers_nested": _big_nested,
     "ref_4_new_tasks": lambda f: refresh.new_tasks(f.authors, "scholar_id", f.pending),
     "ref_5_publication_tasks": lambda f: refresh.publication_tasks(f.listed, f.stale, f.pending),
     "ref_6_without_dead": _liveness,

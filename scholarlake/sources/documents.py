@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 
@@ -98,9 +99,20 @@ def slim_author(raw_authors: DataFrame) -> DataFrame:
     return _payload(raw_authors, schemas.AUTHOR_PUBLICATIONS).select("document_id", F.col("d.scholar_id").alias("scholar_id"), slim.alias("publications"))
 
 
+def protected(value: Column, kind: T.DataType) -> Column:
+    """``value`` with every integer in it as JSON text, those beyond 2^62 quoted; structs, arrays and maps are gone through."""
+    if isinstance(kind, T.LongType):
+        text = value.cast("string")
+        return F.when((value > BIG) | (value < -BIG), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[protected(value.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: protected(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: protected(x, kind.valueType))
+    return value
+
+
 def protect_big_integers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Integers beyond 2^62 as strings, all others as their JSON text."""
-    for c in columns:
-        big = (F.col(c) > BIG) | (F.col(c) < -BIG)
-        df = df.withColumn(c, F.when(big, F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.col(c).cast("string")))
-    return df
+    """The given columns with integers as JSON text at every depth, those beyond 2^62 quoted."""
+    return df.withColumns({c: protected(F.col(c), df.schema[c].dataType) for c in columns})

@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def upsert_stream(updates: DataFrame, key: str = "document_id", *order: str) -> DataFrame:
-    """Streaming snapshot. Documents never expire, so the state is a row per key without watermark; keep it in RocksDB."""
+    """Streaming snapshot. Documents never expire, so the state is a row per key without watermark; run_to_parquet keeps it in RocksDB."""
     valid = updates.filter(F.length(F.trim(F.col(key))) > 0)
     latest = F.max_by(F.struct(*valid.columns), F.struct(*(order or ("timestamp",))))
     return valid.groupBy(key).agg(latest.alias("_v")).select("_v.*")
 
 
-def run_to_parquet(snapshot: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain what is there (availableNow) and store the whole snapshot of each batch."""
-    def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+def run_to_parquet(snapshot: DataFrame, path: str, checkpoint: str, key: str = "document_id") -> DataFrame:
+    """Drain what is there (availableNow) and return the stored table.
+
+    Batches bring only the keys that changed. Each writes a new version of the table beside
+    the one before, so that readers never see half a table and a repeated batch writes the
+    same version again.
+    """
+    spark, versions = snapshot.sparkSession, []
 
-    snapshot.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    def store(batch: DataFrame, epoch: int) -> None:
+        now = f"{path}/version={epoch}"
+        if versions and versions[-1] != now:
+            batch = batch.sparkSession.read.parquet(versions[-1]).join(batch.select(key), key, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").parquet(now)
+        versions.append(now)
+
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = snapshot.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    query.awaitTermination()
+    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], snapshot.schema)
