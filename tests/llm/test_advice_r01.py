@@ -103,4 +103,4 @@ def test_export_holds_every_author(spark, monkeypatch):
     held, real = [], __import__("scholarlake.operators.export", fromlist=["export_csv"]).export_csv
     shown = registry.QUERIES["snk_4_export_author_csv"](spark, "/root/testdata/sf0.001")
     assert held[0].filter("scholar_id not like 'C1%'").count() > 0
-    assert shown.count() == held[0].filter("scholar_id like 'C1%'").count() > 0 and shown.filter("scholar_id not like 'C1%'").count() == 0
+    assert shown.count() == held[0].count() > 0 and shown.filter("scholar_id not like 'C1%'").count() > 0
