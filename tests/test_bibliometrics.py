@@ -85,6 +85,24 @@ def test_decoding_is_tolerant_of_quoted_numbers(spark):
     assert (row.scholar_id, row.hindex, row.citedby, row.i10index) == ("a", 12, 7, None)
 
 
+def test_integers_at_every_depth(spark):
+    big = 1 << 62
+    df = spark.createDataFrame([((big + 1, [big, -big - 1]), {"a": 7}), (None, None)], "s struct<x: long, y: array<long>>, m map<string, long>")
+    one, two = documents.protect_big_integers(df, ["s", "m"]).collect()
+    assert (one.s.x, one.s.y, one.m) == (f'"{big + 1}"', [str(big), f'"{-big - 1}"'], {"a": "7"}) and two.s is None and two.m is None
+
+
+def test_metrics_of_an_author_year_equal_the_single_ones(spark):
+    rows = [("A", f"p{i}", 2000, y, (i * y) % 7, (i * (y - 1999)) % 23) for i in range(12) for y in range(2000, 2008)] + [("A", "p3", 2000, 2003, 2, 12)]
+    state = spark.createDataFrame(rows, "scholar_id string, author_pub_id string, pub_year long, state_year long, yearly_citations_at_state_year long, cumulative_citations_at_state_year long")
+    first = spark.createDataFrame([("A", 2000)], "scholar_id string, year_of_first_pub long")
+    got = {r.state_year: r for r in temporal.temporal_metrics(state, first).collect()}
+    recent = temporal.recent_citations(state)
+    for frame in (temporal.yearly_totals(recent), temporal.recent_totals(state), temporal.h_index(state, "cumulative_citations_at_state_year", "h_index"), temporal.h_index(recent, "citations_last_5_years", "h_index_5y")):
+        for r in frame.collect():
+            assert all(got[r.state_year][c] == r[c] for c in frame.columns)
+
+
 def test_entry_has_sql_for_most():
     import __spark_entry__ as e
 
