@@ -3,8 +3,8 @@
 Every line has measures (length, word length, capitals, symbols, repetition ...), its
 own and those of both neighbours, each cut into bins; a chain of two labels (bad, good)
 runs over a document's lines. It is fitted by gradient ascent on the conditional
-likelihood of a bounded, hash-ordered sample of labelled documents whose lines carry
-their document's label. A document's quality is the length-weighted mean of its lines'
+likelihood of a bounded, hash-ordered sample of labelled documents (in rows and in
+characters) whose lines carry their document's label. A document's quality is the length-weighted mean of its lines'
 forward-backward marginals, calibrated by a logistic curve fitted on the same sample.
 
 Defined results: null and empty texts are one empty line and are scored like any other;
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, read_table
@@ -27,16 +27,17 @@ from .samples import labelled_sample
 
 SYMBOLS = "#*$%&|<>@^~={}[]\\_+"
 BINS = 8
+#: No letter, digit or space has a code point from here on.
+LAST_LETTER = 0x32400
 
 
 def _classes() -> np.ndarray:
     """Bits by code point: 1 letter, 2 upper, 4 digit, 8 space, 16 symbol, 32 end mark, 64 other sign."""
     out = np.zeros(0x110000, np.uint8)
-    for i in range(0x3000):
+    for i in range(LAST_LETTER):
         c = chr(i)
         out[i] = 1 * c.isalpha() + 2 * c.isupper() + 4 * c.isdigit() + 8 * c.isspace() + 16 * (c in SYMBOLS) + 32 * (c in "!?")
-        out[i] |= 64 * (out[i] == 0)
-    out[0x3000:] = 1
+    out[out == 0] = 64
     return out
 
 
@@ -178,7 +179,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, decay: float =
         m2 = 0.99 * m2 + 0.01 * gradient**2
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         model.weights = model.weights + move[:-2]
-        model.pull = np.clip(model.pull + move[-2:], 0, 2.5)
+        model.pull = model.pull + move[-2:]
     q = np.clip(model.quality(texts), 1e-6, 1 - 1e-6)
     x, a, b = np.log(q / (1 - q)), 0.0, 1.0
     for _ in range(30):  # Newton's method for the calibration, slightly damped towards the identity
@@ -191,9 +192,17 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150, decay: float =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000):
-    """Learn from at most ``sample_rows`` rows of ``labels`` (doc_id, quality)."""
-    rows = labelled_sample(docs, labels, "quality", sample_rows).orderBy("doc_id").collect()
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_chars: int = 24_000_000, line_chars: int = 50):
+    """Learn from at most ``sample_rows`` rows of ``labels`` (doc_id, quality).
+
+    Where their texts are of more than ``sample_chars`` characters, each line counted as
+    ``line_chars`` more, the longest stay out of the fit; they are scored like any other.
+    """
+    sample = labelled_sample(docs, labels, "quality", sample_rows)
+    size = F.length("text").cast("long") + line_chars * (F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    sizes = sample.select(F.col("doc_id").alias("_id"), size.alias("_size"))  # ``sample_rows`` pairs of numbers at most
+    within = sizes.withColumn("_sum", F.sum("_size").over(Window.orderBy("_size", "_id"))).filter(F.col("_sum") <= sample_chars)
+    rows = sample.join(F.broadcast(within), F.col("doc_id") == F.col("_id"), "left_semi").orderBy("doc_id").collect()
     if not rows:
         return Constant(0.5)
     return train([r["text"] for r in rows], np.array([r["label"] for r in rows]))
