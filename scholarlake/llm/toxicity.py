@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, materialize, read_table
+from .quality_classifier import CLASSES
 from .samples import labelled_sample
 
 #: Given words; the rest of the lexicon is learned.
@@ -36,7 +37,7 @@ SECOND_PERSON = frozenset("you your yours you're u ur du dich dir dein deine ihr
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": "", "_": "", "-": ""})
 STRIP = str.maketrans(dict.fromkeys(".,;:!?\"'()[]{}«»¿¡…", " "))
 MASKED = re.compile(r"[^\W\d_]+[0-9@$*]+[^\W\d_]+")
-STRETCHED = re.compile(r"([^\W\d_])\1\1")
+STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 STEM, LEAST_STEM = (5, 4), 4
 NEAR = 5
 FEATURES = 15
@@ -63,13 +64,16 @@ def features(text: str, words: frozenset, stems: frozenset) -> list[float]:
         near = int((gap <= NEAR).sum())
     chars = max(len(text), 1)
     raw = text.split()
+    kinds = CLASSES[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    capitals, letters = np.count_nonzero(kinds & 2), max(np.count_nonzero(kinds & 1), 1)
+    stretched = sum(1 for _ in STRETCHED.finditer(text))
     return [
         100 * len(hits) / n, np.log1p(len(hits)), len({tokens[i] for i in hits}),
         100 * len(stem_hits) / n, np.log1p(len(stem_hits)), len({tokens[i][:5] for i in stem_hits}),
         near, 100 * len(you) / n,
-        100 * sum(map(str.isupper, raw)) / n, 100 * sum(c in text for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / 26,
+        100 * sum(map(str.isupper, raw)) / n, 100 * capitals / letters,
         100 * (text.count("!") + text.count("?")) / chars, 100 * (text.count(".") + text.count(",")) / chars,
-        100 * len(masked) / n + 100 * (STRETCHED.search(text) is not None) / n, hidden, np.log1p(len(tokens)),
+        100 * (len(masked) + stretched) / n, hidden, np.log1p(len(tokens)),
     ]
 
 
@@ -134,14 +138,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, rounds: i
     stats = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
     prior = (stats["t"] + 1) / (stats["n"] + 2)
     words, stems = learn_lexicon(sample.filter(part < 5))
-    rows = materialize(with_features(sample.select("doc_id", F.col("label").cast("double").alias("label"), "text"), words, stems), "toxic-features").coalesce(4).cache()
+    rows = materialize(with_features(sample.select("doc_id", F.col("label").cast("double").alias("label"), "text"), words, stems), "toxic-features").coalesce(4).cache()  # features of ``sample_rows`` rows at most
     rest = rows.filter(part >= 5)
     for_trees, for_curve = rest.filter(part < 8), rest.filter(part >= 8)
-    if for_trees.select("label").distinct().count() < 2 or for_curve.select("label").distinct().count() < 2:
-        return ToxicityModel(words, stems, None, None, float(prior))
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=11, maxBins=32).fit(for_trees)
-    curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margins(trees, for_curve))
-    return ToxicityModel(words, stems, trees, curve, float(prior))
+    try:
+        if for_trees.select("label").distinct().count() < 2 or for_curve.select("label").distinct().count() < 2:
+            return ToxicityModel(words, stems, None, None, float(prior))
+        trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=11, maxBins=32).fit(for_trees)
+        curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margins(trees, for_curve))
+        return ToxicityModel(words, stems, trees, curve, float(prior))
+    finally:
+        rows.unpersist()
 
 
 def op9_toxicity(spark, sf_dir):
