@@ -36,7 +36,8 @@ SECOND_PERSON = frozenset("you your yours you're u ur du dich dir dein deine ihr
 #: Signs written for letters.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": "", "_": "", "-": ""})
 STRIP = str.maketrans(dict.fromkeys(".,;:!?\"'()[]{}«»¿¡…", " "))
-MASKED = re.compile(r"[^\W\d_]+[0-9@$*]+[^\W\d_]+")
+#: Begins where a run of letters does and never steps back, so that it is linear in a run's length.
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*]++[^\W\d_]+")
 STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 STEM, LEAST_STEM = (5, 4), 4
 NEAR = 5
