@@ -1,7 +1,8 @@
 """Queries of this subpackage by name, and their SQL where SQL can express them."""
 
 from . import (
-    ann_forest, html_extraction, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity,
+    ann_forest, html_extraction, importance_resampling, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, source_audit,
+    substring_dedup, toxicity,
 )
 
 QUERIES = {
@@ -15,6 +16,12 @@ QUERIES = {
     "op8_ann_forest": ann_forest.op8_ann_forest,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language_id": language_id.op10_language_id,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_source_audit": source_audit.op12_source_audit,
+    "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 
-ORACLE_SQL = {"op2_line_dedup": line_dedup.OP2_SQL}
+ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.OP2_SQL, "op11_substring_dedup": substring_dedup.OP11_SQL, "op12_source_audit": source_audit.OP12_SQL,
+    "op13_importance_resampling": importance_resampling.OP13_SQL,
+}
