@@ -11,8 +11,8 @@ words) that both start at positions of D, and only those need be compared.
 2. Each shared anchor extends to the windows around it, ``period`` at most; they are hashed
    in 64 bits beside a bin that an independent hash gives, and shared ones come back
    alike. An anchor shared by chance costs a few windows and changes nothing.
-3. Shared windows become runs of covered words per text, which meet the texts again: by
-   broadcast below a bound, else by a shuffle of the texts.
+3. Shared windows become runs of covered words per text, which meet the texts again. Anchors
+   and runs grow with the corpus, so the texts are shuffled to them, twice, at every size.
 
 Work is linear in the words, whatever the size of a group of copies: no pair is formed.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, read_table
+from .common import materialize, read_table
 from .words import hashes, numbered, ragged, separators, slices
 
 WIDTH, PERIOD = 35, 13
@@ -43,8 +43,6 @@ WORD_BYTES = separators(bytes(b for b in range(256) if b not in b"\x20\x09\x0a\x
 BIN_BYTES, LEAST_BINS = 128 << 20, 64
 #: Entries that a task gathers before it deals them out.
 FLUSH = 2_000_000
-#: Positions and runs are broadcast up to so many numbers (and BROADCAST_ROWS rows).
-BROADCAST_NUMBERS = 8_000_000
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
 KEYS = ("k1", "k2")
 DEALT = "bin int, hashes binary, k1 array<long>, k2 array<long>, counts array<int>, positions array<int>"
@@ -219,13 +217,6 @@ def windows(docs: DataFrame, width: int, period: int, bins: int) -> DataFrame:
     return docs.mapInArrow(run, DEALT)
 
 
-def joined_by_key(docs: DataFrame, found: DataFrame, numbers: str, how: str) -> DataFrame:
-    """``docs`` with ``numbers`` of ``found``; few are broadcast, beyond the bound the texts are shuffled."""
-    rows, held = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and held <= BROADCAST_NUMBERS
-    return docs.join(F.broadcast(found) if small else found, list(KEYS), how)
-
-
 def covered_runs(starts: pd.Series, width: int) -> pd.Series:
     """[begin, end, begin, end, ...] of the words that the windows at ``starts`` cover."""
 
@@ -242,7 +233,7 @@ def shared_runs(docs: DataFrame, width: int = WIDTH, period: int = PERIOD) -> Da
     held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bins = max(LEAST_BINS, -(-held // BIN_BYTES))
     near = materialize(shared_positions(anchors(docs, width, period, bins), "<u4"), "shared-anchors")
-    texts = joined_by_key(docs.select(*text_keys(docs), "text"), near, "positions", "inner")
+    texts = docs.select(*text_keys(docs), "text").join(near, list(KEYS))
     shared = shared_positions(windows(texts, width, period, bins), "<u8")
 
     @F.pandas_udf("array<int>")
@@ -260,7 +251,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, period: int = PERIOD)
     passed = [c for c in docs.columns if c.lower() not in RESULTS]
     runs = shared_runs(docs.select(*[c for c in ("doc_id", "text") if c in docs.columns]), width, period)
     rows = docs.select(*text_keys(docs), "text", F.struct(*passed).alias("row"))
-    joined = joined_by_key(rows, runs, "runs", "left")
+    joined = rows.join(runs, list(KEYS), "left")
 
     @F.arrow_udf("kept_text string, n_words long, n_removed long")
     def kept(texts: pa.Array, lists: pa.Array) -> pa.Array:
