@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Registered ids are checked by broadcast up to this many; beyond it they are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Registered ids are checked by broadcast up to so many bytes (an id's own and ID_BYTES); beyond it they are shuffled.
+BROADCAST_BYTES, ID_BYTES = 64 << 20, 64
 
 
-def unregistered_coauthors(edges: DataFrame, registered: DataFrame) -> DataFrame:
-    """Coauthors not in ``registered`` (scholar_id), counted; NOT IN semantics: a null id in it empties the result."""
-    n, nulls = registered.agg(F.count(F.lit(1)), F.count_if(F.col("scholar_id").isNull())).first()
+def not_registered(edges: DataFrame, registered: DataFrame) -> DataFrame:
+    """Edges whose coauthor is not in ``registered`` (scholar_id); NOT IN semantics: a null id in it empties the result.
+
+    What NOT IN gives depends on whether ``registered`` is empty or holds a null, so it is counted first.
+    """
+    n, nulls, size = registered.agg(F.count(F.lit(1)), F.count_if(F.col("scholar_id").isNull()), F.coalesce(F.sum(F.octet_length("scholar_id") + ID_BYTES), F.lit(0))).first()
     key = edges["coauthor_scholar_id"]
     if n == 0:
-        rows = edges
-    elif nulls:
-        rows = edges.filter(F.lit(False))
-    else:
-        ids = registered.select(F.col("scholar_id").alias("_id")).distinct()
-        ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-        rows = edges.filter(key.isNotNull()).join(ids, key == F.col("_id"), "left_anti")
+        return edges
+    if nulls:
+        return edges.filter(F.lit(False))
+    ids = registered.select(F.col("scholar_id").alias("_id")).distinct()
+    return edges.filter(key.isNotNull()).join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, key == F.col("_id"), "left_anti")
+
+
+def unregistered_coauthors(edges: DataFrame, registered: DataFrame) -> DataFrame:
+    """Coauthors who are not registered, counted per name, affiliation and domain."""
+    rows = not_registered(edges, registered)
     return rows.groupBy("coauthor_scholar_id", "coauthor_name", "coauthor_affiliation", "primary_email_domain").agg(F.count(F.lit(1)).alias("coauthor_count"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import eligible, percent_rank_by
+from ..functions.ranking import BROADCAST_RANKS, eligible, percent_rank_by, percent_ranks
+
+SERIES = "array<struct<yearly:bigint,cumulative:bigint,recent:bigint>>"
 
 
 def publication_current(pubs: DataFrame, as_of_year: int, mode: str = "histogram") -> DataFrame:
@@ -14,30 +16,57 @@ def publication_current(pubs: DataFrame, as_of_year: int, mode: str = "histogram
     return percent_rank_by(rows, ["pub_year"], {"num_citations_percentile": "num_citations"}, mode)
 
 
-def citation_timeline(pubs: DataFrame, horizon_year: int) -> DataFrame:
-    """One row per year from publication to the horizon, with yearly and running citations.
+def zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def running(yearly: Column) -> Column:
+    """An array of (yearly, cumulative, recent) for an array of yearly counts, in one pass; ``recent`` is the sum of five years up to each."""
+    step = lambda acc, n: F.struct(
+        (acc["sum"] + n).alias("sum"),
+        # five years back stands the sum to take off; ``get`` of a negative place is null
+        F.array_append(acc["out"], F.struct(n.alias("yearly"), (acc["sum"] + n).alias("cumulative"), (acc["sum"] + n - F.coalesce(F.get(acc["out"], F.size(acc["out"]) - 5)["cumulative"], zero())).alias("recent"))).alias("out"),
+    )
+    return F.aggregate(yearly, F.struct(zero().alias("sum"), F.array().cast(SERIES).alias("out")), step)["out"]
+
 
-    The map of citations lies in the publication's own row, so nothing is shuffled. Keys
-    that are no years and nested values are skipped; keys of one year are added up.
+def citation_series(pubs: DataFrame, horizon_year: int) -> DataFrame:
+    """scholar_id, author_pub_id, pub_year and ``series``: a (yearly, cumulative, recent) for each year from publication to the horizon.
+
+    The map of citations lies in the publication's own row, so nothing is shuffled, and the work is linear in
+    years. Keys that are no years and nested values are skipped; keys of one year are added up.
     """
-    plain = lambda v: F.coalesce(F.when(~v.rlike(r"^\s*[{\[]"), v).cast("bigint"), F.lit(0).cast("bigint"))
+    plain = lambda v: F.coalesce(F.when(~v.rlike(r"^\s*[{\[]"), v).cast("bigint"), zero())
     entries = F.coalesce(F.map_entries(F.from_json("cites_per_year", "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
-    pairs = F.transform(entries, lambda e: F.struct(e["key"].try_cast("bigint").alias("year"), plain(e["value"]).alias("n")))
-    years = F.sequence(F.col("pub_year"), F.lit(horizon_year).cast("bigint"))
-    # the map is decoded once per row: it is bound by the outer lambda, not repeated in the inner ones
-    yearly = F.transform(F.array(pairs), lambda all_: F.transform(years, lambda y: F.aggregate(
-        all_, F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["year"] == y, e["n"]).otherwise(0)
-    )))[0]
-    rows = pubs.filter(F.col("pub_year") <= horizon_year).select("scholar_id", "author_pub_id", "pub_year", yearly.alias("_yearly"))
-    rows = rows.select("*", F.posexplode("_yearly").alias("_age", "yearly_citations"))
-    running = F.aggregate(F.slice("_yearly", 1, F.col("_age") + 1), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    pairs = F.transform(entries, lambda e: F.struct(e["key"].try_cast("bigint").alias("key"), plain(e["value"]).alias("value")))
+    first, last = F.col("pub_year"), F.lit(horizon_year).cast("bigint")
+    pairs = F.filter(pairs, lambda e: e["key"].between(first, last))
+    rows = pubs.filter(F.col("pub_year") <= horizon_year).select("scholar_id", "author_pub_id", "pub_year", pairs.alias("pairs"))
+    keys = F.array_distinct(F.transform("pairs", lambda e: e["key"]))
+    # "2020" and " 2020" are one year: only then are values of a key searched for
+    added = F.transform(keys, lambda k: F.struct(k.alias("key"), F.aggregate("pairs", zero(), lambda a, e: a + F.when(e["key"] == k, e["value"]).otherwise(zero())).alias("value")))
+    rows = rows.withColumn("pairs", F.when(F.size(keys) < F.size("pairs"), added).otherwise(F.col("pairs")))
+    years = F.sequence(first, last)
+    dense = F.map_zip_with(F.map_from_arrays(years, F.array_repeat(zero(), F.size(years))), F.map_from_entries("pairs"), lambda _, none, n: F.coalesce(n, none))
+    return rows.select("scholar_id", "author_pub_id", "pub_year", running(F.map_values(dense)).alias("series"))
+
+
+def citation_timeline(pubs: DataFrame, horizon_year: int) -> DataFrame:
+    """One row per year from publication to the horizon, with yearly and running citations."""
+    return timeline_of(citation_series(pubs, horizon_year))
+
+
+def timeline_of(series: DataFrame) -> DataFrame:
+    """One row per year of each series."""
+    rows = series.select("scholar_id", "author_pub_id", "pub_year", F.posexplode("series").alias("_age", "_s"))
     age = F.col("_age").cast("bigint")
     return rows.select(
-        "scholar_id", "author_pub_id", "pub_year", age.alias("age"), (F.col("pub_year") + age).alias("citation_year"), "yearly_citations", running.alias("cumulative_citations"),
+        "scholar_id", "author_pub_id", "pub_year", age.alias("age"), (F.col("pub_year") + age).alias("citation_year"), F.col("_s.yearly").alias("yearly_citations"), F.col("_s.cumulative").alias("cumulative_citations"),
     )
 
 
-def timeline_percentiles(timeline: DataFrame, mode: str = "histogram") -> DataFrame:
+def timeline_percentiles(timeline: DataFrame, mode: str = "histogram", bound: int = BROADCAST_RANKS) -> DataFrame:
+    """Ranks among publications of the same year in each citation year, and among all of the same age, counted in one pass."""
     kinds = ("yearly_citations", "cumulative_citations")
-    rows = percent_rank_by(timeline, ["pub_year", "citation_year"], {f"perc_pub_year_{k}": k for k in kinds}, mode)
-    return percent_rank_by(rows, ["age"], {f"perc_age_{k}": k for k in kinds}, mode, timeline)
+    specs = [(["pub_year", "citation_year"], {f"perc_pub_year_{k}": k for k in kinds}), (["age"], {f"perc_age_{k}": k for k in kinds})]
+    return percent_ranks(timeline, specs, mode, bound=bound)

@@ -47,7 +47,11 @@ def publication_tasks(listed: DataFrame, refreshed: DataFrame, pending: DataFram
     return new_tasks(rows.filter(F.lit(not skip)), "author_pub_id", pending)
 
 
+def dead_authors(stale: DataFrame, liveness: DataFrame) -> DataFrame:
+    """Stale ids whose check succeeded without finding a name."""
+    return stale.join(liveness.filter((F.col("status") == "Success") & (F.coalesce("name", F.lit("")) == "")), "scholar_id").select("scholar_id").distinct()
+
+
 def without_dead(docs: DataFrame, stale: DataFrame, liveness: DataFrame) -> DataFrame:
     """Stale documents whose check succeeded without finding a name are removed."""
-    dead = stale.join(liveness.filter((F.col("status") == "Success") & (F.coalesce("name", F.lit("")) == "")), "scholar_id").select("scholar_id").distinct()
-    return docs.join(dead, "scholar_id", "left_anti")
+    return docs.join(dead_authors(stale, liveness), "scholar_id", "left_anti")

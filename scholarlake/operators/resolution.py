@@ -29,16 +29,38 @@ def resolve_exact(names: DataFrame, authors: DataFrame) -> DataFrame:
     return rows.select("author_pub_id", "position", "name", F.when(one, F.col("_id")).alias("scholar_id"), method.alias("method"))
 
 
+def coauthor_candidates(open_: DataFrame, done: DataFrame, authors: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(author_pub_id, name, candidate) of candidates who list a resolved author of the paper, by two ways.
+
+    From a resolved author, ``by_edge`` goes to those who list that author; or, ``by_name``, from the
+    paper's open names to all who bear them. Of each resolved author of a paper the way with
+    fewer rows is taken: those who list the author, against the bearers of the paper's open
+    names. So neither a name of many bearers nor an author whom many list is expanded where the other is few.
+    """
+    listed = edges.select(F.col("primary_scholar_id").alias("candidate"), F.col("coauthor_scholar_id").alias("known")).distinct()
+    named = authors.select("name", F.col("scholar_id").alias("candidate")).distinct()
+    open_names = open_.select("author_pub_id", "name").distinct()
+    bearers = open_names.join(named.groupBy("name").agg(F.count(F.lit(1)).alias("bearers")), "name").groupBy("author_pub_id").agg(F.sum("bearers").alias("bearers"))
+    listing = listed.groupBy("known").agg(F.count(F.lit(1)).alias("listing"))
+    # papers without open names, and authors whom nobody lists, go here
+    ways = done.distinct().join(bearers, "author_pub_id").join(listing, "known")
+    few = F.col("listing") <= F.col("bearers")
+    by_edge = ways.filter(few).select("author_pub_id", "known").join(listed, "known").select("author_pub_id", "candidate").distinct().join(named, "candidate")
+    others = ways.filter(~few).select("author_pub_id", "known")
+    by_name = open_names.join(others.select("author_pub_id").distinct(), "author_pub_id").join(named, "name").join(others, "author_pub_id").join(listed, ["candidate", "known"], "left_semi")
+    columns = ["author_pub_id", "name", "candidate"]
+    return by_edge.select(*columns), by_name.select(*columns)
+
+
 def resolve_by_coauthor(resolved: DataFrame, authors: DataFrame, edges: DataFrame) -> DataFrame:
     """Opt-in: an ambiguous name is its one candidate who lists a resolved author of the paper as coauthor."""
     open_ = resolved.filter("scholar_id is null").select("author_pub_id", "position", "name")
     done = resolved.filter("scholar_id is not null").select("author_pub_id", F.col("scholar_id").alias("known"))
-    candidates = open_.join(authors.select("name", F.col("scholar_id").alias("candidate")), "name").join(done, "author_pub_id")
-    listed = edges.select(F.col("primary_scholar_id").alias("candidate"), F.col("coauthor_scholar_id").alias("known")).distinct()
-    single = candidates.join(listed, ["candidate", "known"]).groupBy("author_pub_id", "position").agg(F.countDistinct("candidate").alias("_n"), F.min("candidate").alias("_c")).filter("_n = 1")
-    rows = resolved.join(single, ["author_pub_id", "position"], "left")
+    by_edge, by_name = coauthor_candidates(open_, done, authors, edges)
+    single = by_edge.unionByName(by_name).groupBy("author_pub_id", "name").agg(F.countDistinct("candidate").alias("_n"), F.min("candidate").alias("_c")).filter("_n = 1")
+    rows = resolved.join(single, ["author_pub_id", "name"], "left")
     hit = F.col("scholar_id").isNull() & F.col("_c").isNotNull()
-    return rows.select("author_pub_id", "position", "name", F.coalesce("scholar_id", "_c").alias("scholar_id"), F.when(hit, "coauthor").otherwise(F.col("method")).alias("method"))
+    return rows.select("author_pub_id", "position", "name", F.when(F.col("scholar_id").isNull(), F.col("_c")).otherwise(F.col("scholar_id")).alias("scholar_id"), F.when(hit, "coauthor").otherwise(F.col("method")).alias("method"))
 
 
 def resolution_arrays(resolved: DataFrame) -> DataFrame:

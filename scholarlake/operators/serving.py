@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versioned import SortedTable
 from .authors import COUNTS
+from .export import DAY
 from .temporal import RANKED
 
 
@@ -84,3 +89,35 @@ def metric_frame(temporal: DataFrame, metrics: tuple[str, ...] = ("h_index", "to
 def display_values(stats: DataFrame, as_of_year: int) -> DataFrame:
     shown = [F.round(100 * F.col(f"{c}_percentile"), 2).alias(f"{c}_shown") for c in ("hindex", "citedby", COUNTS[0])]
     return stats.select("scholar_id", *shown, (F.lit(as_of_year).cast("bigint") - F.col("year_of_first_pub") + 1).alias("years_active"))
+
+
+class ServingViews:
+    """The stored views that single authors and publications are served from, each sorted by the key it is asked for.
+
+    ``refresh`` builds what is older than ``max_age``; a request opens the files that may hold
+    its key and computes nothing anew.
+    """
+
+    KEYS = {"authors": "scholar_id", "publications": "scholar_id", "by_year": "author_pub_id", "temporal": "scholar_id"}
+
+    def __init__(self, spark: SparkSession, path: str, files: int = 16):
+        self.tables = {name: SortedTable(spark, f"{path}/{name}", key, files) for name, key in self.KEYS.items()}
+
+    def refresh(self, views: dict[str, Callable[[], DataFrame]], now: datetime, max_age: timedelta = DAY) -> dict[str, bool]:
+        """Which views were built anew."""
+        return {name: self.tables[name].refreshed(build, max_age, now) for name, build in views.items()}
+
+    def author(self, scholar_id: str) -> DataFrame:
+        """Statistics and score of one author; of several rows the latest, of those the first by all its values."""
+        rows = self.tables["authors"].keys([scholar_id])
+        return rows.orderBy(F.desc_nulls_last("last_updated"), *sorted(rows.columns)).limit(1)
+
+    def author_publications(self, scholar_id: str) -> DataFrame:
+        return self.tables["publications"].keys([scholar_id]).orderBy("publication_rank")
+
+    def publication_years(self, author_pub_id: str) -> DataFrame:
+        return self.tables["by_year"].keys([author_pub_id]).orderBy("citation_year")
+
+    def author_years(self, scholar_id: str) -> DataFrame:
+        """Empty for an empty id."""
+        return self.tables["temporal"].keys([scholar_id] if scholar_id else []).orderBy("state_year")

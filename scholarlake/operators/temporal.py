@@ -5,68 +5,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import percent_rank_by
+from ..functions.ranking import BROADCAST_RANKS, percent_rank_by
+from .publications import zero
 
 YEAR = ["scholar_id", "state_year"]
 RANKED = ["total_publications", "total_citations", "total_recent_citations_5y", "h_index", "h_index_5y", "i10_index", "i10_index_5y"]
 
 
+def listings(listed: DataFrame) -> DataFrame:
+    """(scholar_id, author_pub_id, years): a row per listed publication, with the year of each listing; duplicates are few."""
+    return listed.groupBy("scholar_id", "author_pub_id").agg(F.array_sort(F.collect_list("pub_year")).alias("years"))
+
+
+def _repeated_recent(yearly: Column, at: Column, copies: Column) -> Column:
+    """The sum of the five rows up to row ``at`` of the series in which each year stands ``copies`` times."""
+    place = lambda d: F.floor((at - d) / copies).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(4)), zero(), lambda a, d: a + F.coalesce(F.when(at >= d, F.get(yearly, place(d))), zero()))
+
+
+def publication_states(listed: DataFrame, series: DataFrame) -> DataFrame:
+    """Author x publication x year from the arrays of ``series``: a join of publications, then rows of years.
+
+    A publication listed k times has k rows a year, as a join of listings has; ``copy`` counts
+    them from 0, ``copies`` is k. citations_last_5_years is the sum of five *rows*, and ``most_recent`` the largest of the k sums of a year.
+    """
+    rows = listings(listed).join(series.select("scholar_id", "author_pub_id", F.col("pub_year").alias("_from"), "series"), ["scholar_id", "author_pub_id"])
+    rows = rows.select("*", F.size("years").alias("copies"), F.posexplode("years").alias("copy", "pub_year"))
+    # the yearly counts are only needed for repeated listings
+    yearly = F.when(F.col("copies") > 1, F.transform("series", lambda s: s["yearly"]))
+    rows = rows.select("scholar_id", "author_pub_id", "pub_year", "copy", "copies", "_from", yearly.alias("_yearly"), F.posexplode("series").alias("_age", "_s"))
+    one = F.col("copies") == 1
+    recent = lambda copy: _repeated_recent(F.col("_yearly"), F.col("_age") * F.col("copies") + copy, F.col("copies"))
+    return rows.select(
+        "scholar_id", "author_pub_id", "pub_year", (F.col("_from") + F.col("_age")).cast("bigint").alias("state_year"),
+        F.col("_s.yearly").alias("yearly_citations_at_state_year"), F.col("_s.cumulative").alias("cumulative_citations_at_state_year"),
+        F.when(one, F.col("_s.recent")).otherwise(recent(F.col("copy"))).alias("citations_last_5_years"), "copy", "copies",
+        F.when(one, F.col("_s.recent")).otherwise(F.array_max(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), recent))).alias("most_recent"),
+    )
+
+
 def publication_state(listed: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Author x publication x year. Duplicated listings stay duplicated."""
+    """The same from rows of years, as the view has it, for a timeline that is not at hand as arrays. Duplicated listings stay duplicated."""
     t = timeline.select("scholar_id", "author_pub_id", F.col("citation_year").alias("state_year"), F.col("yearly_citations").alias("yearly_citations_at_state_year"), F.col("cumulative_citations").alias("cumulative_citations_at_state_year"))
     return listed.select("scholar_id", "author_pub_id", "pub_year").join(t, ["scholar_id", "author_pub_id"])
 
 
 def recent_citations(state: DataFrame) -> DataFrame:
-    """Adds citations_last_5_years per publication."""
+    """Adds citations_last_5_years per publication, unless the state has it from its arrays."""
+    if "citations_last_5_years" in state.columns:
+        return state
     w = Window.partitionBy("scholar_id", "author_pub_id").orderBy("state_year").rowsBetween(-4, 0)
     return state.withColumn("citations_last_5_years", F.sum("yearly_citations_at_state_year").over(w))
 
 
+def _with_copies(state: DataFrame) -> DataFrame:
+    """The state with its copies numbered; a state from arrays has them."""
+    if "copy" in state.columns:
+        return state
+    same = Window.partitionBy("scholar_id", "author_pub_id", "state_year")
+    recent = recent_citations(state)
+    return recent.withColumns({
+        "copies": F.count(F.lit(1)).over(same), "copy": F.row_number().over(same.orderBy("citations_last_5_years")) - 1, "most_recent": F.max("citations_last_5_years").over(same),
+    })
+
+
+def _ranked(state: DataFrame, value: str, out: str) -> DataFrame:
+    return state.withColumn(out, F.row_number().over(Window.partitionBy(*YEAR).orderBy(F.desc(value))))
+
+
+def _h(value: str, rank: str) -> Column:
+    """max(min(rank, value)) over positive values; null without any."""
+    return F.max(F.when(F.col(value) > 0, F.least(F.col(rank).cast("bigint"), value)))
+
+
 def h_index(state: DataFrame, value: str, out: str) -> DataFrame:
-    order = Window.partitionBy(*YEAR).orderBy(F.desc(value))
-    ranked = state.filter(F.col(value) > 0).withColumn("_r", F.row_number().over(order))
-    return ranked.groupBy(*YEAR).agg(F.max(F.least("_r", value)).cast("bigint").alias(out))
+    return _ranked(state.filter(F.col(value) > 0), value, "_r").groupBy(*YEAR).agg(_h(value, "_r").alias(out))
+
+
+def _totals() -> list[Column]:
+    """Sums and counts that need no list of publications: the first copy stands for its publication, and rows of k copies meet in k x k rows."""
+    c, one = F.col("cumulative_citations_at_state_year"), F.col("copy") == 0
+    return [
+        F.count_if(one).alias("total_publications"), F.sum(c * F.col("copies")).alias("total_citations"),
+        F.count_if(one & (c >= 10)).alias("i10_index"), F.count_if(one & (F.col("most_recent") >= 10)).alias("i10_index_5y"),
+    ]
 
 
 def yearly_totals(recent: DataFrame) -> DataFrame:
     """Counts and sums per author-year; every row counts as often as its publication is listed."""
-    copies = F.count(F.lit(1)).over(Window.partitionBy("scholar_id", "author_pub_id", "state_year"))
-    c = F.col("cumulative_citations_at_state_year")
-    return recent.withColumn("_k", copies).groupBy(*YEAR).agg(
-        F.countDistinct("author_pub_id").alias("total_publications"), F.sum(c * F.col("_k")).alias("total_citations"),
-        F.countDistinct(F.when(c >= 10, F.col("author_pub_id"))).alias("i10_index"),
-        F.countDistinct(F.when(F.col("citations_last_5_years") >= 10, F.col("author_pub_id"))).alias("i10_index_5y"),
-    )
+    return _with_copies(recent).groupBy(*YEAR).agg(*_totals())
 
 
 def recent_totals(state: DataFrame) -> DataFrame:
     """The author's citations of the five years up to each year: a range window over yearly sums."""
     sums = state.groupBy(*YEAR).agg(F.sum("yearly_citations_at_state_year").alias("_y"))
-    w = Window.partitionBy("scholar_id").orderBy("state_year").rangeBetween(-4, 0)
-    return sums.select(*YEAR, F.coalesce(F.sum("_y").over(w), F.lit(0)).alias("total_recent_citations_5y"))
+    return sums.select(*YEAR, _five_years().alias("total_recent_citations_5y"))
 
 
-def _h(values) -> Column:
-    """max(min(rank, value)) over the positive values, largest first; null without any."""
-    return F.array_max(F.transform(F.sort_array(values, asc=False), lambda v, i: F.least(v, (i + 1).cast("bigint"))))
+def _five_years() -> Column:
+    return F.coalesce(F.sum("_y").over(Window.partitionBy("scholar_id").orderBy("state_year").rangeBetween(-4, 0)), F.lit(0))
 
 
 def temporal_metrics(state: DataFrame, first: DataFrame) -> DataFrame:
-    """All metrics of an author-year from one grouping of its publications; equal to the single ones above joined."""
-    copies = F.count(F.lit(1)).over(Window.partitionBy("scholar_id", "author_pub_id", "state_year"))
-    c, r, p = F.col("cumulative_citations_at_state_year"), F.col("citations_last_5_years"), F.col("author_pub_id")
-    years = recent_citations(state).withColumn("_k", copies).groupBy(*YEAR).agg(
-        F.size(F.collect_set(p)).cast("bigint").alias("total_publications"),
-        F.sum(c * F.col("_k")).alias("total_citations"), F.sum("yearly_citations_at_state_year").alias("_y"),
-        _h(F.collect_list(F.when(c > 0, c))).alias("h_index"), _h(F.collect_list(F.when(r > 0, r))).alias("h_index_5y"),
-        F.size(F.collect_set(F.when(c >= 10, p))).cast("bigint").alias("i10_index"), F.size(F.collect_set(F.when(r >= 10, p))).cast("bigint").alias("i10_index_5y"),
-    )
-    w = Window.partitionBy("scholar_id").orderBy("state_year").rangeBetween(-4, 0)
-    rows = years.withColumn("total_recent_citations_5y", F.sum("_y").over(w)).join(first, "scholar_id", "left")
-    zero = ["total_recent_citations_5y", "h_index", "h_index_5y", "i10_index", "i10_index_5y"]
-    return rows.select(*YEAR, "year_of_first_pub", "total_publications", "total_citations", *[F.coalesce(m, F.lit(0)).alias(m) for m in zero])
+    """All metrics of an author-year in one exchange of the states: both rankings and the sums share its partitioning.
+
+    No list of publications is built, so an author-year may hold any number; equal to the single operators above joined.
+    """
+    c, r = "cumulative_citations_at_state_year", "citations_last_5_years"
+    slim = _with_copies(state).select(*YEAR, "yearly_citations_at_state_year", c, r, "copy", "copies", "most_recent")
+    ranked = _ranked(_ranked(slim, c, "_c"), r, "_r")
+    years = ranked.groupBy(*YEAR).agg(*_totals(), F.sum("yearly_citations_at_state_year").alias("_y"), _h(c, "_c").alias("h_index"), _h(r, "_r").alias("h_index_5y"))
+    rows = years.withColumn("total_recent_citations_5y", _five_years()).join(first, "scholar_id", "left")
+    filled = ["total_recent_citations_5y", "h_index", "h_index_5y", "i10_index", "i10_index_5y"]
+    return rows.select(*YEAR, "year_of_first_pub", "total_publications", "total_citations", *[F.coalesce(m, F.lit(0)).alias(m) for m in filled])
 
 
-def author_temporal(metrics: DataFrame, mode: str = "histogram") -> DataFrame:
-    return percent_rank_by(metrics, ["year_of_first_pub", "state_year"], {f"{m}_percentile": m for m in RANKED}, mode)
+def author_temporal(metrics: DataFrame, mode: str = "histogram", bound: int = BROADCAST_RANKS) -> DataFrame:
+    return percent_rank_by(metrics, ["year_of_first_pub", "state_year"], {f"{m}_percentile": m for m in RANKED}, mode, bound=bound)

@@ -76,6 +76,8 @@ CTE = {
     "by_year": "SELECT author_pub_id, pub_year, citation_year, age, yearly_citations, cumulative_citations, perc_pub_year_yearly_citations AS perc_yearly_citations, perc_pub_year_cumulative_citations AS perc_cumulative_citations FROM timeline_pct WHERE citation_year BETWEEN pub_year AND 2025",
     "modified": "SELECT a.scholar_id, greatest(a.timestamp, p.t) AS last_modified FROM authors a LEFT JOIN (SELECT scholar_id, max(timestamp) AS t FROM pubs GROUP BY scholar_id) p USING (scholar_id)",
     "snapshot": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "snapshot_with_deletes": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_id % 7 <> 0",
+    "outdated": f"SELECT m.scholar_id, m.last_modified FROM modified m LEFT JOIN (SELECT scholar_id, timestamp AS cached FROM authors WHERE {one_in('scholar_id', 2)}) c ON m.scholar_id = c.scholar_id WHERE cached IS NULL OR last_modified > cached",
     "stale": "SELECT scholar_id, timestamp FROM authors WHERE timestamp < TIMESTAMP '2025-01-15' - INTERVAL 90 DAYS ORDER BY timestamp, scholar_id LIMIT 500",
     "pending": f"SELECT {task_key('scholar_id')} AS task_key FROM authors WHERE {one_in('scholar_id', 3)}",
     "sizes": "SELECT scholar_id, count(*)::BIGINT AS n_publications FROM pubs GROUP BY scholar_id",
@@ -101,6 +103,8 @@ def everything(name: str, columns: str = "*") -> str:
     return sql(f"SELECT {columns} FROM {name}")
 
 
+GATE = "SELECT call, n, refreshed_at FROM (SELECT count(*)::BIGINT AS n FROM {}) CROSS JOIN (VALUES (1, TIMESTAMP '2025-01-15 00:00:00'), (2, TIMESTAMP '2025-01-15 00:00:00'), (3, TIMESTAMP '2025-01-16 00:00:00')) v(call, refreshed_at)"
+
 SQL = {
     "src_1_authors": everything("authors"),
     "src_2_publications": everything("pubs", "* EXCLUDE (o_orderkey)"),
@@ -110,6 +114,19 @@ SQL = {
     "src_6_prefix_scan": sql("SELECT author_pub_id, num_citations FROM pubs WHERE starts_with(author_pub_id, 'C1:')"),
     "src_7_lookup": sql("SELECT scholar_id AS document_id, timestamp FROM stale"),
     "src_8_latest_snapshot": everything("snapshot"),
+    "src_7_lookup_list": sql("SELECT scholar_id AS document_id, timestamp FROM stale"),
+    "src_8_snapshot_with_deletes": everything("snapshot_with_deletes"),
+    "snk_1_upsert_with_deletes": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_id % 7 = 0)::INTEGER DESC, props DESC) = 1) WHERE event_id % 7 <> 0",
+    "snk_2_upsert_restart": everything("snapshot"),
+    "snk_2_upsert_repeated_epoch": everything("snapshot"),
+    "snk_2_upsert_deletes": everything("snapshot_with_deletes"),
+    "snk_3_export_gate": sql(GATE.format("with_scores")),
+    "snk_5_view_gate": sql(GATE.format("metrics")),
+    "srv_1_one_author": sql("SELECT * FROM served WHERE scholar_id = 'C7'"),
+    "srv_4_one_publication": sql("SELECT * FROM by_year WHERE author_pub_id = (SELECT min(author_pub_id) FROM pubs WHERE pub_year <= 2025)"),
+    "srv_7_incremental_authors": sql("SELECT *, " + ", ".join(pct("year_of_first_pub", m, f"{m}_percentile") for m in (*METRICS, *COUNTS)) + " FROM (SELECT * REPLACE (CASE WHEN scholar_id IN (SELECT scholar_id FROM outdated) THEN citedby + 5 ELSE citedby END AS citedby, CASE WHEN scholar_id IN (SELECT scholar_id FROM outdated) THEN total_publications_with_citations + 1 ELSE total_publications_with_citations END AS total_publications_with_citations) FROM author_rows)"),
+    "srv_7_incremental_publications": sql(f"SELECT *, {pct('pub_year', 'num_citations', 'num_citations_percentile')} FROM (SELECT * EXCLUDE (num_citations_percentile) REPLACE (CASE WHEN {one_in('author_pub_id', 7)} THEN num_citations + 3 ELSE num_citations END AS num_citations) FROM current_pubs WHERE {one_in('author_pub_id', 7)} OR NOT {one_in('title', 7)})"),
+    "ref_6_stored_deletion": sql(f"SELECT scholar_id, name FROM authors WHERE NOT (scholar_id IN (SELECT scholar_id FROM stale) AND {one_in('scholar_id', 2)} AND (NOT {one_in('scholar_id', 3)} OR name = ''))"),
     "snk_1_upsert": "SELECT user_id::VARCHAR AS document_id, ts AS timestamp, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 2 DESC, props DESC) = 1",
     "snk_2_upsert_stream": everything("snapshot"),
     "snk_3_export_all_csv": everything("with_scores"),
@@ -168,6 +185,11 @@ SQL = {
     "ref_4_new_tasks": sql(f"SELECT DISTINCT {task_key('scholar_id')} AS task_key FROM authors EXCEPT SELECT task_key FROM pending"),
     "ref_5_publication_tasks": sql(f"SELECT {task_key('author_pub_id')} AS task_key FROM listed WHERE scholar_id IN (SELECT scholar_id FROM stale) EXCEPT SELECT task_key FROM pending"),
     "ref_6_without_dead": sql(f"SELECT scholar_id, name FROM authors WHERE NOT (scholar_id IN (SELECT scholar_id FROM stale) AND {one_in('scholar_id', 2)} AND (NOT {one_in('scholar_id', 3)} OR name = ''))"),
+    "jn_1_series_citations": sql("SELECT s.author_pub_id, s.citation_year, coalesce(c.yearly_citations, 0)::BIGINT AS yearly_citations FROM series s LEFT JOIN cites c ON s.author_pub_id = c.author_pub_id AND s.citation_year = c.citation_year"),
+    "jn_2_listed_current_left": sql("SELECT l.*, p.num_citations FROM listed l LEFT JOIN current_pubs p ON l.author_pub_id = p.author_pub_id WHERE l.pub_year > 1950 AND l.pub_year <= 2025"),
+    "jn_3_listed_current": sql("SELECT l.* FROM listed l JOIN current_pubs p ON l.author_pub_id = p.author_pub_id WHERE l.pub_year > 1950 AND l.pub_year <= 2025"),
+    "jn_5_current_stats": sql("SELECT p.scholar_id, author_pub_id, num_citations, num_citations_percentile, year_of_first_pub, total_publications_with_citations FROM current_pubs p JOIN stats s ON p.scholar_id = s.scholar_id"),
+    "jn_10_not_in": sql("SELECT * FROM edges WHERE coauthor_scholar_id NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"),
     "cht_1_scatter": sql("SELECT scholar_id, author_pub_id, (2025 - pub_year + 1)::BIGINT AS age, num_papers_percentile * 100 AS x, num_citations_percentile * 100 AS y FROM served WHERE pub_year IS NOT NULL"),
     "cht_2_timeline": sql("SELECT author_pub_id, make_date(citation_year, 1, 1) AS year, yearly_citations, perc_yearly_citations, perc_cumulative_citations FROM by_year"),
     "cht_3_metrics": sql(" UNION ALL ".join(f"SELECT scholar_id, state_year, '{m}' AS metric, {m} AS value, {m}_percentile * 100 AS percentile FROM temporal" for m in ("h_index", "total_citations", "i10_index", "h_index_5y"))),

@@ -8,17 +8,19 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranking import eligible
+from ..functions.ranking import eligible, percent_rank_by
 from ..functions.storage import scratch, store
 from ..operators import authors as au
-from ..operators import export, network, refresh, resolution, serving
+from ..operators import export, incremental, network, refresh, resolution, serving
 from ..operators import publications as pu
 from ..operators import temporal as te
 from ..sources import adapters, documents
+from ..sources.versioned import KeyedTable, SortedTable
 from ..streaming import upsert
 
 AS_OF, HORIZON, SEED = 2025, 2025, 7
 NOW = "2025-01-15 00:00:00"
+TODAY = datetime(2025, 1, 15)
 
 
 class Frames:
@@ -62,9 +64,14 @@ class Frames:
     def current(self):
         return self.store(pu.publication_current(self.pubs, AS_OF))
 
+    @cached_property
+    def series(self):
+        """A row per publication, with its years as an array: what both the timeline and the authors' states are made of."""
+        return self.store(pu.citation_series(self.pubs, HORIZON))
+
     @cached_property
     def timeline(self):
-        return self.store(pu.citation_timeline(self.pubs, HORIZON))
+        return pu.timeline_of(self.series)
 
     @cached_property
     def timeline_pct(self):
@@ -81,8 +88,6 @@ class Frames:
     @cached_property
     def cohort(self):
         """What the score needs of AUT-4: one percentile of eight."""
-        from ..functions.ranking import percent_rank_by
-
         rows = self.author_rows.select("scholar_id", au.COHORT, au.COUNTS[1])
         return percent_rank_by(rows, [au.COHORT], {f"{au.COUNTS[1]}_percentile": au.COUNTS[1]})
 
@@ -104,7 +109,7 @@ class Frames:
 
     @cached_property
     def state(self):
-        return self.store(te.publication_state(self.listed, self.timeline))
+        return te.publication_states(self.listed, self.series)
 
     @cached_property
     def first_year(self):
@@ -175,23 +180,66 @@ def _upsert(f: Frames) -> DataFrame:
     return documents.upsert_documents(early, updates).select("document_id", "timestamp", "data")
 
 
+UPDATE = ["timestamp", "event_id"]
+
+
+def _updates(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string").alias("document_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("data"), "event_id")
+
+
+def _with_deletes(log: DataFrame) -> DataFrame:
+    """Every seventh event deletes its document."""
+    return log.withColumn("deleted", F.col("event_id") % 7 == 0)
+
+
 def _stream(f: Frames) -> DataFrame:
-    path = f"{f.dir}/events.parquet"
-    schema = f.table("events").schema
-    # a stream reads folders; the table may be one file
-    at, name = (path, "*") if f.spark.read.parquet(path).inputFiles()[0].rstrip("/").count("/") > path.replace("file://", "file:").count("/") + 2 else (f.dir, "events.parquet")
-    events = f.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(at)
-    updates = events.select(F.col("user_id").cast("string").alias("document_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("props").alias("data"), "event_id")
+    events = upsert.stream_source(f.spark, f.table("events"), "events.parquet")
     out = scratch(f.spark)
-    stored = upsert.run_to_parquet(upsert.upsert_stream(updates, "document_id", "timestamp", "event_id"), f"{out}/table", f"{out}/checkpoint")
+    table = KeyedTable(f.spark, f"{out}/table", order=UPDATE)
+    return upsert.drain(_updates(events), table, f"{out}/checkpoint", TODAY).select("document_id", "timestamp", "data")
+
+
+def _restarted(f: Frames, change=lambda log: log, **options) -> DataFrame:
+    """The stream over a log that arrives in three parts: each part is drained by a query of its own over one checkpoint, and a last one finds nothing new."""
+    out = scratch(f.spark)
+    log = change(f.log)
+    stored = None
+    for part in (0, 1, 2, None):
+        if part is not None:
+            log.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{out}/log")
+        updates = f.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/log")
+        # a table of its own each time: nothing is remembered but what is stored
+        table = KeyedTable(f.spark, f"{out}/table", order=UPDATE, **options)
+        stored = upsert.drain(updates, table, f"{out}/checkpoint", TODAY)
     return stored.select("document_id", "timestamp", "data")
 
 
+def _repeated_epoch(f: Frames) -> DataFrame:
+    """Each half of the log is merged twice under its epoch, the second time with other data that must not count."""
+    table = KeyedTable(f.spark, scratch(f.spark), order=UPDATE)
+    for epoch in (0, 1):
+        half = f.log.filter(F.col("event_id") % 2 == epoch)
+        table.merge(half, TODAY, "log", epoch)
+        table.merge(half.withColumns({"data": F.lit("again"), "timestamp": F.col("timestamp") + F.expr("INTERVAL 9 DAYS")}), TODAY, "log", epoch)
+    return table.read().select("document_id", "timestamp", "data")
+
+
+def _snapshot_with_deletes(f: Frames) -> DataFrame:
+    return documents.latest_snapshot(_with_deletes(f.log), "document_id", *UPDATE, deleted="deleted").select("document_id", "timestamp", "data")
+
+
+def _upsert_with_deletes(f: Frames) -> DataFrame:
+    """Even events stored, odd ones merged in; tombstones of either half count, and later updates revive."""
+    log = _with_deletes(f.log).drop("event_id")
+    early, updates = (documents.latest_snapshot(log.filter(F.col("timestamp") < day) if day else log, "document_id", "timestamp", "deleted", "data") for day in ("2024-01-15", None))
+    both = documents.upsert_documents(early, updates)
+    return documents.latest_snapshot(both, deleted="deleted").select("document_id", "timestamp", "data")
+
+
 def _csv_all(f: Frames) -> DataFrame:
-    path = scratch(f.spark)
-    rows = f.with_scores
-    export.export_csv(rows, path)
-    return f.spark.read.schema(rows.schema).option("header", True).csv(path)
+    out = export.CsvExport(f.spark, scratch(f.spark))
+    out.refresh(lambda: f.with_scores, TODAY)
+    return out.read()
 
 
 def _csv_author(f: Frames) -> DataFrame:
@@ -202,8 +250,78 @@ def _csv_author(f: Frames) -> DataFrame:
     return f.spark.read.schema(rows.schema).option("header", True).csv(path).select(*rows.columns)
 
 
+def _gate(stored: export.Gated, build) -> DataFrame:
+    """Three requests: the second comes 23 hours after the first and gets what is stored, the third when it is a day old."""
+    told = []
+    for call, hours in enumerate((0, 23, 24), 1):
+        stored.refresh(build, TODAY + timedelta(hours=hours))
+        told.append(stored.read().agg(F.count(F.lit(1)).alias("n")).select(F.lit(call).alias("call"), "n", F.lit(stored.refreshed_at()).alias("refreshed_at")))
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 def _view(f: Frames) -> DataFrame:
-    return export.materialize_view(f.metrics, scratch(f.spark), timedelta(days=1), datetime(2025, 1, 15))
+    view = export.View(f.spark, scratch(f.spark), timedelta(days=1))
+    view.refresh(lambda: f.metrics, TODAY)
+    return view.read()
+
+
+def _documents(f: Frames) -> SortedTable:
+    """The publication documents as a stored table, sorted by id."""
+    table = SortedTable(f.spark, scratch(f.spark), "document_id")
+    table.replace(f.raw_pubs, TODAY)
+    return table
+
+
+def _lookup_list(f: Frames) -> DataFrame:
+    """Author documents by a list of ids, from a stored table sorted by id."""
+    table = SortedTable(f.spark, scratch(f.spark), "document_id")
+    table.replace(f.raw_authors, TODAY)
+    return table.keys([r[0] for r in f.stale.select("scholar_id").collect()]).select("document_id", "timestamp")  # at most 500 ids
+
+
+def _serving(f: Frames, *names: str) -> serving.ServingViews:
+    views = serving.ServingViews(f.spark, scratch(f.spark))
+    all_ = {"authors": lambda: f.with_scores, "publications": lambda: f.served, "by_year": lambda: f.by_year, "temporal": lambda: f.temporal}
+    views.refresh({n: all_[n] for n in names}, TODAY)
+    return views
+
+
+def _one_publication(f: Frames) -> DataFrame:
+    first = f.pubs.filter(F.col("pub_year") <= HORIZON).agg(F.min("author_pub_id")).first()[0]
+    return _serving(f, "by_year").publication_years(first)
+
+
+def _incremental_authors(f: Frames) -> DataFrame:
+    """The authors whose cached result is stale have gained citations: their rows and the counts of their cohorts are patched."""
+    metrics = (*documents.METRICS, *au.COUNTS)
+    table = incremental.RankedTable(f.spark, scratch(f.spark), "scholar_id", [([au.COHORT], {f"{m}_percentile": m for m in metrics})])
+    table.build(f.author_rows, TODAY)
+    stale = serving.stale_keys(f.modified, f.authors.filter(one_in("scholar_id", 2)).select(F.col("scholar_id").alias("key"), "timestamp"))
+    gained = {"citedby": F.col("citedby") + 5, au.COUNTS[1]: F.col(au.COUNTS[1]) + 1}
+    table.patch(f.author_rows.join(stale.select("scholar_id"), "scholar_id", "left_semi").withColumns(gained), TODAY)
+    return table.read()
+
+
+def _incremental_publications(f: Frames) -> DataFrame:
+    """A seventh of the publications has three more citations, another seventh is gone."""
+    columns = [c for c in f.current.columns if c != "num_citations_percentile"]
+    rows = f.current.select(*columns)
+    table = incremental.RankedTable(f.spark, scratch(f.spark), "author_pub_id", [(["pub_year"], {"num_citations_percentile": "num_citations"})])
+    table.build(rows, TODAY)
+    more = rows.withColumn("num_citations", F.when(one_in("author_pub_id", 7), F.col("num_citations") + 3).otherwise(F.col("num_citations")))
+    changed = incremental.changed_since(more, table.rows.read(), "author_pub_id", ["num_citations"])
+    table.patch(changed, TODAY, removed=rows.filter(one_in("title", 7)).join(changed, "author_pub_id", "left_anti"))
+    return table.read()
+
+
+def _stored_deletion(f: Frames) -> DataFrame:
+    """Dead profiles deleted from the stored table by tombstones."""
+    table = KeyedTable(f.spark, scratch(f.spark), deleted="deleted")
+    rows = f.authors.select(F.col("scholar_id").alias("document_id"), "timestamp", F.col("name").alias("data"))
+    table.merge(rows.withColumn("deleted", F.lit(False)), TODAY)
+    dead = rows.join(refresh.dead_authors(f.stale, _live(f)), F.col("document_id") == F.col("scholar_id"), "left_semi")
+    table.merge(documents.tombstones(dead, F.to_timestamp(F.lit(NOW))), TODAY)
+    return table.read().select(F.col("document_id").alias("scholar_id"), F.col("data").alias("name"))
 
 
 def one_in(key: str, n: int) -> Column:
@@ -238,9 +356,12 @@ def _profiles(f: Frames) -> DataFrame:
     return p.select("scholar_id", "name", "last_modified", F.coalesce(F.size("publications"), F.lit(0)).cast("bigint").alias("n_publications"), F.get("publications", F.lit(0))["author_pub_id"].alias("best"), F.col("stats.citedby").alias("citedby"))
 
 
+def _live(f: Frames) -> DataFrame:
+    return f.authors.select("scholar_id", F.when(one_in("scholar_id", 2), "Success").otherwise("Error").alias("status"), F.when(one_in("scholar_id", 3), F.col("name")).alias("name"))
+
+
 def _liveness(f: Frames) -> DataFrame:
-    live = f.authors.select("scholar_id", F.when(one_in("scholar_id", 2), "Success").otherwise("Error").alias("status"), F.when(one_in("scholar_id", 3), F.col("name")).alias("name"))
-    return refresh.without_dead(f.authors.select("scholar_id", "name"), f.stale, live)
+    return refresh.without_dead(f.authors.select("scholar_id", "name"), f.stale, _live(f))
 
 
 def _big(f: Frames) -> DataFrame:
@@ -265,9 +386,17 @@ FRAMES = {
     "src_3_author_publications": lambda f: f.listed,
     "src_4_coauthor_network": lambda f: f.edges,
     "src_5_citations_by_year": lambda f: documents.citations_by_year(f.pubs),
-    "src_6_prefix_scan": lambda f: documents.prefix_scan(f.pubs.select("author_pub_id", "num_citations"), "author_pub_id", "C1:"),
+    "src_6_prefix_scan": lambda f: documents.decode_publications(_documents(f).prefix("C1:")).select("author_pub_id", "num_citations"),
     "src_7_lookup": lambda f: documents.lookup(f.raw_authors, f.stale.select(F.col("scholar_id").alias("document_id"))).select("document_id", "timestamp"),
+    "src_7_lookup_list": _lookup_list,
     "src_8_latest_snapshot": _snapshot,
+    "src_8_snapshot_with_deletes": _snapshot_with_deletes,
+    "snk_1_upsert_with_deletes": _upsert_with_deletes,
+    "snk_2_upsert_restart": _restarted,
+    "snk_2_upsert_repeated_epoch": _repeated_epoch,
+    "snk_2_upsert_deletes": lambda f: _restarted(f, _with_deletes, deleted="deleted"),
+    "snk_3_export_gate": lambda f: _gate(export.CsvExport(f.spark, scratch(f.spark)), lambda: f.with_scores),
+    "snk_5_view_gate": lambda f: _gate(export.View(f.spark, scratch(f.spark)), lambda: f.metrics),
     "snk_1_upsert": _upsert,
     "snk_2_upsert_stream": _stream,
     "snk_3_export_all_csv": _csv_all,
@@ -290,7 +419,7 @@ FRAMES = {
     "aut_7_pip_inputs": lambda f: f.inputs,
     "aut_8_pip_auc": lambda f: f.auc,
     "aut_9_auc_percentile": lambda f: f.scores,
-    "tmp_1_publication_state": lambda f: f.state,
+    "tmp_1_publication_state": lambda f: f.state.drop("citations_last_5_years", "copy", "copies", "most_recent"),
     "tmp_2_first_cited_year": lambda f: f.first_year,
     "tmp_3_h_index": lambda f: te.h_index(f.state, "cumulative_citations_at_state_year", "h_index"),
     "tmp_4_recent_citations": lambda f: te.recent_citations(f.state).select(*STATE, "citations_last_5_years"),
@@ -309,10 +438,14 @@ FRAMES = {
     "res_4_arrays": lambda f: resolution.resolution_arrays(f.resolved).select("author_pub_id", F.size("author_resolutions").cast("bigint").alias("n"), F.array_join(F.transform("author_resolutions", lambda x: F.concat_ws("/", x["name"], F.coalesce(x["scholar_id"], F.lit("-")), x["method"])), ";").alias("resolutions")),
     "res_5_totals": lambda f: resolution.resolution_totals(f.resolved),
     "srv_1_author_publications": lambda f: f.served,
-    "srv_2_author_with_score": lambda f: serving.authors_with_scores(f.stats, f.scores, "C7"),
+    "srv_2_author_with_score": lambda f: _serving(f, "authors").author("C7"),
+    "srv_1_one_author": lambda f: _serving(f, "publications").author_publications("C7"),
+    "srv_4_one_publication": _one_publication,
+    "srv_7_incremental_authors": _incremental_authors,
+    "srv_7_incremental_publications": _incremental_publications,
     "srv_3_all_authors": lambda f: f.with_scores,
     "srv_4_publication_by_year": lambda f: f.by_year,
-    "srv_5_author_by_year": lambda f: serving.author_by_year(f.temporal, "C7"),
+    "srv_5_author_by_year": lambda f: _serving(f, "temporal").author_years("C7"),
     "srv_6_last_modified": lambda f: f.modified,
     "srv_7_stale_keys": lambda f: serving.stale_keys(f.modified, f.authors.filter(one_in("scholar_id", 2)).select(F.col("scholar_id").alias("key"), F.col("timestamp"))),
     "srv_8_author_profiles": _profiles,
@@ -327,18 +460,22 @@ FRAMES = {
     "ref_4_new_tasks": lambda f: refresh.new_tasks(f.authors, "scholar_id", f.pending),
     "ref_5_publication_tasks": lambda f: refresh.publication_tasks(f.listed, f.stale, f.pending),
     "ref_6_without_dead": _liveness,
+    "ref_6_stored_deletion": _stored_deletion,
+    "jn_1_series_citations": lambda f: f.timeline.select("author_pub_id", "citation_year", "yearly_citations"),
+    "jn_2_listed_current_left": lambda f: au.listed_with_citations(f.listed, f.current, AS_OF),
+    "jn_3_listed_current": lambda f: au.listed_and_cited(f.listed, f.current, AS_OF),
+    "jn_5_current_stats": lambda f: au.publications_of_cohorts(f.current, f.cohort),
+    "jn_10_not_in": lambda f: network.not_registered(f.edges, f.registered),
     "cht_1_scatter": lambda f: serving.scatter_frame(f.served, AS_OF, "num_papers_percentile"),
     "cht_2_timeline": lambda f: serving.timeline_frame(f.by_year),
     "cht_3_metrics": lambda f: serving.metric_frame(f.temporal),
     "cht_4_display": lambda f: serving.display_values(f.stats, AS_OF),
 }
 
-#: Joins have no function of their own: each runs inside its host.
+#: Joins whose rows are the output of an operator as they are.
 JOINS = {
-    "jn_1_series_citations": "pub_2_citation_timeline", "jn_2_listed_current_left": "aut_1_publication_counts", "jn_3_listed_current": "aut_2_first_cited_year",
-    "jn_4_author_attributes": "aut_3_author_rows", "jn_5_current_stats": "aut_6_publication_rank", "jn_6_nearest_points": "aut_7_pip_inputs",
-    "jn_7_listed_timeline": "tmp_1_publication_state", "jn_8_temporal_left": "tmp_8_temporal_metrics", "jn_9_range_sum": "tmp_7_recent_totals",
-    "jn_10_not_in": "net_2_unregistered", "jn_11_scores": "srv_3_all_authors",
+    "jn_4_author_attributes": "aut_3_author_rows", "jn_6_nearest_points": "aut_7_pip_inputs", "jn_7_listed_timeline": "tmp_1_publication_state",
+    "jn_8_temporal_left": "tmp_8_temporal_metrics", "jn_9_range_sum": "tmp_7_recent_totals", "jn_11_scores": "srv_3_all_authors",
 }
 
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, build in FRAMES.items()}

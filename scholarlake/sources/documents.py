@@ -74,14 +74,20 @@ def lookup(df: DataFrame, ids: list[str] | DataFrame, key: str = "document_id")
     return df.filter(F.col(key).isin(list(ids)))
 
 
-def latest_snapshot(changes: DataFrame, key: str = "document_id", *order: str) -> DataFrame:
-    """The version with the largest order columns per key; a partial aggregate, no sort."""
+def latest_snapshot(changes: DataFrame, key: str = "document_id", *order: str, deleted: str | None = None) -> DataFrame:
+    """The version with the largest order columns per key; a partial aggregate, no sort. A key whose latest version has ``deleted`` true is absent."""
     latest = F.max_by(F.struct(*changes.columns), F.struct(*(order or ("timestamp",))))
-    return changes.groupBy(key).agg(latest.alias("_v")).select("_v.*")
+    rows = changes.groupBy(key).agg(latest.alias("_v")).select("_v.*")
+    return rows if deleted is None else rows.filter(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted)
+
+
+def tombstones(keys: DataFrame, timestamp: Column) -> DataFrame:
+    """Rows of a change log that delete ``keys`` (document_id) at a time."""
+    return keys.select("document_id", timestamp.alias("timestamp"), F.lit(None).cast("string").alias("data"), F.lit(True).alias("deleted"))
 
 
 def upsert_documents(current: DataFrame, updates: DataFrame, now: Column | None = None) -> DataFrame:
-    """Whole documents replaced by id; blank ids are rejected, older versions lose."""
+    """Whole documents replaced by id; blank ids are rejected, older versions lose. With a ``deleted`` column on both sides tombstones are rows like others, for ``latest_snapshot`` to drop."""
     valid = updates.filter(F.length(F.trim("document_id")) > 0)
     if now is not None:
         valid = valid.withColumn("timestamp", now)

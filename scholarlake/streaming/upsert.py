@@ -2,41 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from datetime import datetime
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.versioned import KeyedTable
 
-def upsert_stream(updates: DataFrame, key: str = "document_id", *order: str) -> DataFrame:
-    """Streaming snapshot. Documents never expire, so the state is a row per key without watermark; run_to_parquet keeps it in RocksDB."""
-    valid = updates.filter(F.length(F.trim(F.col(key))) > 0)
-    latest = F.max_by(F.struct(*valid.columns), F.struct(*(order or ("timestamp",))))
-    return valid.groupBy(key).agg(latest.alias("_v")).select("_v.*")
 
+def stream_source(spark: SparkSession, table: DataFrame, name: str, per_trigger: int | None = None) -> DataFrame:
+    """The files of a stored table as a stream. A table may be one file beside others; a stream reads a folder, so such a file is chosen by ``name``."""
+    folder, file = table.inputFiles()[0].rsplit("/", 1)
+    reader = spark.readStream.schema(table.schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return (reader.option("pathGlobFilter", name) if file == name else reader).parquet(folder)
 
-def run_to_parquet(snapshot: DataFrame, path: str, checkpoint: str, key: str = "document_id") -> DataFrame:
-    """Drain what is there (availableNow) and return the stored table.
 
-    Batches bring only the keys that changed. Each writes a new version of the table beside
-    the one before, so that readers never see half a table and a repeated batch writes the
-    same version again.
+def drain(updates: DataFrame, table: KeyedTable, checkpoint: str, now: datetime) -> DataFrame | None:
+    """Merges what is there (availableNow) and returns the table; None if it never got a row.
+
+    The table compares each update with the row that it holds, so the stream itself keeps no
+    state, and documents need never expire. A batch becomes one commit that names
+    its epoch: after a restart the table goes on from its last commit, and a batch that is
+    repeated, since its commit came but the checkpoint's did not, is passed over.
     """
-    spark, versions = snapshot.sparkSession, []
 
     def store(batch: DataFrame, epoch: int) -> None:
-        now = f"{path}/version={epoch}"
-        if versions and versions[-1] != now:
-            batch = batch.sparkSession.read.parquet(versions[-1]).join(batch.select(key), key, "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").parquet(now)
-        versions.append(now)
-
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        query = snapshot.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
-    finally:
-        spark.conf.set(PROVIDER, before)
+        table.merge(batch, now, checkpoint, epoch)
+
+    query = updates.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], snapshot.schema)
+    return table.read()
