@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -229,13 +230,28 @@ def dismissed(page: Lines, threshold: float) -> list[bool]:
     return [page.marked[e] and not keeps(e) for e in range(n)]
 
 
+COMMENT_END = re.compile(r"--\s*>")
+
+
+def parsed(html: str) -> Lines:
+    """The page's events as lines. What no ``>`` or end of a comment follows is text, and is not searched for one again and again."""
+    page, end, last = Lines(), html.rfind(">") + 1, 0
+    if "<!--" in html:
+        for last_end in COMMENT_END.finditer(html):
+            last = last_end.end()
+    page.feed(html[:last])
+    page.feed(html[last:end].replace("<!--", "&lt;!--"))
+    page.close()
+    if end < len(html):
+        page.handle_data(html[end:] if page.cdata_elem else unescape(html[end:]))
+    page.flush()
+    return page
+
+
 def main_text(html: str | None, threshold: float = 0.5) -> str:
     if not html:
         return ""
-    page = Lines()
-    page.feed(html)
-    page.close()
-    page.flush()
+    page = parsed(html)
     boilerplate = inherited(page, [b or d for b, d in zip(page.bad, dismissed(page, threshold), strict=True)])
     bad = [e >= 0 and boilerplate[e] for *_, e in page.lines]
     if all(bad):

@@ -61,3 +61,17 @@ def test_extract_whole_table(spark):
     assert [r.text for r in out if r.page_id == 3] == [LONG, LONG] and {r.text for r in out if r.page_id in (1, 2)} == {""}
     assert next(r.n_chars for r in out if r.page_id is None) == 6 * 200_000 - 1
     assert html_extraction.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece, end", [("<a ", ""), ("<!--x", ""), ("<!--x", ">"), ("<a ", ">"), ("</a ", ""), ("<?x", ""), ("<![CDATA[", ">"), ("&#12", "")])
+def test_malformed_markup_takes_linear_time(piece, end):
+    import time
+
+    began = time.process_time()
+    text = html_extraction.main_text("<p>Before.</p><!-- c -->" + piece * 100_000 + end)
+    assert text.startswith("Before.") and time.process_time() - began < 5
+
+
+def test_unterminated_markup_is_text():
+    for page, want in (("<p>a <b", "a <b"), ("<p>a</p>&amp;<i", "a\n&<i"), ("<div>1 < 2</div> <!-- c -->tail <!-- d", "1 < 2\ntail <!-- d"), ("<p>x</p><script>a</script", "x")):
+        assert html_extraction.main_text(page) == want
