@@ -22,6 +22,7 @@ not learned from; repeated rows are scored each.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,14 @@ DENSE_BYTES = 128 << 20
 
 
 def letters_only(text: str) -> str:
-    """Lower case; every run of other characters than letters is one space."""
-    return " ".join("".join([c if c.isalpha() else " " for c in text.lower()]).split()) if not text.isascii() else " ".join(text.lower().translate(_ASCII).split())
+    """Lower case; every run of other characters than letters, and the marks that combine with them, is one space. Empty without a letter."""
+    text = text.lower()
+    if text.isascii():
+        return " ".join(text.translate(_ASCII).split())
+    there = set(text)
+    if not any(c.isalpha() for c in there):
+        return ""
+    return " ".join(text.translate({ord(c): " " for c in there if not (c.isalpha() or unicodedata.category(c)[0] == "M")}).split())
 
 
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}

@@ -43,3 +43,10 @@ def test_a_short_sample_is_no_disadvantage(spark):
 def test_ties_go_to_the_smaller_name():
     model = language_id.Model({"zz": "abc abd", "mm": "abc abd"})
     assert model.predict(["abc", "abd abc", "xyz"])[0] == ["mm"] * 3
+
+
+def test_combining_marks_belong_to_words():
+    assert language_id.letters_only("हिन्दी में, 12!") == "हिन्दी में" and language_id.letters_only("น้ำ-ใส") == "น้ำ ใส"
+    assert language_id.letters_only("ét́ A") == "ét́ a" and language_id.letters_only("́̂ 1") == ""
+    model = language_id.Model({"hi": "हिन्दी में लिखा है " * 20, "mr": "मराठी मध्ये लिहिले आहे " * 20, "th": "น้ำใสไหลเย็น " * 20})
+    assert model.predict(["लिखा है में", "मध्ये आहे", "น้ำเย็น", "́ 7"])[0] == ["hi", "mr", "th", "und"]
