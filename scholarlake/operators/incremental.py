@@ -39,8 +39,8 @@ class RankedTable:
         self.rows.merge(rows, now, attached=folder)
 
     def stored(self, keys: DataFrame) -> DataFrame:
-        """The rows of some keys."""
-        return self.rows.read().join(keys.select(self.key).distinct(), self.key, "left_semi")
+        """The rows of some keys, from their buckets."""
+        return self.rows.read_keys(keys)
 
     def patch(self, changed: DataFrame, now: datetime, removed: DataFrame | None = None) -> None:
         """Replaces the rows of the keys of ``changed`` and drops those of ``removed``; new keys are added."""

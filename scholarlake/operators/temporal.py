@@ -28,19 +28,23 @@ def publication_states(listed: DataFrame, series: DataFrame) -> DataFrame:
 
     A publication listed k times has k rows a year, as a join of listings has; ``copy`` counts
     them from 0, ``copies`` is k. citations_last_5_years is the sum of five *rows*, and ``most_recent`` the largest of the k sums of a year.
+    Publications are dealt by author before their years are expanded, so author-years need no exchange of the many rows.
     """
-    rows = listings(listed).join(series.select("scholar_id", "author_pub_id", F.col("pub_year").alias("_from"), "series"), ["scholar_id", "author_pub_id"])
+    rows = listings(listed).join(series.select("scholar_id", "author_pub_id", F.col("pub_year").alias("_from"), "series"), ["scholar_id", "author_pub_id"]).repartition("scholar_id")
     rows = rows.select("*", F.size("years").alias("copies"), F.posexplode("years").alias("copy", "pub_year"))
-    # the yearly counts are only needed for repeated listings
-    yearly = F.when(F.col("copies") > 1, F.transform("series", lambda s: s["yearly"]))
-    rows = rows.select("scholar_id", "author_pub_id", "pub_year", "copy", "copies", "_from", yearly.alias("_yearly"), F.posexplode("series").alias("_age", "_s"))
-    one = F.col("copies") == 1
-    recent = lambda copy: _repeated_recent(F.col("_yearly"), F.col("_age") * F.col("copies") + copy, F.col("copies"))
+    # sums over repeated rows are arrays of their own, null for the usual single listing
+    yearly, places = F.transform("series", lambda s: s["yearly"]), F.sequence(F.lit(0), F.size("series") - 1)
+    recent = lambda age, copy: _repeated_recent(F.col("_yearly"), age * F.col("copies") + copy, F.col("copies"))
+    repeated = lambda values: F.when(F.col("copies") > 1, F.transform(places, values))
+    rows = rows.withColumn("_yearly", F.when(F.col("copies") > 1, yearly)).select(
+        "scholar_id", "author_pub_id", "pub_year", "copy", "copies", "_from", "series", repeated(lambda age: recent(age, F.col("copy"))).alias("_recent"),
+        repeated(lambda age: F.array_max(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda copy: recent(age, copy)))).alias("_most"),
+    )
+    rows = rows.select("scholar_id", "author_pub_id", "pub_year", "copy", "copies", "_from", "_recent", "_most", F.posexplode("series").alias("_age", "_s"))
     return rows.select(
         "scholar_id", "author_pub_id", "pub_year", (F.col("_from") + F.col("_age")).cast("bigint").alias("state_year"),
         F.col("_s.yearly").alias("yearly_citations_at_state_year"), F.col("_s.cumulative").alias("cumulative_citations_at_state_year"),
-        F.when(one, F.col("_s.recent")).otherwise(recent(F.col("copy"))).alias("citations_last_5_years"), "copy", "copies",
-        F.when(one, F.col("_s.recent")).otherwise(F.array_max(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), recent))).alias("most_recent"),
+        F.coalesce(F.get("_recent", "_age"), "_s.recent").alias("citations_last_5_years"), "copy", "copies", F.coalesce(F.get("_most", "_age"), "_s.recent").alias("most_recent"),
     )
 
 

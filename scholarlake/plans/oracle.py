@@ -135,6 +135,7 @@ SQL = {
     "prj_1_slim_author": sql("SELECT scholar_id, author_pub_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 ELSE 0 END::BIGINT AS num_citations, false AS filled, pub_year::VARCHAR AS pub_year FROM pubs WHERE scholar_id IN (SELECT 'C' || c_custkey FROM customer)"),
     "prj_2_big_integers": "SELECT o_orderkey, CASE WHEN abs(v) > 4611686018427387904 THEN '\"' || v || '\"' ELSE v::VARCHAR END AS value FROM (SELECT o_orderkey, (o_orderkey % 5 - 2) * 2305843009213693959 AS v FROM orders)",
     "prj_3_similar_authors": "SELECT name, '' AS affiliation, '' AS email_domain, citedby, scholar_id, position FROM (SELECT 'Supplier ' || (s_suppkey % 70) AS name, length('S' || s_suppkey)::BIGINT AS citedby, 'S' || s_suppkey AS scholar_id, row_number() OVER (PARTITION BY s_suppkey % 70 ORDER BY length('S' || s_suppkey) DESC, 'S' || s_suppkey)::BIGINT AS position FROM supplier) WHERE position <= 10",
+    "prj_3_similar_profiles": sql(f"SELECT name, affiliation, email_domain, citedby, scholar_id, position FROM (SELECT 'Author ' || (substr(scholar_id, 2)::BIGINT % 97) AS name, CASE WHEN {one_in('scholar_id', 4)} OR affiliation IS NULL THEN '' ELSE affiliation END AS affiliation, CASE WHEN {one_in('scholar_id', 5)} OR email_domain IS NULL THEN '' ELSE email_domain END AS email_domain, coalesce(citedby, 0)::BIGINT AS citedby, scholar_id, row_number() OVER (PARTITION BY substr(scholar_id, 2)::BIGINT % 97 ORDER BY coalesce(citedby, 0) DESC, scholar_id)::BIGINT AS position FROM authors) WHERE position <= 10"),
     "prj_4_eligible": sql("SELECT author_pub_id, pub_year, num_citations FROM pubs WHERE pub_year > 1950 AND pub_year <= 2025 AND num_citations > 0"),
     "prj_5_timeline_slice": sql("SELECT * FROM timeline WHERE citation_year BETWEEN pub_year AND 2025"),
     "pub_1_publication_current": everything("current_pubs"),

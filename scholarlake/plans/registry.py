@@ -377,7 +377,14 @@ def _big_nested(f: Frames) -> DataFrame:
     return out.select("o_custkey", F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["o_orderkey"], x["v"])), ",").alias("entries"))
 
 
-PIP = ["scholar_id", "author_pub_id", "num_citations", "num_citations_percentile", "publication_rank", "num_papers_percentile"]
+def _similar_profiles(f: Frames) -> DataFrame:
+    """Whole profiles under shared names, some without affiliation or citations."""
+    some = lambda c, n: F.when(one_in("scholar_id", n), None).otherwise(F.col(c)).alias(c)
+    shared = F.concat(F.lit("Author "), (F.substring("scholar_id", 2, 20).cast("bigint") % 97).cast("string")).alias("name")
+    profiles = f.authors.select("scholar_id", shared, some("affiliation", 4), some("email_domain", 5), "citedby")
+    return resolution.similar_authors(profiles.select("name"), profiles)
+
+
 STATE = ["scholar_id", "author_pub_id", "state_year"]
 
 FRAMES = {
@@ -405,6 +412,7 @@ FRAMES = {
     "prj_1_slim_author": lambda f: documents.slim_author(f.raw_authors).select("scholar_id", F.explode("publications").alias("p")).select("scholar_id", F.col("p.author_pub_id").alias("author_pub_id"), F.col("p.num_citations").alias("num_citations"), F.col("p.filled").alias("filled"), F.col("p.bib.pub_year").alias("pub_year")),
     "prj_2_big_integers": _big,
     "prj_3_similar_authors": lambda f: resolution.similar_authors(f.names[1].select("name"), f.names[1].withColumns({"affiliation": F.lit(None).cast("string"), "email_domain": F.lit(None).cast("string"), "citedby": F.length("scholar_id").cast("bigint")})),
+    "prj_3_similar_profiles": _similar_profiles,
     "prj_4_eligible": lambda f: f.pubs.filter(eligible(AS_OF)).select("author_pub_id", "pub_year", "num_citations"),
     "prj_5_timeline_slice": lambda f: f.timeline.filter((F.col("citation_year") >= F.col("pub_year")) & (F.col("citation_year") <= AS_OF)),
     "pub_1_publication_current": lambda f: f.current,

@@ -34,7 +34,8 @@ def raw_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     cites = lines.groupBy("l_orderkey").agg(
         F.floor(F.sum("q") / 10).alias("n"), F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("string"), F.floor(F.col("q") / 10)))).alias("m")
     )
-    o = table(spark, sf_dir, "orders").join(cites, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # both sides are large: a broadcast, where statistics are low, would leave the documents to the few splits of orders
+    o = table(spark, sf_dir, "orders").join(cites.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("o_orderkey").cast("string")
     related = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("/related/"), key))
     data = _json(
@@ -57,7 +58,7 @@ def raw_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("filled"), F.struct(_pub_year().cast("string").alias("pub_year")).alias("bib"),
     ))).alias("publications"))
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    a = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(pubs, F.col("c_custkey") == F.col("o_custkey"), "left")
+    a = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(pubs.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left")
     scholar = F.concat(F.lit("C"), F.col("c_custkey"))
     data = _json(
         scholar_id=scholar, name=F.col("c_name"), affiliation=F.col("n_name"), email_domain=F.lower("r_name"),

@@ -101,19 +101,24 @@ class KeyedTable:
         if not parts:
             return None
         rows = self._rows(parts, T.StructType.fromJson(json.loads(parts[0].schema)))
-        if self.deleted and not tombstones:
-            rows = rows.filter(~F.coalesce(F.col(self.deleted), F.lit(False))).drop(self.deleted)
-        return rows
+        return rows if tombstones else self._live(rows)
 
-    def read_key(self, value: str) -> DataFrame | None:
-        """The row of one key, from the one bucket that may hold it."""
+    def _live(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(~F.coalesce(F.col(self.deleted), F.lit(False))).drop(self.deleted) if self.deleted else rows
+
+    def read_keys(self, keys: DataFrame) -> DataFrame | None:
+        """The rows of some keys, from the buckets that may hold them."""
         parts = self.log.latest()
         if not parts:
             return None
-        bucket = self.spark.range(1).select(F.lit(value).alias(self.key)).select(self._bucket()).first()[0]
-        rows = self._rows([r for r in parts if r.part == bucket], T.StructType.fromJson(json.loads(parts[0].schema)))
-        rows = rows.filter(F.col(self.key) == value)
-        return rows.filter(~F.coalesce(F.col(self.deleted), F.lit(False))).drop(self.deleted) if self.deleted else rows
+        asked = keys.select(self.key).distinct()
+        touched = {r[0] for r in asked.select(self._bucket().alias("b")).distinct().collect()}  # at most ``buckets`` numbers
+        rows = self._rows([r for r in parts if r.part in touched], T.StructType.fromJson(json.loads(parts[0].schema)))
+        return self._live(rows.join(asked, self.key, "left_semi"))
+
+    def read_key(self, value: str) -> DataFrame | None:
+        """The row of one key."""
+        return self.read_keys(self.spark.range(1).select(F.lit(value).alias(self.key)))
 
     def attached(self) -> str | None:
         """The folder that the last merge named beside its rows."""

@@ -210,6 +210,8 @@ def test_patched_ranks_equal_a_rebuild(spark, folder):
     assert sorted(map(str, table.read().select("id", "k", "j", "v", "w", "p", "q", "pj").collect())) == want
     one = table.read(spark.createDataFrame([("10",)], "id_ string"))
     assert [str(r) for r in one.select("id", "k", "j", "v", "w", "p", "q", "pj").collect()] == [w for w in want if w.startswith("Row(id=10,")]
+    files = table.rows.read().inputFiles()
+    assert len(files) == 4 and len(table.stored(spark.createDataFrame([("10",)], "id_ string")).inputFiles()) == 1
     left = sorted(map(tuple, table.counts().filter("n < 0").collect()))
     assert not left and table.counts().agg(F.sum("n")).first()[0] == 3 * after.count()
 
