@@ -18,8 +18,8 @@ def stream_source(spark: SparkSession, table: DataFrame, name: str, per_trigger:
     return (reader.option("pathGlobFilter", name) if file == name else reader).parquet(folder)
 
 
-def drain(updates: DataFrame, table: KeyedTable, checkpoint: str, now: datetime) -> DataFrame | None:
-    """Merges what is there (availableNow) and returns the table; None if it never got a row.
+def drain(updates: DataFrame, table: KeyedTable, checkpoint: str, now: datetime, keep: int | None = None) -> DataFrame | None:
+    """Merges what is there (availableNow) and returns the table; None if it never got a row. Of its versions the last ``keep`` stay, all without it.
 
     The table compares each update with the row that it holds, so the stream itself keeps no
     state, and documents need never expire. A batch becomes one commit that names
@@ -32,4 +32,6 @@ def drain(updates: DataFrame, table: KeyedTable, checkpoint: str, now: datetime)
 
     query = updates.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
+    if keep and table.log.latest():
+        table.log.expire(keep)
     return table.read()

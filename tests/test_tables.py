@@ -29,19 +29,21 @@ def folder(tmp_path):
     return f"file://{tmp_path}"
 
 
-def stream(spark, folder, rows, **options):
+def stream(spark, folder, rows, keep=None, **options):
     """One more start of the sink, with new rows in its source, as a process that knows nothing but the folders."""
     if rows:
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
     updates = spark.readStream.schema(LOG).parquet(f"{folder}/log")
-    return upsert.drain(updates, KeyedTable(spark, f"{folder}/table", buckets=4, **options), f"{folder}/checkpoint", NOW)
+    return upsert.drain(updates, KeyedTable(spark, f"{folder}/table", buckets=4, **options), f"{folder}/checkpoint", NOW, keep)
 
 
 def test_a_restarted_stream_keeps_all_keys(spark, folder):
     assert held(stream(spark, folder, [("a", at(1), "1"), ("b", at(1), "1"), (" ", at(1), "blank")])) == {"a": "1", "b": "1"}
     assert held(stream(spark, folder, [("b", at(2), "2"), ("a", at(1) - timedelta(days=1), "older")])) == {"a": "1", "b": "2"}
     assert held(stream(spark, folder, [])) == {"a": "1", "b": "2"}
-    assert held(stream(spark, folder, [("c", at(3), "3")])) == {"a": "1", "b": "2", "c": "3"}
+    assert held(stream(spark, folder, [("c", at(3), "3")], keep=1)) == {"a": "1", "b": "2", "c": "3"}
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/table/commits").select("version").distinct().count() == 1
+    assert held(stream(spark, folder, [("a", at(4), "4")], keep=1)) == {"a": "4", "b": "2", "c": "3"}
 
 
 def test_a_stream_without_rows_has_no_table(spark, folder):
