@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import BROADCAST_RANKS, percent_rank_by
+from ..functions.storage import store
 from .publications import zero
 
+#: An author with more listings than this has them dealt over many tasks.
+HEAVY_LISTINGS = 100_000
+#: So many such authors at most; their ids are broadcast.
+HEAVY_AUTHORS = 100_000
 YEAR = ["scholar_id", "state_year"]
 RANKED = ["total_publications", "total_citations", "total_recent_citations_5y", "h_index", "h_index_5y", "i10_index", "i10_index_5y"]
 
@@ -23,14 +28,34 @@ def _repeated_recent(yearly: Column, at: Column, copies: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(4)), zero(), lambda a, d: a + F.coalesce(F.when(at >= d, F.get(yearly, place(d))), zero()))
 
 
-def publication_states(listed: DataFrame, series: DataFrame) -> DataFrame:
+def heavy_authors(listed: DataFrame, most: int = HEAVY_LISTINGS) -> DataFrame | None:
+    """(scholar_id) of authors with more than ``most`` listings; none, as usual, gives None.
+
+    The bound rises with the table, so that at most HEAVY_AUTHORS ids are broadcast.
+    """
+    counts = store(listed.groupBy("scholar_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
+    total = counts.agg(F.sum("n")).first()[0]
+    return None if total is None else F.broadcast(counts.filter(F.col("n") > total // HEAVY_AUTHORS).select("scholar_id"))
+
+
+def publication_states_apart(listed: DataFrame, series: DataFrame, heavy: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The states of the authors that fit a task each, and those of ``heavy`` ones, which stay dealt by publication."""
+    if heavy is None:
+        return publication_states(listed, series), None
+    light = publication_states(listed.join(heavy, "scholar_id", "left_anti"), series)
+    return light, publication_states(listed.join(heavy, "scholar_id", "left_semi"), series, by_author=False)
+
+
+def publication_states(listed: DataFrame, series: DataFrame, by_author: bool = True) -> DataFrame:
     """Author x publication x year from the arrays of ``series``: a join of publications, then rows of years.
 
     A publication listed k times has k rows a year, as a join of listings has; ``copy`` counts
     them from 0, ``copies`` is k. citations_last_5_years is the sum of five *rows*, and ``most_recent`` the largest of the k sums of a year.
-    Publications are dealt by author before their years are expanded, so author-years need no exchange of the many rows.
+    Publications are dealt by author before their years are expanded, so author-years need no exchange of the many rows;
+    without ``by_author`` they stay dealt by publication, and counts of their rows meet instead.
     """
-    rows = listings(listed).join(series.select("scholar_id", "author_pub_id", F.col("pub_year").alias("_from"), "series"), ["scholar_id", "author_pub_id"]).repartition("scholar_id")
+    rows = listings(listed).join(series.select("scholar_id", "author_pub_id", F.col("pub_year").alias("_from"), "series"), ["scholar_id", "author_pub_id"])
+    rows = rows.repartition("scholar_id") if by_author else rows
     rows = rows.select("*", F.size("years").alias("copies"), F.posexplode("years").alias("copy", "pub_year"))
     # sums over repeated rows are arrays of their own, null for the usual single listing
     yearly, places = F.transform("series", lambda s: s["yearly"]), F.sequence(F.lit(0), F.size("series") - 1)
@@ -82,8 +107,21 @@ def _h(value: str, rank: str) -> Column:
     return F.max(F.when(F.col(value) > 0, F.least(F.col(rank).cast("bigint"), value)))
 
 
+def h_indices(state: DataFrame, values: dict[str, str]) -> DataFrame:
+    """An h-index per author-year for each ``{out: value}``, from how many rows have each positive value.
+
+    Counts combine before any exchange, and no list or ranking of publications is made. Citations of
+    an author-year have at most sqrt(2 x their sum) different values, so what is ordered stays small.
+    """
+    entries = F.array(*[F.struct(F.lit(out).alias("_m"), F.col(value).alias("_v")) for out, value in values.items()])
+    counts = state.select(*YEAR, F.inline(entries)).filter("_v > 0").groupBy(*YEAR, "_m", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    larger = Window.partitionBy(*YEAR, "_m").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_r", F.sum("_n").over(larger))
+    return ranked.groupBy(*YEAR).agg(*[F.max(F.when(F.col("_m") == out, F.least("_r", "_v"))).alias(out) for out in values])
+
+
 def h_index(state: DataFrame, value: str, out: str) -> DataFrame:
-    return _ranked(state.filter(F.col(value) > 0), value, "_r").groupBy(*YEAR).agg(_h(value, "_r").alias(out))
+    return h_indices(state, {out: value})
 
 
 def _totals() -> list[Column]:
@@ -119,6 +157,25 @@ def temporal_metrics(state: DataFrame, first: DataFrame) -> DataFrame:
     slim = _with_copies(state).select(*YEAR, "yearly_citations_at_state_year", c, r, "copy", "copies", "most_recent")
     ranked = _ranked(_ranked(slim, c, "_c"), r, "_r")
     years = ranked.groupBy(*YEAR).agg(*_totals(), F.sum("yearly_citations_at_state_year").alias("_y"), _h(c, "_c").alias("h_index"), _h(r, "_r").alias("h_index_5y"))
+    return _finished(years, first)
+
+
+def counted_metrics(state: DataFrame, first: DataFrame) -> DataFrame:
+    """The same from sums and counts of values alone, which combine in the tasks that hold the rows: for authors too large for one."""
+    state = _with_copies(state)
+    totals = state.groupBy(*YEAR).agg(*_totals(), F.sum("yearly_citations_at_state_year").alias("_y"))
+    h = h_indices(state, {"h_index": "cumulative_citations_at_state_year", "h_index_5y": "citations_last_5_years"})
+    return _finished(totals.join(h, YEAR, "left"), first)
+
+
+def metrics_of_listings(listed: DataFrame, series: DataFrame, first: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """All metrics of all author-years: usual authors in one exchange of their publications, ``heavy`` ones by counts."""
+    light, apart = publication_states_apart(listed, series, heavy)
+    metrics = temporal_metrics(light, first)
+    return metrics if apart is None else metrics.unionByName(counted_metrics(apart, first))
+
+
+def _finished(years: DataFrame, first: DataFrame) -> DataFrame:
     rows = years.withColumn("total_recent_citations_5y", _five_years()).join(first, "scholar_id", "left")
     filled = ["total_recent_citations_5y", "h_index", "h_index_5y", "i10_index", "i10_index_5y"]
     return rows.select(*YEAR, "year_of_first_pub", "total_publications", "total_citations", *[F.coalesce(m, F.lit(0)).alias(m) for m in filled])

@@ -109,7 +109,12 @@ class Frames:
 
     @cached_property
     def state(self):
-        return te.publication_states(self.listed, self.series)
+        light, heavy = te.publication_states_apart(self.listed, self.series, self.heavy)
+        return light if heavy is None else light.unionByName(heavy)
+
+    @cached_property
+    def heavy(self):
+        return te.heavy_authors(self.listed)
 
     @cached_property
     def first_year(self):
@@ -117,7 +122,7 @@ class Frames:
 
     @cached_property
     def metrics(self):
-        return self.store(te.temporal_metrics(self.state, self.first_year))
+        return self.store(te.metrics_of_listings(self.listed, self.series, self.first_year, self.heavy))
 
     @cached_property
     def temporal(self):

@@ -58,12 +58,18 @@ def test_series_needs_no_exchange(spark):
     assert "Exchange" not in plan_of(publications.citation_timeline(df, 2022))
 
 
-def states(spark):
-    """Both forms of the state, with publications listed once to three times, under different years too."""
+def listed_series(spark):
+    """Publications listed once to three times, under different years too, and their series."""
     df, rows = publication_rows(spark, 2)
     series = publications.citation_series(df, 2022).cache()
     listed = [(r[0], r[1], r[2] + k % 2) for i, r in enumerate(rows) if r[2] is not None for k in range(1 + (i % 4 == 0) + (i % 8 == 0))]
     listed = spark.createDataFrame([*listed, ("A1", "A9:none", 2000)], "scholar_id string, author_pub_id string, pub_year long")
+    return listed, series
+
+
+def states(spark):
+    """Both forms of the state."""
+    listed, series = listed_series(spark)
     return temporal.publication_states(listed, series), temporal.publication_state(listed, publications.timeline_of(series))
 
 
@@ -103,6 +109,37 @@ def test_one_exchange_of_states_and_no_lists(spark):
     assert "collect_list" not in plan_of(metrics) and "collect_set" not in plan_of(metrics)
 
 
+def test_heavy_authors_by_counts(spark):
+    listed, series = listed_series(spark)
+    first = spark.createDataFrame([("A1", 1999)], "scholar_id string, year_of_first_pub long")
+    per = Counter(r.scholar_id for r in listed.collect())
+    most = sorted(per.values())[2]
+    heavy = temporal.heavy_authors(listed, most)
+    assert {r.scholar_id for r in heavy.collect()} == {a for a, n in per.items() if n > most} and 0 < heavy.count() < 5
+    assert temporal.heavy_authors(listed, 10**6) is None and temporal.heavy_authors(listed.limit(0), 1) is None
+    rows = lambda df: Counter(map(str, df.select(*sorted(df.columns)).collect()))
+    want, got = (temporal.metrics_of_listings(listed, series, first, h) for h in (None, heavy))
+    assert rows(got) == rows(want) and want.count() > 50
+    light, apart = temporal.publication_states_apart(listed, series, heavy)
+    assert rows(light.unionByName(apart)) == rows(temporal.publication_states(listed, series))
+
+
+def test_a_heavy_author_is_dealt_over_tasks(spark):
+    """Figures of one author of 20,000 publications by hand, and counts before every exchange."""
+    state = spark.range(20_000).select(
+        F.lit("A").alias("scholar_id"), F.col("id").cast("string").alias("author_pub_id"), F.lit(2020).cast("long").alias("state_year"), F.lit(1).cast("long").alias("yearly_citations_at_state_year"),
+        (F.col("id") % 50).alias("cumulative_citations_at_state_year"), (F.col("id") % 20).alias("citations_last_5_years"), F.lit(0).alias("copy"), F.lit(1).alias("copies"), (F.col("id") % 20).alias("most_recent"),
+    )
+    first = spark.createDataFrame([("A", 1999)], "scholar_id string, year_of_first_pub long")
+    metrics = temporal.counted_metrics(state, first)
+    row = metrics.first()
+    assert (row.h_index, row.h_index_5y, row.total_publications, row.i10_index, row.i10_index_5y) == (49, 19, 20_000, 16_000, 10_000)
+    # only rows that a partial aggregation has combined are exchanged: counts by value first, by author-year after
+    h = temporal.h_indices(store(state), {"h_index": "cumulative_citations_at_state_year"})
+    keys = exchanges(h)
+    assert all("state_year" in e for e in keys) and "_v" in keys[-1] and "partial_count" in plan_of(h).split("hashpartitioning")[-1]
+
+
 def curve_and_ranks(spark, seed):
     rng = random.Random(seed)
     points = [(2000 + c, n, rng.random()) for c in range(6) for n in sorted(rng.sample(range(60), rng.randrange(1, 25)))]
