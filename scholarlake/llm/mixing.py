@@ -1,13 +1,17 @@
 """Operator 6: mix sources to target weights by entropy balancing, in DataFrame operations only.
 
 A document of ``size`` words gets the rate r = 2 / (1 + exp(-lambda_s * size / mean_s)),
-the tilt of the base rate 1 that has the least (two-sided) relative entropy among
-rates in [0, 2] for which each source's words sum to its target. lambda_s solves the
-convex dual; Newton steps, kept within a bracket, run for all sources at once.
+the tilt of the base rate 1 that has the least sum of r ln r + (2 - r) ln(2 - r), the
+relative entropy of both halves, among rates in [0, 2] for which each source's words
+sum to its target. (A plain exponential exp(lambda * size) has no upper end and would
+give long documents more than two copies.) lambda_s solves the convex dual by Newton
+steps, kept within a bracket.
 
 Rates depend on (source, size) alone, so documents are counted per (source, size)
-before anything else; the iterations, the rounding into copies and the correction of
-what rounding leaves run on that histogram. Documents only meet again to be numbered
+before anything else: a distributed, partially aggregated pass. Each source's histogram
+is then one array, on which all its steps run in one expression; so do the rounding
+into copies and the correction of what rounding leaves, in a number of jobs that
+depends on neither sources nor sizes. Documents only meet again to be numbered
 within their cell, where a hash-blocked rank splits hot cells.
 
 Defined results: null text has size 0 and takes 0 words; null source sorts last and
@@ -23,10 +27,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE_RE, blocked_prefix_sum, materialize, near, read_table
+from .common import ASCII_SPACE_RE, blocked_prefix_sum, let, materialize, near, read_table
 
 #: Rates are rounded to this many parts, so that running sums are exact integers.
 PARTS = 1 << 20
+#: Newton and halving steps at most: every third of them halves a bracket of 128, so 1e-12 is reached within 141.
+STEPS = 150
 #: About so many rows of a (source, size) cell are ranked in one task.
 CELL_ROWS = 250_000
 
@@ -40,35 +46,43 @@ def numbered_sources(sums: DataFrame) -> DataFrame:
     parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = sums.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "mix-sources")
-    sizes = ranged.groupBy("part").count()  # a row per partition
-    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")))
+    start, before = F.lit(0), 0
+    for part, n in sorted(ranged.groupBy("part").count().collect()):  # a row per range, of which there are ``parts`` at most
+        start = F.when(F.col("part") == part, F.lit(before)).otherwise(start)
+        before += n
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    return ranged.withColumn("within", within).join(starts, "part").select("source", "source_size", (F.col("start") + F.col("within")).alias("turn"))
+    return ranged.withColumn("turn", start + within).drop("part")
 
 
-def source_targets(cells: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
-    """(source, source_size, target): shares by weight, stopped at ``cap`` times the size.
-
-    Every source has min(cap * size, weight * level) with one common level. Sharing the
-    excess again raises the level and can only stop more sources, so a few sums over the
-    sources find it.
-    """
-    sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
+def _targets(cells: DataFrame, weights: Sequence[int], share: float, cap: float) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The targets, and the numbers of sources and of cells and the rows of the largest cell."""
+    sums = cells.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.count(F.lit(1)).alias("cells"), F.max("n").alias("hottest")
+    )
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
-    sums = materialize(numbered_sources(sums).select("source", "source_size", weight.alias("weight")), "mix-weights")
-    everything = sums.agg(F.sum("source_size")).first()[0] or 0
+    sums = materialize(numbered_sources(sums).withColumn("weight", weight).drop("turn"), "mix-weights")
     level, stopped = 0.0, -1
     while True:
         full = F.lit(cap) * F.col("source_size") < F.col("weight") * level
-        n, used, open_ = sums.agg(
-            F.count_if(full), F.sum(F.when(full, F.lit(cap) * F.col("source_size")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))
+        n, used, open_, everything, *facts = sums.agg(
+            F.count_if(full), F.sum(F.when(full, F.lit(cap) * F.col("source_size")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))),
+            F.sum("source_size"), F.count(F.lit(1)), F.coalesce(F.sum("cells"), F.lit(0)), F.coalesce(F.max("hottest"), F.lit(0)),
         ).first()
         if n == stopped or not open_:
             break
-        level, stopped = (share * everything - used) / open_, n
+        level, stopped = (share * (everything or 0) - used) / open_, n
     target = F.least(F.lit(cap) * F.col("source_size"), F.col("weight") * F.lit(float(level) if open_ else float("inf")))
-    return sums.select("source", "source_size", target.alias("target"))
+    return sums.select("source", "source_size", target.alias("target")), tuple(facts)
+
+
+def source_targets(cells: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
+    """(source, source_size, target): shares by weight, stopped at ``cap`` times the size.
+
+    Every source has min(cap * size, weight * level) with one common level. Sharing the
+    excess again raises the level and can only stop more sources, so a few sums over the
+    sources find it.
+    """
+    return _targets(cells, weights, share, cap)[0]
 
 
 def _with_source(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,76 +91,93 @@ def _with_source(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(r, left["source"].eqNullSafe(r["_source"]), "left").drop("_source")
 
 
+def _newton(cells: Column, mean: Column, target: Column, cap: float, going: Column) -> Column:
+    """The tilt of one source from its histogram: Newton's method on the dual, kept within a bracket.
+
+    A step that leaves the bracket, and every third one, halves it instead, so STEPS are
+    enough for the width 1e-12 from 128. Settled sources skip their remaining steps.
+    """
+
+    def sums(tilt: Column) -> Column:
+        def add(acc: Column, cell: Column) -> Column:
+            rate = F.lit(cap) / (1 + F.exp(-tilt * cell["size"] / mean))
+            words = cell["n"] * cell["size"] * rate
+            return F.struct((acc["words"] + words).alias("words"), (acc["slope"] + words * cell["size"] / mean * (1 - rate / cap)).alias("slope"))
+
+        return F.aggregate(cells, F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("slope")), add)
+
+    def move(at: Column, step: Column) -> Column:
+        def body(x: Column) -> Column:
+            over = x["words"] - target
+            settled = (F.abs(over) <= 1e-7 * target + 1e-6) | (at["high"] - at["low"] < 1e-12)
+            low = F.when(over < 0, at["tilt"]).otherwise(at["low"])
+            high = F.when(over > 0, at["tilt"]).otherwise(at["high"])
+            newton = at["tilt"] - over / F.greatest(x["slope"], F.lit(1e-12))
+            moved = F.when((newton > low) & (newton < high) & (step % 3 != 0), newton).otherwise((low + high) / 2)
+            return F.struct(F.when(settled, at["tilt"]).otherwise(moved).alias("tilt"), low.alias("low"), high.alias("high"), (~settled).alias("going"))
+
+        return F.when(at["going"], let(sums(at["tilt"]), body)).otherwise(at)
+
+    start = F.struct(F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("low"), F.lit(64.0).alias("high"), going.alias("going"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, move)["tilt"]
+
+
 def solve_tilts(cells: DataFrame, targets: DataFrame, cap: float, per_source=lambda table: table) -> DataFrame:
-    """(source, mean, tilt): Newton's method on the dual, safeguarded by bisection, until every source has its target.
+    """(source, source_size, target, mean, tilt, cells): each source's histogram as one array, and the tilt solved in its row.
 
-    Each step is one partially aggregated pass over the histogram; the state is a
-    row per source. A source whose target is its cap has no finite tilt; its rate
-    is the cap itself (see copies_by_cell). Every third step halves the bracket, so the
-    steps end.
+    All steps of all sources are one job. A source of w words has at most sqrt(2 w)
+    different sizes (3 million for 5 * 10**12 words), so its array is bounded whatever
+    number of documents it has. A source whose target is its cap has no finite tilt;
+    its rate is the cap itself (see copies_by_cell).
     """
-    means = cells.filter("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    open_ = (F.col("target") < F.lit(cap) * F.col("source_size")) & (F.col("source_size") > 0)
-    state = _with_source(targets, per_source(means)).select(
-        "source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"),
-        F.lit(0.0).alias("tilt"), F.lit(-64.0).alias("low"), F.lit(64.0).alias("high"), F.coalesce(open_, F.lit(False)).alias("going"),
+    held = cells.groupBy("source").agg(
+        F.array_sort(F.collect_list(F.struct("size", "n"))).alias("cells"),
+        F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("with_words"),
     )
-    state = materialize(state, "mix-state")
-    rate = F.lit(cap) / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("mean")))
-    step = 0
-    while not state.filter("going").isEmpty():
-        step += 1
-        going = per_source(state.filter("going").select(F.col("source").alias("_source"), "mean", "tilt"))
-        sums = cells.join(going, cells["source"].eqNullSafe(F.col("_source"))).groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("words"),
-            F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * rate * (1 - rate / cap)).alias("slope"),
-        )
-        s = _with_source(state, per_source(sums))
-        over = F.round(F.col("words") - F.col("target"), 6)
-        settled = (F.abs(over) <= 1e-7 * F.col("target") + 1e-6) | (F.col("high") - F.col("low") < 1e-12)
-        low = F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))
-        high = F.when(over > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - over / F.greatest(F.col("slope"), F.lit(1e-12))
-        moved = F.when((newton > low) & (newton < high) & F.lit(step % 3 != 0), newton).otherwise((low + high) / 2)
-        tilt = F.when(F.col("going") & ~settled, moved).otherwise(F.col("tilt"))
-        state = s.select("source", "source_size", "target", "mean", tilt.alias("tilt"), low.alias("low"), high.alias("high"), (F.col("going") & ~settled).alias("going"))
-        state = materialize(state, "mix-state")
-    return state
-
-
-def copies_by_cell(cells: DataFrame, state: DataFrame, cap: int, per_source=lambda table: table) -> DataFrame:
-    """(source, size, n, copies): how many copies the documents of a cell have together.
-
-    Rates are summed along sizes and cut to whole copies where the running sum
-    passes a whole number; each source's remaining difference to its target is then
-    spent on whole copies of the largest size that fits, until none does.
+    going = (F.col("target") < F.lit(cap) * F.col("source_size")) & (F.col("source_size") > 0)
+    mean = F.coalesce(F.col("source_size") / F.col("with_words"), F.lit(1.0))
+    state = _with_source(held, per_source(targets)).withColumn("mean", mean)
+    tilt = _newton(F.col("cells"), F.col("mean"), F.col("target"), cap, F.coalesce(going, F.lit(False)))
+    return materialize(state.select("source", "source_size", "target", "mean", tilt.alias("tilt"), "cells"), "mix-state")
+
+
+def copies_by_cell(state: DataFrame, cap: int) -> DataFrame:
+    """(source, size, n, copies, source_size, target): how many copies the documents of a cell have together.
+
+    Rates are summed along a source's sizes and cut to whole copies where the running sum
+    passes a whole number, so what a source misses is about one document. That
+    remaining difference to its target is spent on whole copies of the largest size that
+    fits, until none does: one walk down the sizes, as a size that does not fit never fits again.
     """
-    w = _with_source(cells, per_source(state))
     tilted = F.lit(float(cap)) / (1 + F.exp(-F.round("tilt", 9) * F.col("size") / F.col("mean")))
     rate = F.when(F.col("target") >= F.lit(cap) * F.col("source_size"), F.lit(float(cap))).otherwise(tilted)
     parts = F.when(F.col("size") > 0, F.round(rate * PARTS)).otherwise(0).cast("long")
-    w = w.withColumn("parts", parts * F.col("n"))
-    w = blocked_sum_by_size(w)
-    copies = F.floor((F.col("before") + F.col("parts")) / PARTS) - F.floor(F.col("before") / PARTS)
-    out = materialize(w.select("source", "size", "n", F.least(copies, F.lit(cap) * F.col("n")).cast("long").alias("copies")), "mix-copies")
-    goal = state.select("source", F.round("target").cast("long").alias("goal"))
-    while True:
-        taken = out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
-        gap = materialize(_with_source(taken, per_source(goal)).select("source", (F.col("goal") - F.col("taken")).alias("gap")), "mix-gap")
-        room = F.when(F.col("gap") > 0, F.lit(cap) * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (room > 0)
-        best = _with_source(out, per_source(gap.filter("gap <> 0"))).filter(fits).groupBy("source").agg(F.max("size").alias("best"))
-        best = materialize(_with_source(best, per_source(gap)), "mix-best")
-        if best.isEmpty():
-            return out
-        w = _with_source(out, per_source(best))
-        move = F.when(F.col("size") == F.col("best"), F.least(room, F.floor(F.abs("gap") / F.col("size"))) * F.signum("gap")).otherwise(0)
-        out = materialize(w.select("source", "size", "n", (F.col("copies") + F.coalesce(move, F.lit(0))).cast("long").alias("copies")), "mix-copies")
-
+    w = state.select("source", "source_size", "target", "mean", "tilt", F.inline("cells")).withColumn("parts", parts * F.col("n"))
+    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("parts").over(smaller), F.lit(0))
+    copies = F.floor((before + F.col("parts")) / PARTS) - F.floor(before / PARTS)
+    cut = w.withColumn("copies", F.least(copies, F.lit(cap) * F.col("n")).cast("long"))
+    whole = Window.partitionBy("source")
+    gap = F.round("target").cast("long") - F.sum(F.col("size") * F.col("copies")).over(whole)
+    rounded = materialize(cut.withColumn("gap", gap).select("source", "size", "n", "copies", "source_size", "target", "gap"), "mix-rounded")
+
+    def walk(acc: Column, cell: Column) -> Column:
+        room = F.when(acc["gap"] > 0, F.lit(cap) * cell["n"] - cell["copies"]).otherwise(cell["copies"])
+        moved = F.least(room, F.floor(F.abs(acc["gap"]) / cell["size"])) * F.signum(acc["gap"]).cast("long")
+        new = lambda m: F.struct(
+            (acc["gap"] - m * cell["size"]).cast("long").alias("gap"),
+            F.when(m != 0, F.concat(acc["moves"], F.array(F.struct(cell["size"].alias("size"), m.cast("long").alias("move"))))).otherwise(acc["moves"]).alias("moves"),
+        )
+        return F.when(acc["gap"] == 0, acc).otherwise(let(moved, new))
 
-def blocked_sum_by_size(cells: DataFrame, blocks: int = 64) -> DataFrame:
-    """``before``: the sum of ``parts`` over the source's smaller sizes; long sources are split by size mod ``blocks``."""
-    return blocked_prefix_sum(cells, ["source"], ["size"], F.col("parts"), "before", blocks)
+    # only sizes that can fit are walked
+    fit = rounded.filter((F.col("size") > 0) & (F.col("size") <= F.abs("gap")))
+    lists = fit.groupBy("source").agg(F.first("gap").alias("gap"), F.reverse(F.array_sort(F.collect_list(F.struct("size", "n", "copies")))).alias("cells"))
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<size:bigint,move:bigint>>").alias("moves"))
+    moves = lists.select("source", F.inline(F.aggregate("cells", start, walk)["moves"]))
+    added = moves.select("source", "size", F.lit(0).cast("long").alias("n"), F.col("move").alias("copies"))
+    both = rounded.drop("gap").unionByName(added, allowMissingColumns=True)
+    return both.groupBy("source", "size").agg(*[F.sum(c).alias(c) for c in ("n", "copies")], *[F.max(c).alias(c) for c in ("source_size", "target")])
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, row: str | None = None) -> DataFrame:
@@ -158,24 +189,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     own_columns = [F.col(row).alias("_own_row"), F.xxhash64("text").alias("_text")] if row else []
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *own_columns), "mix-sizes")
     cells = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
-    n_cells, hottest, n_sources = cells.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0)), F.count_distinct(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))).first()
+    targets, (n_sources, n_cells, hottest) = _targets(cells, weights, share, float(cap))
     per_source, per_cell = near(n_sources), near(n_cells)
-    targets = source_targets(cells, weights, share, float(cap))
     state = solve_tilts(cells, targets, float(cap), per_source)
-    copies = copies_by_cell(cells, state, cap, per_source)
+    copies = copies_by_cell(state, cap)
     # a hot cell is ranked in as many blocks as keep each near CELL_ROWS rows
     blocks = max(32, -(-hottest // CELL_ROWS))
     # hashed order: which documents of a cell get the extra copy does not depend on their ids' order
     numbered = blocked_prefix_sum(
         sized.withColumn("_order", F.xxhash64("doc_id")), ["source", "size"], ["_order", "doc_id", *(["_text"] if row else [])], F.lit(1), "rank", blocks
     ).drop("_order")
-    c = per_cell(copies.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all_copies")))
+    c = per_cell(copies.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", F.col("copies").alias("all_copies"), "source_size", "target"))
     joined = numbered.join(c, numbered["source"].eqNullSafe(c["_s"]) & (numbered["size"] == c["_z"]), "left")
     own = F.floor(F.col("all_copies") / F.col("n")) + F.when(F.col("rank") < F.col("all_copies") % F.col("n"), 1).otherwise(0)
     joined = joined.withColumn("copies", own.cast("long"))
-    kept = ["_own_row"] if row else []
-    ends = per_source(state.select("source", "source_size", "target"))
-    return _with_source(joined.select("doc_id", *kept, "source", "size", "copies"), ends).select(
+    return joined.select(
         "doc_id", *([F.col("_own_row").alias(row)] if row else []), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 

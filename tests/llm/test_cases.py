@@ -179,6 +179,26 @@ def test_tilts_solve_the_dual(spark):
         assert r.tilt == pytest.approx(mid, abs=1e-5)
 
 
+def test_mixing_takes_few_jobs_for_many_sources_and_sizes(spark):
+    """10,000 sources of two documents and one of 3,000 sizes: 30 jobs at most, and what is left is below the smallest size that fits."""
+    word = F.repeat(F.lit("w "), F.col("size").cast("int"))
+    many = spark.range(20_000).select("id", F.concat(F.lit("s"), F.floor(F.col("id") / 2)).alias("source"), (1 + F.col("id") % 7).alias("size"))
+    one = spark.range(20_000, 23_000).select("id", F.lit(None).cast("string").alias("source"), (F.col("id") - 19_999).alias("size"))
+    df = many.union(one).select(F.col("id").alias("doc_id"), word.alias("text"), "source")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    out = mixing.mix(df).collect()
+    assert jobs() - before <= 30 and len(out) == 23_000
+    by = {}
+    for r in out:
+        assert 0 <= r.copies <= 2 and r.taken == r.copies * r.size
+        by.setdefault(r.source, []).append(r)
+    for held in by.values():
+        gap = round(held[0].target) - sum(r.taken for r in held)
+        room = [r.size for r in held if (r.copies < 2 if gap > 0 else r.copies > 0)]
+        assert gap == 0 or not room or min(room) > abs(gap)
+
+
 def test_hot_lines_are_met_apart(spark, monkeypatch):
     lines = spark.range(2000).select((F.col("id") % 7).alias("h1"), F.lit(1).alias("h2"), "id")
     frequent = spark.createDataFrame([(k, 1, 280 + 10 * k, 5) for k in range(7)], "h1 long, h2 int, n long, keeper long")
