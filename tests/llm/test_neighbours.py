@@ -63,3 +63,18 @@ def test_hot_prefixes_are_split(spark, monkeypatch):
     want = sorted(map(str, ann_forest.nearest(frame(spark, v), query()).collect()))
     monkeypatch.setattr(ann_forest, "HOT_PREFIX", 50)
     assert sorted(map(str, ann_forest.nearest(frame(spark, v), query()).collect())) == want
+
+
+def test_pairs_are_no_rows(spark, monkeypatch):
+    """Rows carry lists of queries: what is ranked is linear in the rows, pairs are the share of before, and blocks and parts change no result."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((3000, 16))
+    seen, real = [], ann_forest.cosines
+    monkeypatch.setattr(ann_forest, "cosines", lambda rows: (seen.append(rows), real(rows))[1])
+    want = sorted(map(str, ann_forest.nearest(frame(spark, v), query()).collect()))
+    pairs = seen[0].agg(F.sum(F.size("queries"))).first()[0]
+    assert seen[0].count() <= 3000 + 150 and 10 * 3000 < pairs <= 0.35 * 150 * 3000
+    monkeypatch.setattr(ann_forest, "BLOCK_QUERIES", 40)
+    monkeypatch.setattr(ann_forest, "PART_ROWS", 500)
+    monkeypatch.setattr(ann_forest, "PAIRS", 1000)
+    assert sorted(map(str, ann_forest.nearest(frame(spark, v), query()).collect())) == want and len(want) == 750
