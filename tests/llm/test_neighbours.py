@@ -78,3 +78,33 @@ def test_pairs_are_no_rows(spark, monkeypatch):
     monkeypatch.setattr(ann_forest, "PART_ROWS", 500)
     monkeypatch.setattr(ann_forest, "PAIRS", 1000)
     assert sorted(map(str, ann_forest.nearest(frame(spark, v), query()).collect())) == want and len(want) == 750
+
+
+def test_no_side_is_broadcast_by_its_estimate(spark, monkeypatch):
+    """Files grow some thousand times as prefixes are made of them: unless a count of rows allows it, no join of the search is a broadcast."""
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((1500, 16))
+    v[700:] = v[3] + 1e-3 * rng.standard_normal((800, 16))  # dense rows, whose longer prefixes suffice, so that queries close at several levels
+    want = sorted(map(str, ann_forest.nearest(frame(spark, v), query()).collect()))
+    plans, real = [], ann_forest.materialize
+    monkeypatch.setattr(ann_forest, "materialize", lambda df, name: (plans.append(df), real(df, name))[1])
+    monkeypatch.setattr(ann_forest, "BROADCAST_ROWS", 1)
+    out = ann_forest.nearest(frame(spark, v), query())
+    text = "\n".join(df._jdf.queryExecution().sparkPlan().toString() for df in [*plans, out])
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    assert sorted(map(str, out.collect())) == want and len(want) == 375
+
+
+def test_ranking_in_pieces(spark, monkeypatch):
+    """More blocks and parts where there are many pairs, and the best compared piece by piece: the same rows, ties included."""
+    rng = np.random.default_rng(13)
+    v = rng.integers(-1, 2, (1200, 6)).astype(float)  # many equal cosines
+    v[0] = 1
+    v[(v == 0).all(1)] = 1
+    out = ann_forest.nearest(frame(spark, v), query(), hits=10**9).collect()  # every row is ranked
+    want = sorted(map(str, out))
+    assert len(want) == 300 and all([r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == sorted((r.vec_id for r in out if r.query_id == q), key=lambda i: (-next(r.score for r in out if r.query_id == q and r.vec_id == i), i)) for q in (0, 20, 1180))
+    for name, value in (("PAIRS", 7), ("PART_PAIRS", 2000), ("BLOCK_HITS", 500)):
+        monkeypatch.setattr(ann_forest, name, value)
+    assert sorted(map(str, ann_forest.nearest(frame(spark, v), query(), hits=10**9).collect())) == want
